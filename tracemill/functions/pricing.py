@@ -116,13 +116,14 @@ def _normal_column(model: Column) -> Column:
     return F.translate(F.lower(model), "._", "--")
 
 
-def _price(row: tuple) -> Column:
-    return F.struct(*[F.lit(v).alias(f) for f, v in zip(FIELDS, row[1:])])
+def _price_sql(row: tuple) -> str:
+    fields = ", ".join(f"'{f}', {v!r}D" for f, v in zip(FIELDS, row[1:]))
+    return f"named_struct({fields})"
 
 
-def _table(tier: str) -> Column:
-    cells = [c for row in price_rows(tier) for c in (F.lit(row[0]), _price(row))]
-    return F.create_map(*cells)
+def _prices_by_name(rows: list[tuple]) -> Column:
+    """Literal map from model name to price."""
+    return F.expr("map(" + ", ".join(f"'{r[0]}', {_price_sql(r)}" for r in rows) + ")")
 
 
 def model_price(model: Column, tier: str = "standard") -> Column:
@@ -132,29 +133,29 @@ def model_price(model: Column, tier: str = "standard") -> Column:
     whose normal name contains or is contained in it, the family.
     """
     normal = _normal_column(model)
+    standard = price_rows("standard")
     direct = []
-    for table in dict.fromkeys([tier, "standard"]):
-        direct += [F.try_element_at(_table(table), model), F.try_element_at(_table(table), normal)]
-    named = F.array(
-        *[F.struct(F.lit(_normal(r[0])).alias("name"), _price(r).alias("price")) for r in price_rows("standard")]
-    )
+    for rows in {tier: price_rows(tier), "standard": standard}.values():
+        prices = _prices_by_name(rows)
+        direct += [F.try_element_at(prices, model), F.try_element_at(prices, normal)]
+    entries = ", ".join(f"named_struct('name', '{_normal(r[0])}', 'price', {_price_sql(r)})" for r in standard)
     similar = F.filter(
-        named, lambda r: F.contains(normal, r["name"]) | F.contains(r["name"], normal)
+        F.expr(f"array({entries})"),
+        lambda r: F.contains(normal, r["name"]) | F.contains(r["name"], normal),
     )
-    standard = {r[0]: r for r in price_rows("standard")}
+    by_name = {r[0]: r for r in standard}
     family = F.lit(None)
     for part, name in reversed(FAMILIES):
-        family = F.when(F.contains(normal, F.lit(part)), _price(standard[name])).otherwise(family)
+        price = F.expr(_price_sql(by_name[name]))
+        family = F.when(F.contains(normal, F.lit(part)), price).otherwise(family)
     return F.coalesce(*direct, F.get(similar, F.lit(0))["price"], family)
 
 
 def report_price(model: Column) -> Column:
     """Price struct in the provider report: exact name, else the default."""
-    standard = {r[0]: r for r in price_rows("standard")}
-    known = F.lit(None)
-    for name in reversed(REPORT_MODELS):
-        known = F.when(model == name, _price(standard[name])).otherwise(known)
-    return F.coalesce(known, _price(standard[REPORT_DEFAULT]))
+    by_name = {r[0]: r for r in price_rows("standard")}
+    known = _prices_by_name([by_name[m] for m in REPORT_MODELS])
+    return F.coalesce(F.try_element_at(known, model), F.expr(_price_sql(by_name[REPORT_DEFAULT])))
 
 
 def cost(price: Column, tokens: dict[str, Column]) -> Column:

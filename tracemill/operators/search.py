@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,6 +39,14 @@ class TextIndex:
     analyzer: Analyzer
 
 
+def _entries(number: int) -> Column:
+    """Terms of the column of that number as (col, pos, term)."""
+    return F.transform(
+        f"t{number}",
+        lambda term, pos: F.struct(F.lit(number).alias("col"), pos.alias("pos"), term.alias("term")),
+    )
+
+
 def index_texts(
     docs: DataFrame, doc_id: str, columns: list[str], analyzer: Analyzer = Analyzer()
 ) -> TextIndex:
@@ -66,17 +74,7 @@ def index_texts(
             F.col(doc_id).alias("doc_id"),
             *[terms(F.col(c), analyzer).alias(f"t{i}") for i, c in enumerate(columns)],
         )
-        entries = F.concat(
-            *[
-                F.transform(
-                    f"t{i}",
-                    lambda term, pos, i=i: F.struct(
-                        F.lit(i).alias("col"), pos.alias("pos"), term.alias("term")
-                    ),
-                )
-                for i in range(len(columns))
-            ]
-        )
+        entries = F.concat(*[_entries(i) for i in range(len(columns))])
         if wanted is not None:
             entries = F.filter(entries, lambda e: e["term"].isin(*wanted))
         return rows.select("doc_id", F.inline(entries))

@@ -164,13 +164,17 @@ def accessed_files(spark, sf):
     return rows.withColumn("tools_used", F.array_join("tools_used", ","))
 
 
-# The view has one Read result in reach of few calls, so every result is read as one of
-# the band of its call: both sides are moved onto whole minutes.
+# In the view few Read results lie close to a call and few end in a closer, so both
+# sides are moved onto whole hours and the results get one.
 def _aligned(ev):
-    return ev.withColumn("event_time", F.date_trunc("minute", "event_time"))
+    is_result = (F.col("event_type") == "tool_result") & (F.col("tool_name") == "Read")
+    closed = F.when(is_result, F.concat("text_redacted", F.lit(" }"))).otherwise(F.col("text_redacted"))
+    return ev.withColumns({"event_time": F.date_trunc("hour", "event_time"), "text_redacted": closed})
 
 
-_ALIGNED = "al AS (SELECT * REPLACE (date_trunc('minute', event_time) AS event_time) FROM ev)"
+_ALIGNED = """al AS (SELECT * REPLACE (date_trunc('hour', event_time) AS event_time,
+  CASE WHEN event_type = 'tool_result' AND tool_name = 'Read' THEN text_redacted || ' }'
+    ELSE text_redacted END AS text_redacted) FROM ev)"""
 _WHOLE = r"length(content) > 1000 AND regexp_matches(trim(right(content, 10)), '[})`]$')"
 _READ_RESULTS = """SELECT event_id, epoch_ms(event_time) AS ms, text_redacted AS content FROM al
   WHERE event_type = 'tool_result' AND tool_name = 'Read'"""
