@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +23,8 @@ class Pattern:
     """One kind of secret. `{S}` in the regex stands for white space inside a class.
 
     `hints` are texts one of which every match contains: in lower case for a pattern
-    that ignores case, which are looked for in the lower-cased text.
+    that ignores case, which are looked for in the lower-cased text. `hint_regex` is a
+    cheaper part of a regex whose hints say little.
     """
 
     type: str
@@ -33,6 +32,7 @@ class Pattern:
     regex: str
     hints: tuple[str, ...] = ()
     ignore_case: bool = False
+    hint_regex: str | None = None
 
     @property
     def java(self) -> str:
@@ -46,8 +46,8 @@ class Pattern:
         return re.compile(self.regex.replace("{S}", spaces), flags)
 
 
-def _p(kind: str, regex: str, *hints: str, label: str | None = None, ignore_case: bool = False) -> Pattern:
-    return Pattern(kind, f"[REDACTED:{label or kind}]", regex, hints, ignore_case)
+def _p(kind: str, regex: str, *hints: str, label: str | None = None, **more) -> Pattern:
+    return Pattern(kind, f"[REDACTED:{label or kind}]", regex, hints, **more)
 
 
 # The default patterns; their order matters.
@@ -147,7 +147,12 @@ DEFAULT_PATTERNS: tuple[Pattern, ...] = (
     ),
     _p("jwt_token", r"eyJ[a-zA-Z0-9_-]*\.eyJ[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]*", ".eyJ", label="jwt"),
     _p("slack_token", r"xox[baprs]-[a-zA-Z0-9\-]{10,}", "xox"),
-    _p("discord_token", r"[MN][A-Za-z\d]{23,}\.[\w-]{6}\.[\w-]{27}", "."),
+    _p(
+        "discord_token",
+        r"[MN][A-Za-z\d]{23,}\.[\w-]{6}\.[\w-]{27}",
+        ".",
+        hint_regex=r"\.[\w-]{6}\.[\w-]{27}",
+    ),
     _p("npm_token", r"npm_[a-zA-Z0-9]{36}", "npm_"),
     _p("twilio_key", r"SK[a-f0-9]{32}", "SK"),
     _p("sendgrid_key", r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}", "SG."),
@@ -155,83 +160,107 @@ DEFAULT_PATTERNS: tuple[Pattern, ...] = (
 )
 
 
-def _might_match(text: Column, pattern: Pattern) -> Column:
-    """Cheap necessary condition of a match."""
-    if pattern.type == "discord_token":
-        # A full stop is in nearly every text, so the two closing groups are tested.
-        return text.rlike(r"\.[\w-]{6}\.[\w-]{27}")
-    if not pattern.hints:
-        return F.lit(True)
-    where = F.lower(text) if pattern.ignore_case else text
-    return reduce(or_, [F.contains(where, F.lit(h)) for h in pattern.hints])
+_TABLE = (
+    "array<struct<ord:int,type:string,replacement:string,regex:string,"
+    "hints:array<string>,hint_regex:string,fold:boolean>>"
+)
+
+
+def _table(patterns: Sequence[Pattern]) -> Column:
+    """The patterns as a literal array."""
+    rows = [
+        {
+            "ord": i,
+            "type": p.type,
+            "replacement": p.replacement,
+            "regex": p.java,
+            "hints": list(p.hints),
+            "hint_regex": p.hint_regex,
+            "fold": p.ignore_case,
+        }
+        for i, p in enumerate(patterns)
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), _TABLE)
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _suspects(text: Column, patterns: Sequence[Pattern]) -> Column:
+    """Patterns whose hints occur: only these run their regex, and most texts have none."""
+
+    def fits(forms: Column, p: Column) -> Column:
+        form = F.when(p["fold"], forms["low"]).otherwise(forms["raw"])
+        hinted = (F.size(p["hints"]) == 0) | F.exists(p["hints"], lambda h: F.contains(form, h))
+        return F.when(
+            hinted, p["hint_regex"].isNull() | F.rlike(forms["raw"], p["hint_regex"])
+        ).otherwise(False)
+
+    return _bind(
+        F.struct(text.alias("raw"), F.lower(text).alias("low")),
+        lambda forms: F.filter(_table(patterns), lambda p: fits(forms, p)),
+    )
 
 
 def might_hold_secret(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
-    return reduce(or_, [_might_match(text, p) for p in patterns], F.lit(False))
+    return text.isNotNull() & (F.size(_suspects(text, patterns)) > 0)
 
 
 def redact(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
-    """Text with every secret replaced, pattern after pattern.
-
-    A text without any hint of a secret skips all regexes.
-    """
-    redacted = text
-    for p in patterns:
-        redacted = F.regexp_replace(redacted, p.java, p.replacement)
-    return F.when(might_hold_secret(text, patterns), redacted).otherwise(text)
+    """Text with every secret replaced, pattern after pattern."""
+    redacted = F.aggregate(
+        _suspects(text, patterns), text, lambda acc, p: F.regexp_replace(acc, p["regex"], p["replacement"])
+    )
+    return F.when(text.isNotNull(), redacted)
 
 
-def _spans(text: Column, order: int, pattern: Pattern) -> Column:
+def _spans(text: Column, pattern: Column) -> Column:
     """Spans of one pattern, from the pieces between its matches."""
-    matched = F.regexp_extract_all(text, F.lit(pattern.java), 0)
-    pieces = F.split(text, pattern.java, -1)
-    zero = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"),
+    pairs = F.zip_with(
+        F.split(text, pattern["regex"], -1),
+        F.regexp_extract_all(text, pattern["regex"], F.lit(0)),
+        lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")),
     )
+    span = "start:int,ord:int,end:int,type:string,text:string"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{span}>>").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["piece"])
         end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+        found = F.struct(
+            start.alias("start"),
+            pattern["ord"].alias("ord"),
+            end.alias("end"),
+            pattern["type"].alias("type"),
+            pair["match"].alias("text"),
+        )
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
 
-    pairs = F.transform(
-        matched, lambda m, i: F.struct(F.get(pieces, i).alias("piece"), m.alias("match"))
-    )
-    found = F.aggregate(pairs, zero, step)["found"]
-    rows = F.transform(
-        found,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(order).alias("ord"),
-            s["end"].alias("end"),
-            F.lit(pattern.type).alias("type"),
-            s["text"].alias("text"),
-        ),
-    )
-    empty = "array<struct<start:int,ord:int,end:int,type:string,text:string>>"
-    return F.when(_might_match(text, pattern), rows).otherwise(F.array().cast(empty))
+    matched = F.filter(pairs, lambda p: p["match"].isNotNull())
+    return F.aggregate(matched, zero, step)["found"]
 
 
 def found_secrets(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
     """Every match on the original text, by start and then by pattern."""
-    spans = F.array_sort(F.concat(*[_spans(text, i, p) for i, p in enumerate(patterns)]))
-    return F.when(might_hold_secret(text, patterns), spans)
+    return F.array_sort(F.flatten(F.transform(_suspects(text, patterns), lambda p: _spans(text, p))))
 
 
 def manifest(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
     """Spans with the type and a hash of each secret; NULL where there is none."""
-    spans = F.transform(
-        found_secrets(text, patterns),
-        lambda s: F.struct(
+
+    def span(s: Column) -> Column:
+        return F.struct(
             s["type"].alias("type"),
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.left(F.sha2(s["text"], 256), F.lit(16)).alias("original_hash"),
-        ),
+        )
+
+    return _bind(
+        found_secrets(text, patterns), lambda found: F.when(F.size(found) > 0, F.transform(found, span))
     )
-    return F.when(F.size(spans) > 0, spans)
 
 
 def hit_report(
@@ -257,6 +286,14 @@ def _redact_value(value, compiled):
     return value
 
 
+def _hint_regex(patterns: Sequence[Pattern]) -> str:
+    """One regex that matches wherever some pattern has a hint, whatever the case."""
+    parts = []
+    for p in patterns:
+        parts += [p.hint_regex] if p.hint_regex else [re.escape(h) for h in p.hints] or [""]
+    return "(?i)(?:" + "|".join(dict.fromkeys(parts)) + ")"
+
+
 def redact_json(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
     """JSON text with every string value redacted, keys untouched; other text as text.
 
@@ -279,5 +316,6 @@ def redact_json(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) ->
 
         return texts.map(one)
 
-    suspicious = might_hold_secret(text, patterns)
+    # A plain regex as guard: Spark does not hand a UDF arguments that hold a lambda.
+    suspicious = text.rlike(_hint_regex(patterns))
     return F.when(suspicious, walk(F.when(suspicious, text))).otherwise(text)
