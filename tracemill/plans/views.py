@@ -81,13 +81,17 @@ _TEXT_TAIL = """CASE eid % 13 WHEN 0 THEN ' error' WHEN 1 THEN ' failed' WHEN 2
     WHEN 3 THEN ' }}' WHEN 4 THEN ' )' ELSE '' END"""
 
 
+def events_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Canonical events without text of rows like those of `events`, also of a stream."""
+    return spark.sql(_WIDE, narrow=spark.sql(_NARROW, events=rows))
+
+
 def agent_events(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """Canonical events from `events`, with texts from `documents`.
 
     Without text the documents are not read at all.
     """
-    narrow = spark.sql(_NARROW, events=table(spark, sf_dir, "events"))
-    wide = spark.sql(_WIDE, narrow=narrow)
+    wide = events_of(spark, table(spark, sf_dir, "events"))
     if not with_text:
         return wide.drop("eid")
     n = _document_count(spark, sf_dir)
@@ -158,6 +162,10 @@ FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM
 
 def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of `conversations`, spaced 50 or 130 minutes apart."""
+    return messages_of(spark, table(spark, sf_dir, "conversations"))
+
+
+def messages_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.sql(
         """
         SELECT
@@ -178,7 +186,7 @@ def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
               CAST(turn * CASE WHEN conv_id % 2 = 0 THEN 50 ELSE 130 END AS INT), 0) AS t
           FROM {conversations})
         """,
-        conversations=table(spark, sf_dir, "conversations"),
+        conversations=rows,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured or tempfile.mkdtemp(prefix="tracemill-checkpoint-")
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """New folder for one run below the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """Session for tests and the local benchmark."""
     builder = (
