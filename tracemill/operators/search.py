@@ -29,9 +29,10 @@ _K1, _B, _MIN_IDF = 1.2, 0.75, 1e-6
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings `(doc_id, col, pos, term)` and lengths `(doc_id, n_terms)` of a corpus.
+    """Postings `(doc_id, n_terms, col, pos, term)` and lengths `(doc_id, n_terms)`.
 
-    `postings` takes the terms a caller needs, or None for all of them.
+    `postings` takes the terms a caller needs, or None for all of them. Every posting
+    carries the length of its document, so that ranking does not join lengths.
     """
 
     postings: Callable[[list[str] | None], DataFrame]
@@ -77,7 +78,8 @@ def index_texts(
         entries = F.concat(*[_entries(i) for i in range(len(columns))])
         if wanted is not None:
             entries = F.filter(entries, lambda e: e["term"].isin(*wanted))
-        return rows.select("doc_id", F.inline(entries))
+        n_terms = sum((F.size(f"t{i}") for i in range(1, len(columns))), F.size("t0"))
+        return rows.select("doc_id", n_terms.alias("n_terms"), F.inline(entries))
 
     total = sum((term_count(F.col(c)) for c in columns[1:]), term_count(F.col(columns[0])))
     lengths = docs.select(F.col(doc_id).alias("doc_id"), total.alias("n_terms"))
@@ -129,25 +131,23 @@ def score(index: TextIndex, phrases: DataFrame, wanted: list[str] | None = None)
     """(query_id, doc_id, score) of every matching document, higher is better.
 
     One shuffle by document serves phrase matching, term frequencies and the final sum;
-    only postings of queried terms take part in it.
+    only postings of queried terms take part in it. With `wanted` terms the phrases are
+    those of one query text, so the two small tables of phrases are broadcast.
     """
+    small = F.broadcast if wanted is not None else (lambda df: df)
     steps = phrases.select(
         "query_id", "alt", "phrase", "n_phrases", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term")
     )
-    hits = index.postings(wanted).join(steps, "term").select(
-        "query_id", "alt", "phrase", "n_phrases", "n", "doc_id", "col", (F.col("pos") - F.col("i")).alias("at")
+    group = ["doc_id", "n_terms", "query_id", "alt", "phrase", "n_phrases"]
+    hits = index.postings(wanted).join(small(steps), "term").select(
+        *group, "n", "col", (F.col("pos") - F.col("i")).alias("at")
     )
-    by_doc = hits.repartition("doc_id")
-    found = by_doc.groupBy("doc_id", "query_id", "alt", "phrase", "n_phrases", "n", "col", "at").agg(
-        F.count("*").alias("matched")
-    )
-    tf = (
-        found.where(F.col("matched") == F.col("n"))
-        .groupBy("doc_id", "query_id", "alt", "phrase", "n_phrases")
-        .agg(F.count("*").alias("tf"))
-    )
-    corpus = index.lengths.agg(F.count("*").alias("docs"), F.avg("n_terms").alias("mean"))
-    docs, mean = corpus.select("docs").scalar(), corpus.select("mean").scalar()
+    found = hits.repartition("doc_id").groupBy(*group, "n", "col", "at").agg(F.count("*").alias("matched"))
+    tf = found.where(F.col("matched") == F.col("n")).groupBy(*group).agg(F.count("*").alias("tf"))
+    corpus = index.lengths.agg(
+        F.struct(F.count("*").alias("docs"), F.avg("n_terms").alias("mean")).alias("c")
+    ).scalar()
+    docs, mean = corpus["docs"], corpus["mean"]
     spread = tf.groupBy("query_id", "alt", "phrase").agg(F.count("*").alias("df"))
     weight = F.greatest(
         F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(_MIN_IDF)
@@ -155,10 +155,8 @@ def score(index: TextIndex, phrases: DataFrame, wanted: list[str] | None = None)
     idf = spread.select("query_id", "alt", "phrase", weight.alias("idf"))
     norm = F.col("tf") + _K1 * (1 - _B + _B * F.col("n_terms") / mean)
     part = F.col("idf") * (F.col("tf") * (_K1 + 1)) / norm
-    parts = (
-        tf.join(idf, ["query_id", "alt", "phrase"])
-        .join(index.lengths, "doc_id")
-        .select("doc_id", "query_id", "alt", "n_phrases", part.alias("part"))
+    parts = tf.join(small(idf), ["query_id", "alt", "phrase"]).select(
+        "doc_id", "query_id", "alt", "n_phrases", part.alias("part")
     )
     satisfied = (
         parts.groupBy("doc_id", "query_id", "alt", "n_phrases")

@@ -7,6 +7,8 @@ file, and then every block is read from its known start. No task holds a whole f
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,12 @@ from tracemill.functions.redaction import redact, redact_json
 from tracemill.functions.timeexpr import iso_from_time
 from tracemill.schema import promote
 from tracemill.sources.calls import TRANSCRIPT_PATH_KEYS, map_paths
-from tracemill.sources.lines import read_lines, running_sum
+from tracemill.sources.lines import read_lines
 
-# States between two lines.
-_OUT, _USER_HEAD, _QUERY, _ASSISTANT, _THINK, _ARGS, _RESULT = range(7)
+# States between two lines. An answer is told apart by whether it has text so far, also
+# while a thought interrupts it.
+_OUT, _USER_HEAD, _QUERY, _EMPTY, _FILLED, _EMPTY_THINK, _FILLED_THINK, _ARGS, _RESULT = range(9)
+_STATES = 9
 
 # Kinds of line, as told by the text of the line alone.
 _KINDS = (
@@ -44,44 +48,63 @@ _TOOL = {_K["call"], _K["result"], _K["tool_other"]}
 _USER_START = {_K["user"], _K["user_more"]}
 _ANSWER_START = {_K["answer"], _K["answer_more"]}
 
-# A step is (next state, section the line belongs to, 1 if it opens the section).
-_NOTHING = (_OUT, None, 0)
+
+@dataclass(frozen=True)
+class _Step:
+    """What one line does in one state.
+
+    `ended` counts answers with text that end before the line. `opens` is 1 where the
+    line opens a section of a kind other than an answer, `outer` where it opens one that
+    is not a thought.
+    """
+
+    state: int
+    section: str | None = None
+    is_text: bool = False
+    ended: int = 0
+    opens: int = 0
+    outer: int = 0
 
 
-def _header(kind: int) -> tuple[int, str | None, int]:
+def _header(kind: int, ended: int) -> _Step:
     """A line seen outside of any section."""
     if kind in (_K["user"], _K["user_inset"]):
-        return _USER_HEAD, None, 0
+        return _Step(_USER_HEAD, ended=ended)
     if kind in (_K["answer"], _K["answer_inset"]):
-        return _ASSISTANT, "assistant", 1
+        return _Step(_EMPTY, "assistant", ended=ended, outer=1)
     if kind == _K["call"]:
-        return _ARGS, "tool_call", 1
+        return _Step(_ARGS, "tool_call", ended=ended, opens=1, outer=1)
     if kind == _K["result"]:
-        return _RESULT, "tool_result", 1
-    return _NOTHING
+        return _Step(_RESULT, "tool_result", ended=ended, opens=1, outer=1)
+    return _Step(_OUT, ended=ended)
 
 
-def _step(state: int, kind: int, indented: bool) -> tuple[int, str | None, int]:
+def _step(state: int, kind: int, indented: bool, blank: bool) -> _Step:
     if state == _USER_HEAD and kind == _K["query"]:
-        return _QUERY, "user", 1
+        return _Step(_QUERY, "user", opens=1, outer=1)
     if state == _QUERY:
-        return _NOTHING if kind == _K["query_end"] else (_QUERY, "user", 0)
-    if state == _THINK:
-        return (_ASSISTANT, None, 0) if kind == _K["think_end"] else (_THINK, "thinking", 0)
-    if state == _ASSISTANT and kind not in _USER_START | _TOOL:
-        return (_THINK, "thinking", 1) if kind == _K["think"] else (_ASSISTANT, "assistant", 0)
+        return _Step(_OUT) if kind == _K["query_end"] else _Step(_QUERY, "user", True)
+    if state in (_EMPTY_THINK, _FILLED_THINK):
+        if kind != _K["think_end"]:
+            return _Step(state, "thinking", True)
+        return _Step(_EMPTY if state == _EMPTY_THINK else _FILLED, "assistant")
+    if state in (_EMPTY, _FILLED) and kind not in _USER_START | _TOOL:
+        if kind == _K["think"]:
+            return _Step(_EMPTY_THINK if state == _EMPTY else _FILLED_THINK, "thinking", opens=1)
+        return _Step(_EMPTY if state == _EMPTY and blank else _FILLED, "assistant", True)
     if state == _ARGS and indented:
-        return _ARGS, "tool_call", 0
+        return _Step(_ARGS, "tool_call", True)
     if state == _RESULT and kind not in _USER_START | _TOOL | _ANSWER_START:
-        return _RESULT, "tool_result", 0
-    return _header(kind)
+        return _Step(_RESULT, "tool_result", True)
+    return _header(kind, 1 if state == _FILLED else 0)
 
 
 _STEPS = {
-    (state, kind, indented): _step(state, kind, indented)
-    for state in range(7)
+    (state, kind, indented, blank): _step(state, kind, indented, blank)
+    for state in range(_STATES)
     for kind in range(len(_KINDS))
     for indented in (False, True)
+    for blank in (False, True)
 }
 
 
@@ -108,57 +131,83 @@ def _line_kind(line: Column) -> Column:
     return kind
 
 
-def _end_states(rows: pd.DataFrame) -> pd.DataFrame:
+def _classified(lines: DataFrame) -> DataFrame:
+    line = F.col("line")
+    return lines.withColumns(
+        {
+            "kind": _line_kind(line),
+            "indented": line.startswith("  "),
+            "blank": ~line.rlike(r"\S"),
+        }
+    )
+
+
+def _summary(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each start state: end state, sections counted, outer sections, thoughts."""
     rows = rows.sort_values("pos")
-    states = list(range(7))
-    for kind, indented in zip(rows["kind"], rows["indented"]):
-        states = [_STEPS[s, kind, indented][0] for s in states]
-    return pd.DataFrame({"path": [rows["path"].iloc[0]], "block": [rows["block"].iloc[0]], "ends": [states]})
+    runs = [[s, 0, 0, 0] for s in range(_STATES)]
+    for key in zip(rows["kind"], rows["indented"], rows["blank"]):
+        for run in runs:
+            step = _STEPS[run[0], *key]
+            run[0] = step.state
+            run[1] += step.ended + step.opens
+            run[2] += step.outer
+            run[3] += step.section == "thinking" and step.opens
+    return pd.DataFrame({"path": rows["path"].iloc[:1], "block": rows["block"].iloc[:1], "runs": [runs]})
+
+
+_PARTS = (
+    "path string, modified timestamp, section string, outer_no long, inner_no long, block long, pos long, "
+    "line string, is_text boolean, seq long"
+)
 
 
 def _assign(rows: pd.DataFrame) -> pd.DataFrame:
+    """Lines of sections, numbered from the known start of the block."""
     rows = rows.sort_values("pos")
-    state, sections, opens = int(rows["start"].iloc[0]), [], []
-    for kind, indented in zip(rows["kind"], rows["indented"]):
-        state, section, opened = _STEPS[state, kind, indented]
-        sections.append(section)
-        opens.append(opened)
-    return pd.DataFrame(
-        {
-            "path": rows["path"],
-            "block": rows["block"],
-            "pos": rows["pos"],
-            "section": sections,
-            "opens": opens,
-        }
-    )
+    state, count, outer, inner = (int(v) for v in rows["start"].iloc[0])
+    out = []
+    for path, modified, block, pos, line, *key in zip(
+        *(rows[c] for c in ("path", "modified", "block", "pos", "line", "kind", "indented", "blank"))
+    ):
+        step = _STEPS[state, *key]
+        state = step.state
+        count += step.ended
+        outer += step.outer
+        thought = step.section == "thinking"
+        inner += thought and step.opens
+        if step.section:
+            number = inner if thought else 0
+            seq = count if step.opens or step.section == "assistant" else -1
+            out.append((path, modified, step.section, outer, number, block, pos, line, step.is_text, seq))
+        count += step.opens
+        if thought and step.opens:
+            # The answer comes after the thoughts inside it.
+            out.append((path, modified, "assistant", outer, 0, block, pos, None, False, count))
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+    return pd.DataFrame(out, columns=names)
 
 
 def _sections(lines: DataFrame) -> DataFrame:
-    """Lines that belong to a section, with its kind; `opens` marks its first line."""
-    typed = lines.select(
-        "path", "block", "pos", _line_kind(F.col("line")).alias("kind"), F.col("line").startswith("  ").alias("indented")
-    )
-    ends = typed.groupBy("path", "block").applyInPandas(
-        _end_states, "path string, block long, ends array<int>"
+    """Lines that belong to a section, with the numbers of the section.
+
+    Both passes read the same shuffle of the lines by input block.
+    """
+    typed = _classified(lines.select("path", "block", "pos", "line", "modified").repartition("path", "block"))
+    runs = typed.groupBy("path", "block").applyInPandas(
+        _summary, "path string, block long, runs array<array<long>>"
     )
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = ends.select(
-        "path",
-        "block",
-        F.aggregate(
-            F.collect_list("ends").over(before),
-            F.lit(_OUT),
-            lambda state, table: F.element_at(table, state + 1),
-        ).alias("start"),
-    )
-    assigned = (
-        typed.join(starts, ["path", "block"])
-        .groupBy("path", "block")
-        .applyInPandas(_assign, "path string, block long, pos long, section string, opens int")
-        .where("section is not null")
+    zero = F.array(*[F.lit(v).cast("bigint") for v in (_OUT, 0, 0, 0)])
+
+    def follow(at: Column, table: Column) -> Column:
+        run = F.element_at(table, (at[0] + 1).cast("int"))
+        return F.array(run[0], at[1] + run[1], at[2] + run[2], at[3] + run[3])
+
+    starts = runs.select(
+        "path", "block", F.aggregate(F.collect_list("runs").over(before), zero, follow).alias("start")
     )
-    return lines.join(assigned, ["path", "block", "pos"])
+    return typed.join(starts, ["path", "block"]).groupBy("path", "block").applyInPandas(_assign, _PARTS)
 
 
 def _arguments(lines: Column) -> Column:
@@ -183,21 +232,13 @@ def blocks(lines: DataFrame) -> DataFrame:
 
     Thinking comes before the answer it belongs to; an answer without text is dropped.
     """
-    parts = _sections(lines)
-    outer = F.when(F.col("section") == "thinking", 0).otherwise(F.col("opens"))
-    parts = running_sum(parts, ["path"], "block", ["pos"], outer, "outer_no", inclusive=True)
-    inner = F.when(F.col("section") == "thinking", F.col("opens")).otherwise(0)
-    parts = running_sum(parts, ["path"], "block", ["pos"], inner, "inner_no", inclusive=True)
-    parts = parts.withColumn(
-        "inner_no", F.when(F.col("section") == "thinking", F.col("inner_no")).otherwise(0)
-    )
-    first = F.max(F.when(F.col("opens") == 1, F.col("line")))
-    body = F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("opens") == 0, F.struct("block", "pos", "line")))),
-        lambda e: e["line"],
-    )
-    grouped = parts.groupBy("path", "outer_no", "section", "inner_no").agg(
-        F.max("modified").alias("modified"), first.alias("head"), body.alias("body")
+    text_line = F.when(F.col("is_text"), F.struct("block", "pos", "line"))
+    body = F.transform(F.array_sort(F.collect_list(text_line)), lambda e: e["line"])
+    grouped = _sections(lines).groupBy("path", "outer_no", "section", "inner_no").agg(
+        F.max("modified").alias("modified"),
+        F.max("seq").alias("seq"),
+        F.max(F.when(~F.col("is_text"), F.col("line"))).alias("head"),
+        body.alias("body"),
     )
     is_call = F.col("section") == "tool_call"
     text = F.regexp_replace(F.array_join("body", "\n"), r"^\s+|\s+$", "")
@@ -205,21 +246,15 @@ def blocks(lines: DataFrame) -> DataFrame:
     tool = F.regexp_replace(
         F.regexp_replace("head", r"^\[Tool (?:call|result)\] ", ""), r"^\s+|\s+$", ""
     )
-    found = grouped.select(
+    return grouped.select(
         "path",
         "modified",
-        "outer_no",
-        (F.col("section") == "assistant").cast("int").alias("last"),
-        "inner_no",
+        "seq",
         F.col("section").alias("type"),
         F.when(is_call, "").otherwise(text).alias("text"),
         F.when(F.col("section").isin("tool_call", "tool_result"), tool).alias("tool"),
         F.when(is_call & (F.size(args) > 0), args).alias("args"),
     ).where((F.col("type") != "assistant") | (F.col("text") != ""))
-    batched = found.withColumn("batch", F.floor(F.col("outer_no") / 100_000))
-    return running_sum(
-        batched, ["path"], "batch", ["outer_no", "last", "inner_no"], F.lit(1), "seq"
-    ).select("path", "modified", "seq", "type", "text", "tool", "args")
 
 
 def normalize(

@@ -89,6 +89,19 @@ def read_tree(spark: SparkSession, root: str) -> Tree:
     )
 
 
+def land(tree: Tree, folder: str) -> Tree:
+    """The same tables, written once as Parquet below a shared folder and read from there.
+
+    The later steps read parts and messages several times, and a few columns at a time,
+    which many small JSON files would make expensive.
+    """
+    tables = {}
+    for name, table in vars(tree).items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        tables[name] = table.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+    return Tree(**tables)
+
+
 def is_complete() -> Column:
     """User messages always are; assistant messages need a completion time."""
     return (F.col("role") != "assistant") | (F.coalesce("time.completed", F.lit(0)) != 0)
