@@ -7,9 +7,10 @@ file, and then every block is read from its known start. No task holds a whole f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -142,34 +143,55 @@ def _classified(lines: DataFrame) -> DataFrame:
     )
 
 
-def _summary(rows: pd.DataFrame) -> pd.DataFrame:
+def _in_order(rows: pa.Table, columns: list[str]) -> Iterator[tuple]:
+    """Rows by position, as tuples."""
+    lists = rows.sort_by("pos").select(columns).to_pydict()
+    return zip(*lists.values())
+
+
+def _summary(rows: pa.Table) -> pa.Table:
     """For each start state: end state, sections counted, outer sections, thoughts."""
-    rows = rows.sort_values("pos")
     runs = [[s, 0, 0, 0] for s in range(_STATES)]
-    for key in zip(rows["kind"], rows["indented"], rows["blank"]):
+    for key in _in_order(rows, ["kind", "indented", "blank"]):
         for run in runs:
             step = _STEPS[run[0], *key]
             run[0] = step.state
             run[1] += step.ended + step.opens
             run[2] += step.outer
             run[3] += step.section == "thinking" and step.opens
-    return pd.DataFrame({"path": rows["path"].iloc[:1], "block": rows["block"].iloc[:1], "runs": [runs]})
+    first = rows.slice(0, 1)
+    return pa.table({"path": first["path"], "block": first["block"], "runs": [runs]}, schema=_SUMMARY)
 
 
-_PARTS = (
+_SUMMARY = pa.schema(
+    [("path", pa.string()), ("block", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64())))]
+)
+_PARTS = pa.schema(
+    [
+        ("path", pa.string()),
+        ("modified", pa.timestamp("us", "UTC")),
+        ("section", pa.string()),
+        ("outer_no", pa.int64()),
+        ("inner_no", pa.int64()),
+        ("block", pa.int64()),
+        ("pos", pa.int64()),
+        ("line", pa.string()),
+        ("is_text", pa.bool_()),
+        ("seq", pa.int64()),
+    ]
+)
+_PARTS_DDL = (
     "path string, modified timestamp, section string, outer_no long, inner_no long, block long, pos long, "
     "line string, is_text boolean, seq long"
 )
 
 
-def _assign(rows: pd.DataFrame) -> pd.DataFrame:
+def _assign(rows: pa.Table) -> pa.Table:
     """Lines of sections, numbered from the known start of the block."""
-    rows = rows.sort_values("pos")
-    state, count, outer, inner = (int(v) for v in rows["start"].iloc[0])
+    state, count, outer, inner = rows["start"][0].as_py()
     out = []
-    for path, modified, block, pos, line, *key in zip(
-        *(rows[c] for c in ("path", "modified", "block", "pos", "line", "kind", "indented", "blank"))
-    ):
+    columns = ["path", "modified", "block", "pos", "line", "kind", "indented", "blank"]
+    for path, modified, block, pos, line, *key in _in_order(rows, columns):
         step = _STEPS[state, *key]
         state = step.state
         count += step.ended
@@ -184,8 +206,8 @@ def _assign(rows: pd.DataFrame) -> pd.DataFrame:
         if thought and step.opens:
             # The answer comes after the thoughts inside it.
             out.append((path, modified, "assistant", outer, 0, block, pos, None, False, count))
-    names = [c.split()[0] for c in _PARTS.split(", ")]
-    return pd.DataFrame(out, columns=names)
+    columns = zip(*out) if out else [[]] * len(_PARTS)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _PARTS)], schema=_PARTS)
 
 
 def _sections(lines: DataFrame) -> DataFrame:
@@ -194,7 +216,7 @@ def _sections(lines: DataFrame) -> DataFrame:
     Both passes read the same shuffle of the lines by input block.
     """
     typed = _classified(lines.select("path", "block", "pos", "line", "modified").repartition("path", "block"))
-    runs = typed.groupBy("path", "block").applyInPandas(
+    runs = typed.groupBy("path", "block").applyInArrow(
         _summary, "path string, block long, runs array<array<long>>"
     )
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -207,7 +229,7 @@ def _sections(lines: DataFrame) -> DataFrame:
     starts = runs.select(
         "path", "block", F.aggregate(F.collect_list("runs").over(before), zero, follow).alias("start")
     )
-    return typed.join(starts, ["path", "block"]).groupBy("path", "block").applyInPandas(_assign, _PARTS)
+    return typed.join(starts, ["path", "block"]).groupBy("path", "block").applyInArrow(_assign, _PARTS_DDL)
 
 
 def _arguments(lines: Column) -> Column:
