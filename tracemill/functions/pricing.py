@@ -126,29 +126,33 @@ def _prices_by_name(rows: list[tuple]) -> Column:
     return F.expr("map(" + ", ".join(f"'{r[0]}', {_price_sql(r)}" for r in rows) + ")")
 
 
-def model_price(model: Column, tier: str = "standard") -> Column:
-    """Price struct of a model name, NULL where nothing fits.
+def with_price(rows: DataFrame, tier: str = "standard") -> DataFrame:
+    """Adds the price struct of the `model` column, NULL where nothing fits.
 
     In order: the name, its normal form, both in the standard tier, the first table row
-    whose normal name contains or is contained in it, the family.
+    whose normal name contains or is contained in it, the family. The last two are one
+    CASE over literals that yields a model name, so that it compiles to plain code.
     """
-    normal = _normal_column(model)
+    named = rows.withColumn("_normal", _normal_column(F.col("model")))
     standard = price_rows("standard")
+    cases = [
+        f"WHEN contains(_normal, '{_normal(r[0])}') OR contains('{_normal(r[0])}', _normal) THEN '{r[0]}'"
+        for r in standard
+    ]
+    cases += [f"WHEN contains(_normal, '{part}') THEN '{name}'" for part, name in FAMILIES]
+    similar = F.expr("CASE " + " ".join(cases) + " END")
     direct = []
-    for rows in {tier: price_rows(tier), "standard": standard}.values():
-        prices = _prices_by_name(rows)
-        direct += [F.try_element_at(prices, model), F.try_element_at(prices, normal)]
-    entries = ", ".join(f"named_struct('name', '{_normal(r[0])}', 'price', {_price_sql(r)})" for r in standard)
-    similar = F.filter(
-        F.expr(f"array({entries})"),
-        lambda r: F.contains(normal, r["name"]) | F.contains(r["name"], normal),
+    for table in {tier: price_rows(tier), "standard": standard}.values():
+        prices = _prices_by_name(table)
+        direct += [F.try_element_at(prices, F.col("model")), F.try_element_at(prices, F.col("_normal"))]
+    fallback = F.try_element_at(_prices_by_name(standard), F.col("_similar"))
+    found = F.coalesce(*direct)
+    return (
+        named.withColumn("_direct", found)
+        .withColumn("_similar", F.when(F.col("_direct").isNull(), similar))
+        .withColumn("price", F.coalesce("_direct", fallback))
+        .drop("_normal", "_direct", "_similar")
     )
-    by_name = {r[0]: r for r in standard}
-    family = F.lit(None)
-    for part, name in reversed(FAMILIES):
-        price = F.expr(_price_sql(by_name[name]))
-        family = F.when(F.contains(normal, F.lit(part)), price).otherwise(family)
-    return F.coalesce(*direct, F.get(similar, F.lit(0))["price"], family)
 
 
 def report_price(model: Column) -> Column:

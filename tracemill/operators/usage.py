@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.pricing import cents, cost, model_price, report_price
+from tracemill.functions.pricing import cents, cost, report_price, with_price
 from tracemill.operators.filters import in_time_range
 
 _TOKENS = ("input", "output", "reasoning", "cache_read", "cache_write")
@@ -64,10 +64,9 @@ def _priced(counted: DataFrame, tier: str) -> DataFrame:
     )
     # Reasoning tokens are billed as output.
     billed = grouped.withColumn("output", F.col("output") + F.col("reasoning"))
-    price = model_price(F.col("model"), tier)
     tokens = {t: F.col(t) for t in ("input", "output", "cache_read", "cache_write")}
     return (
-        billed.withColumn("price", price)
+        with_price(billed, tier)
         .withColumn("cost", F.coalesce(cost(F.col("price"), tokens), F.lit(0.0)))
         .drop("price")
     )
@@ -115,8 +114,7 @@ def usage_report(events: DataFrame, tier: str = "standard", **restrict) -> DataF
 
 def price_models(models: DataFrame, tier: str = "standard") -> DataFrame:
     """(model, price fields) for each distinct model name; NULL without a price."""
-    priced = models.select("model").distinct().withColumn("price", model_price(F.col("model"), tier))
-    return priced.select("model", "price.*")
+    return with_price(models.select("model").distinct(), tier).select("model", "price.*")
 
 
 def provider_usage(

@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as there are cores, if the files have fewer splits.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 @lru_cache(maxsize=16)
 def _document_count(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "documents").count()
@@ -95,7 +104,7 @@ def agent_events(spark: SparkSession, sf_dir: str, with_text: bool = True) -> Da
     if not with_text:
         return wide.drop("eid")
     n = _document_count(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     tail = F.expr(_TEXT_TAIL.replace("}}", "}"))
     return (
         wide.withColumn("doc_id", F.col("eid") % n)
@@ -241,7 +250,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             AS created_at
         FROM {documents}
         """,
-        documents=table(spark, sf_dir, "documents"),
+        documents=spread(table(spark, sf_dir, "documents")),
     )
 
 
