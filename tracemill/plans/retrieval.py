@@ -483,11 +483,11 @@ def answer_context(spark, sf):
 @register(
     "hit_at_1",
     MSG
-    + f""", {_bm25("msg", "event_id", ["text_redacted"], [["that", "thing"]], "a_")},
+    + f""", {_bm25("msg", "event_id", ["text_redacted"], [["of", "the"]], "a_")},
       {_bm25("msg", "event_id", ["text_redacted"], [["with"]], "b_")},
-      firsts AS (SELECT 'q0' AS query_id, (SELECT doc_id FROM a_scored ORDER BY score DESC, doc_id LIMIT 1) AS f
+      firsts AS (SELECT 'q1' AS query_id, (SELECT doc_id FROM a_scored ORDER BY score DESC, doc_id LIMIT 1) AS f
         UNION ALL SELECT 'q3', (SELECT doc_id FROM b_scored ORDER BY score DESC, doc_id LIMIT 1)),
-      expected AS (SELECT 'q0' AS query_id, (SELECT f FROM firsts WHERE query_id = 'q0') AS e
+      expected AS (SELECT 'q1' AS query_id, (SELECT f FROM firsts WHERE query_id = 'q1') AS e
         UNION ALL SELECT 'q3', 'none')
     SELECT count(*) AS tests, count(*) FILTER (f = e) AS passes,
       round(count(*) FILTER (f = e) * 100 / count(*), 1) AS accuracy
@@ -496,6 +496,6 @@ def answer_context(spark, sf):
 def hit_at_1(spark, sf):
     _, index = _message_index(spark, sf)
     ranked = S.search_many(index, _queries(spark, sf), 1).withColumnRenamed("doc_id", "id")
-    first = ranked.where("query_id = 'q0'").select("query_id", F.col("id").alias("expected_id"))
+    first = ranked.where("query_id = 'q1'").select("query_id", F.col("id").alias("expected_id"))
     missed = _queries(spark, sf).where("query_id = 'q3'").select("query_id", F.lit("none").alias("expected_id"))
     return X.hit_at_1(ranked, first.unionByName(missed))
