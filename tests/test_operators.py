@@ -53,8 +53,9 @@ def test_time_filter_works_on_whole_seconds(spark):
 def test_time_filter_is_pushed_down(spark, tmp_path):
     make(spark, [{"event_ts": at(0)}]).write.parquet(str(tmp_path / "ev"))
     rows = apply_filter(K.read_events(spark, str(tmp_path / "ev")), EventFilter(since=at(0), event_types=("x",)))
-    plan = rows.select("event_id")._jdf.queryExecution().executedPlan().toString()
-    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema: (.*)", plan)
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = rows.select("event_id")._jdf.queryExecution().explainString(formatted)
+    pushed = re.search(r"PushedFilters: (.*)\nReadSchema: (.*)", plan)
     assert "GreaterThanOrEqual(event_time" in pushed[1] and "EqualTo(event_type,x)" in pushed[1]
     assert "text_redacted" not in pushed[2]
 

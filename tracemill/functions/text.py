@@ -59,7 +59,7 @@ def line_slice(text: Column, start: int | None, end: int | None) -> Column:
         return text
     first = max(start or 1, 1)
     lines = F.split(text, "\n", -1)
-    length = F.lit(2**31 - 1) if end is None else F.lit(max(end - first + 1, 0))
+    length = F.size(lines) if end is None else F.lit(max(end - first + 1, 0))
     return F.array_join(F.slice(lines, F.lit(first), length), "\n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,19 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def append_new(new: DataFrame, path: str, key: str = "event_id") -> None:
     """Append the rows that are not stored yet, partitioned by day and source kind.
 
-    The rebalance hint splits a partition that holds most of the rows.
+    The new rows are read twice, so they are kept for the time of the write; what an
+    executor loses is computed again. The rebalance hint splits a partition that holds
+    most of the rows.
     """
-    fresh = new_rows(new, _stored(new.sparkSession, path, new), key)
     parts = [c for c in PARTITIONS if c in new.columns]
-    if parts:
-        fresh = fresh.hint("rebalance", *parts)
-    fresh.write.mode("append").partitionBy(*parts).parquet(path)
+    kept = new.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fresh = new_rows(kept, _stored(new.sparkSession, path, new), key)
+        if parts:
+            fresh = fresh.hint("rebalance", *parts)
+        fresh.write.mode("append").partitionBy(*parts).parquet(path)
+    finally:
+        kept.unpersist()
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
