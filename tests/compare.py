@@ -37,10 +37,10 @@ def _rows(names, rows):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows), [names[i] for i in order]
 
 
-def compare(spark, con, name: str, sf_dir: str) -> tuple[str | None, int, float]:
+def compare(spark, con, name: str, sf_dir: str, df=None) -> tuple[str | None, int, float]:
     """(difference or None, number of rows, seconds)."""
     start = time.time()
-    df = queries()[name](spark, sf_dir)
+    df = queries()[name](spark, sf_dir) if df is None else df
     got, columns = _rows(df.columns, df.collect())
     seconds = time.time() - start
     sql = oracle_sql().get(name)

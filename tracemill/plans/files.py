@@ -165,16 +165,19 @@ def accessed_files(spark, sf):
 
 
 # In the view few Read results lie close to a call and few end in a closer, so both
-# sides are moved onto whole hours and the results get one.
-def _aligned(ev):
+# sides are moved onto whole hours or days and the results get one.
+def _aligned(ev, unit="hour"):
     is_result = (F.col("event_type") == "tool_result") & (F.col("tool_name") == "Read")
     closed = F.when(is_result, F.concat("text_redacted", F.lit(" }"))).otherwise(F.col("text_redacted"))
-    return ev.withColumns({"event_time": F.date_trunc("hour", "event_time"), "text_redacted": closed})
+    return ev.withColumns({"event_time": F.date_trunc(unit, "event_time"), "text_redacted": closed})
+
+
+def _aligned_sql(unit: str) -> str:
+    return f"""al AS (SELECT * REPLACE (date_trunc('{unit}', event_time) AS event_time,
+      CASE WHEN event_type = 'tool_result' AND tool_name = 'Read' THEN text_redacted || ' }}'
+        ELSE text_redacted END AS text_redacted) FROM ev)"""
 
 
-_ALIGNED = """al AS (SELECT * REPLACE (date_trunc('hour', event_time) AS event_time,
-  CASE WHEN event_type = 'tool_result' AND tool_name = 'Read' THEN text_redacted || ' }'
-    ELSE text_redacted END AS text_redacted) FROM ev)"""
 _WHOLE = r"length(content) > 1000 AND regexp_matches(trim(right(content, 10)), '[})`]$')"
 _READ_RESULTS = """SELECT event_id, epoch_ms(event_time) AS ms, text_redacted AS content FROM al
   WHERE event_type = 'tool_result' AND tool_name = 'Read'"""
@@ -183,7 +186,7 @@ _READ_RESULTS = """SELECT event_id, epoch_ms(event_time) AS ms, text_redacted AS
 @register(
     "read_snapshots",
     EV
-    + f""", {_ALIGNED}, calls AS (SELECT arg_filepath AS path, event_ts, epoch_ms(event_time) AS ms,
+    + f""", {_aligned_sql('hour')}, calls AS (SELECT arg_filepath AS path, event_ts, epoch_ms(event_time) AS ms,
         row_number() OVER (PARTITION BY arg_filepath ORDER BY event_ts DESC, event_id DESC) AS rn
         FROM al WHERE event_type = 'tool_call' AND tool_name = 'Read' AND arg_filepath IS NOT NULL),
       pairs AS (SELECT path, event_ts, content, row_number() OVER (PARTITION BY path
@@ -198,15 +201,15 @@ def read_snapshots(spark, sf):
 @register(
     "read_snapshot",
     EV
-    + f""", {_ALIGNED}, c AS (SELECT event_ts, epoch_ms(event_time) AS ms FROM al
+    + f""", {_aligned_sql('day')}, c AS (SELECT event_ts, epoch_ms(event_time) AS ms FROM al
         WHERE event_type = 'tool_call' AND tool_name = 'Read' AND arg_filepath ILIKE '%/src/f%'
-          AND {_AT_SQL} ORDER BY event_ts DESC, event_id DESC LIMIT 1),
+          AND event_time <= TIMESTAMP '2024-01-29 12:00:00' ORDER BY event_ts DESC, event_id DESC LIMIT 1),
       p AS (SELECT c.event_ts, content FROM c JOIN ({_READ_RESULTS}) r ON abs(r.ms - c.ms) < 5000
         ORDER BY r.ms, r.event_id LIMIT 1)
     SELECT event_ts, content FROM p WHERE {_WHOLE}""",
 )
 def read_snapshot(spark, sf):
-    return H.read_snapshot(_aligned(V.agent_events(spark, sf)), "/src/f", _AT)
+    return H.read_snapshot(_aligned(V.agent_events(spark, sf), "day"), "/src/f", "2024-01-29T12:00:00Z")
 
 
 _FOLD = """list_reduce(list_prepend({'old': '', 'new': '', 'c': e[1].old, 'a': 0, 'f': 0},
