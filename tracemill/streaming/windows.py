@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.timeexpr import iso_from_time
 from tracemill.operators.topics import GAP_SECONDS
 
 _REPEATING_KIND = "opencode_storage"
@@ -34,7 +35,7 @@ def daily_tokens(counted: DataFrame) -> DataFrame:
         F.sum("tok_cache_write").alias("cache_write"),
     ]
     days = counted.groupBy(F.window("event_time", "1 day").alias("w")).agg(*tokens)
-    return days.withColumn("day", F.date_format("w.start", "yyyy-MM-dd")).drop("w")
+    return days.withColumn("day", F.left(iso_from_time(F.col("w.start")), F.lit(10))).drop("w")
 
 
 def session_activity(messages: DataFrame, delay: str = "1 day", gap_seconds: int = GAP_SECONDS) -> DataFrame:
