@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
 from tests.compare import compare, connect
+from tracemill.plans import REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -16,10 +17,11 @@ ROWS_ONLY = {"error_previews", "reconstruct_all", "search_stemmed"}
 
 
 def test_only_these_have_no_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    assert {name for name, q in REGISTRY.items() if q.sql is None} == ROWS_ONLY
+    assert set(REGISTRY) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, con, sf_dir, name):
     df = queries()[name](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
