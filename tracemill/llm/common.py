@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.session import run_folder
@@ -42,3 +42,43 @@ def hash_pair(text: Column) -> tuple[Column, Column]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranked(rows: DataFrame, name: str, *keys: Column) -> DataFrame:
+    """Rows with their place `_rank` (from 0) in the order of keys, as a written table.
+
+    Ranges are sorted apart; only one count per range, as many as there are partitions, meets in one task.
+    """
+    placed = written(
+        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()),
+        name,
+    )
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(part)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")
+        .withColumn("_rank", F.col("_start") + within)
+        .drop("_part", "_start", "_at")
+    )
+
+
+def ordered_bucket(rows: DataFrame, key: str, buckets: int) -> Column:
+    """Number of the key's range among at most `buckets` ranges of about as many rows, ascending, nulls first.
+
+    The edges are quantiles over all rows, at most 10,000 numbers whatever the size of the table.
+    """
+    n = max(1, min(buckets, 10_000))
+    at = [i / n for i in range(1, n)]
+    edges = rows.agg(F.percentile_approx(key, at, 10_000)).first()[0] if at else None
+    edges = sorted(set(edges or ()))
+    if not edges:
+        return F.lit(0)
+    below = F.filter(F.lit(edges), lambda edge: edge <= F.col(key))
+    return F.when(F.col(key).isNull(), 0).otherwise(F.size(below))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import line_dedup
+from tracemill.llm import line_dedup, mixing, token_store
 from tracemill.llm.common import LOWER, UPPER, table
 from tracemill.plans.registry import Registered
+from tracemill.session import run_folder
 
 LLM_REGISTRY: dict[str, Registered] = {}
 
@@ -45,3 +46,25 @@ FROM marked GROUP BY doc_id
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = mixing.mix(table(spark, sf_dir, "documents"))
+    each = F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))
+    return units.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), each.alias("_")
+    ).drop("_")
+
+
+def _store_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    folder = run_folder(spark, "tokens")
+    token_store.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+    return token_store.digests(spark, folder)
+
+
+@_register("op2_token_store")
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store_digests(spark, table(spark, sf_dir, "documents"))
