@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import line_dedup, mixing, token_store
+from tracemill.llm import fingerprints, line_dedup, mixing, secrets, token_store
 from tracemill.llm.common import LOWER, UPPER, table
 from tracemill.plans.registry import Registered
 from tracemill.session import run_folder
@@ -68,3 +68,22 @@ def _store_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @_register("op2_token_store")
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store_digests(spark, table(spark, sf_dir, "documents"))
+
+
+@_register("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprints.hexed(F.col("sketch")).alias("fingerprint"),
+        fingerprints.hexed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+@_register("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("findings")
