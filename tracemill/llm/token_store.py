@@ -97,13 +97,13 @@ class _Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and their number for each text."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.string()), "")  # splitting goes wrong on slices of large_string
         odd = pc.match_substring(texts, self.specials)
         plain = pc.if_else(odd, "", texts) if pc.any(odd).as_py() else texts
         words = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         ends = np.asarray(words.offsets)
         coded = words.flatten().dictionary_encode()
-        pieces = self._of_words(coded.dictionary.to_pylist())
+        pieces = self._of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         store = np.frombuffer(b"".join(pieces), "<u4")
         length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         start = np.cumsum(length) - length
