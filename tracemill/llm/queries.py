@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import fingerprints, line_dedup, mixing, quality, secrets, token_store
+from tracemill.llm import decontaminate, fingerprints, line_dedup, mixing, quality, secrets, token_store
 from tracemill.llm.common import LOWER, UPPER, table
 from tracemill.plans.registry import Registered
 from tracemill.session import run_folder
@@ -92,3 +92,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
