@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, fingerprints, line_dedup, mixing, neural_lm, quality, secrets, token_store
+from tracemill.llm import decontaminate, fingerprints, jaccard_join, line_dedup, mixing, neural_lm, quality, secrets, token_store
 from tracemill.llm.common import LOWER, UPPER, table
 from tracemill.plans.registry import Registered
 from tracemill.session import run_folder
@@ -102,3 +102,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op9_neural_lm")
 def op9_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neural_lm.score(table(spark, sf_dir, "documents"))
+
+
+@_register("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
