@@ -173,3 +173,17 @@ def mix(
         "target",
         F.when(F.col("size") > 0, F.floor("rate") + F.coalesce("won", F.lit(0))).otherwise(0).cast("long").alias("copies"),
     )
+
+
+def repeat(docs: DataFrame, **settings) -> DataFrame:
+    """Rows of docs, as they are, each as often as mix() takes it."""
+    text, source, doc = (settings.get(k, v) for k, v in (("text_col", "text"), ("source_col", "source"), ("id_col", "doc_id")))
+    taken = mix(docs, **settings).where("copies > 0")
+    taken = taken.select(*(F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "text_hash", "copies")))
+    same = (
+        F.col(doc).eqNullSafe(F.col("_mix_doc_id"))
+        & F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))
+        & (F.xxhash64(text) == F.col("_mix_text_hash"))
+    )
+    each = F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int"))).alias("_mix_each")
+    return docs.join(taken, same).select(*(docs[c] for c in docs.columns), each).drop("_mix_each")

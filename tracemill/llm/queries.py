@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, fingerprints, jaccard_join, line_dedup, mixing, neural_lm, quality, secrets, token_store
+import corpus_pipeline
+from tracemill.llm import (
+    decontaminate,
+    fingerprints,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    neural_lm,
+    quality,
+    quotations,
+    secrets,
+    token_store,
+)
 from tracemill.llm.common import LOWER, UPPER, table
 from tracemill.plans.registry import Registered
-from tracemill.session import run_folder
 
 LLM_REGISTRY: dict[str, Registered] = {}
 
@@ -57,17 +68,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("_")
 
 
-def _store_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    import public_tokenizers
-
-    folder = run_folder(spark, "tokens")
-    token_store.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
-    return token_store.digests(spark, folder)
-
-
 @_register("op2_token_store")
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store_digests(spark, table(spark, sf_dir, "documents"))
+    return token_store.stored_digests(spark, table(spark, sf_dir, "documents"))
 
 
 @_register("op4_fingerprints")
@@ -107,3 +110,13 @@ def op9_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+@_register("op5_chat_formatting")
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+
+
+@_register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import ordered_bucket, partitions
+from tracemill.session import run_folder
 
 #: A block is closed by the document with which it reaches so many ids.
 BLOCK_IDS = 1 << 16
@@ -248,3 +249,12 @@ def read_ids(spark: SparkSession, folder: str, start: int, n: int) -> np.ndarray
         a, b = max(start, r.start) - r.start, min(start + n, r.start + r.n) - r.start
         parts.append(unpack(r.payload, b - a, r.bits, a))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def stored_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Digests of docs after writing them with the word-level tokenizer and reading the store back."""
+    import public_tokenizers
+
+    folder = run_folder(spark, "tokens")
+    write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+    return digests(spark, folder)
