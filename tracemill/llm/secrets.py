@@ -121,15 +121,18 @@ def find_secrets(
             "repositories: BIGINT, owners: BIGINT, live: BOOLEAN>>)"
         ),
     )
-    count = lambda test: F.size(F.filter("findings", test)).cast("long")
+
+    def number(kind: int):
+        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long")
+
     return (
         scanned.select("row", "id")
         .join(judged, "row", "left")
         .select("id", findings.alias("findings"))
         .select(
             F.col("id").alias(id_col),
-            *(count(lambda s, k=k: s["kind"] == k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
-            count(lambda s: s["live"]).alias("n_live"),
+            *(number(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)),
+            F.size(F.filter("findings", lambda s: s["live"])).cast("long").alias("n_live"),
             F.sha2(_joined(F.filter("findings", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
             _joined(F.col("findings")).alias("spans"),
             "findings",
