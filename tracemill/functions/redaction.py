@@ -264,13 +264,14 @@ def manifest(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Co
 
 
 def hit_report(
-    texts: DataFrame, column: str, patterns: Sequence[Pattern] = DEFAULT_PATTERNS
+    texts: DataFrame, column: str, patterns: Sequence[Pattern] = DEFAULT_PATTERNS, preview_chars: int | None = None
 ) -> DataFrame:
-    """Matches per type over a whole corpus, with the shortest preview in text order."""
+    """Matches per type over a whole corpus, with the first match in text order, cut for display if asked."""
     hits = texts.select(F.inline(found_secrets(F.col(column), patterns)))
-    preview = F.when(F.length("text") > 20, F.concat(F.left("text", F.lit(20)), F.lit("..."))).otherwise(
-        F.col("text")
-    )
+    preview = F.col("text")
+    if preview_chars is not None:
+        cut = F.concat(F.left("text", F.lit(preview_chars)), F.lit("..."))
+        preview = F.when(F.length("text") > preview_chars, cut).otherwise(preview)
     return hits.groupBy("type").agg(F.count("*").alias("matches"), F.min(preview).alias("preview"))
 
 

@@ -86,13 +86,12 @@ def is_error_text(text: Column) -> Column:
     return found | text.rlike(_ERROR_CODE)
 
 
-def error_preview(text: Column) -> Column:
-    """Up to five error lines out of the first twenty, else the first three lines.
+def error_preview(text: Column, lines: int | None = None) -> Column:
+    """The text from the first line that looks like part of an error on, else the whole text.
 
-    A line is kept when it looks like part of an error, or when one to nine lines
-    have been kept already.
+    `lines` shows fewer.
     """
-    head = F.slice(F.split(text, "\n", -1), 1, 20)
+    every = F.split(text, "\n", -1)
 
     def looks_bad(line: Column) -> Column:
         low = F.lower(line)
@@ -103,16 +102,9 @@ def error_preview(text: Column) -> Column:
             | F.ltrim(line).startswith("at ")
         )
 
-    kept = F.aggregate(
-        head,
-        F.array().cast("array<string>"),
-        lambda acc, line: F.when(
-            looks_bad(line) | F.size(acc).between(1, 9), F.concat(acc, F.array(line))
-        ).otherwise(acc),
-    )
-    return F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, 5), "\n")).otherwise(
-        F.array_join(F.slice(head, 1, 3), "\n")
-    )
+    first = F.array_position(F.transform(every, looks_bad), True).cast("int")
+    shown = F.slice(every, F.greatest(first, F.lit(1)), F.size(every))
+    return F.array_join(F.slice(shown, 1, lines) if lines else shown, "\n")
 
 
 # Short labels of event types, padded to ten characters.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,15 +19,14 @@ from tracemill.operators.filters import (
 )
 from tracemill.schema import EDIT_TOOLS, FILE_TOOLS, SNAPSHOT_TOOLS, event_time
 
-# A Read result belongs to a call less than five seconds away; a snapshot
-# counts when it is longer than 1000 characters and its last ten end in a closer.
+# Fixed value: a Read result belongs to a call less than five seconds away.
 _READ_BAND_MS = 4999
 _BUCKET_MS = 60000
-_SNAPSHOT_MIN = 1000
-_CLOSED = r"[})`]$"
-# Fixed value: the newest edits of a file that a reconstruction replays.
-MAX_EDITS = 10000
-_SALTS = 64
+
+_REPLAYED = pa.schema(
+    [("file_path", pa.string()), ("edits", pa.int32()), ("applied", pa.int32()), ("failed", pa.int32())]
+    + [("content", pa.string())]
+)
 
 
 def _restrict(events: DataFrame, flt: EventFilter) -> DataFrame:
@@ -252,9 +252,13 @@ def accessed_files(
     )
 
 
-def is_whole_snapshot(content: Column) -> Column:
-    """Long enough and not cut off in the middle of something."""
-    return (F.length(content) > _SNAPSHOT_MIN) & F.trim(F.right(content, F.lit(10))).rlike(_CLOSED)
+def is_whole_snapshot(content: Column, min_chars: int = 1, ending: str | None = None) -> Column:
+    """Whether a Read result stands for its file: any that isn't empty.
+
+    A caller who knows that results may be cut off can ask for a length and for an ending of the last ten characters.
+    """
+    whole = F.length(content) >= min_chars
+    return whole & F.trim(F.right(content, F.lit(10))).rlike(ending) if ending else whole
 
 
 def _read_calls(events: DataFrame, at: str | None) -> DataFrame:
@@ -333,51 +337,47 @@ def read_snapshots(events: DataFrame, at: str | None = None) -> DataFrame:
     )
 
 
-def _replay(steps: Column) -> Column:
-    """Fold edits over the old text of the first: (content, applied, failed)."""
-    zero = F.struct(
-        F.coalesce(F.get(steps, F.lit(0))["old_string"], F.lit("")).alias("content"),
-        F.lit(0).alias("applied"),
-        F.lit(0).alias("failed"),
-    )
+def _replayed(batches):
+    """Folds rows sorted by file and time; a task holds the current content of one file."""
+    file, state = None, None
 
-    def step(acc: Column, edit: Column) -> Column:
-        old, new = edit["old_string"], edit["new_string"]
-        at = F.instr(acc["content"], old)
-        tail = F.substring(acc["content"], at + F.length(old), F.length(acc["content"]))
-        replaced = F.concat(F.left(acc["content"], at - 1), new, tail)
-        done = F.struct(
-            replaced.alias("content"), (acc["applied"] + 1).alias("applied"), acc["failed"].alias("failed")
-        )
-        missed = F.struct(
-            acc["content"].alias("content"), acc["applied"].alias("applied"), (acc["failed"] + 1).alias("failed")
+    def closed():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in zip((file, *state), _REPLAYED.types, strict=True)], schema=_REPLAYED
         )
-        return F.when((old == "") | (new == ""), acc).when(at > 0, done).otherwise(missed)
 
-    return F.aggregate(steps, zero, step)
-
-
-def _newest_per_file(rows: DataFrame) -> DataFrame:
-    """The newest edits of every file; salted, so a hot file is cut down in many tasks."""
-    newest = [F.desc("event_ts"), F.desc("event_id")]
-    salted = rows.withColumn("salt", F.pmod(F.hash("event_id"), F.lit(_SALTS)))
-    by_salt = W.partitionBy("file_path", "salt").orderBy(*newest)
-    by_file = W.partitionBy("file_path").orderBy(*newest)
-    kept = salted.withColumn("rn", F.row_number().over(by_salt)).where(F.col("rn") <= MAX_EDITS)
-    return kept.withColumn("rn", F.row_number().over(by_file)).where(F.col("rn") <= MAX_EDITS)
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("file_path", "old_string", "new_string"))
+        for path, old, new in zip(*columns, strict=True):
+            if state is None or path != file:
+                if state is not None:
+                    yield closed()
+                file, state = path, (0, 0, 0, old or "")
+            edits, applied, failed, content = state
+            if old == "" or new == "":
+                pass
+            elif old is not None and new is not None and old in content:
+                applied, content = applied + 1, content.replace(old, new, 1)
+            else:
+                failed += 1
+            state = (edits + 1, applied, failed, content)
+    if state is not None:
+        yield closed()
 
 
 def replay_edits(rows: DataFrame) -> DataFrame:
-    """Content of every file after its newest edits, oldest first."""
-    order = F.unix_micros(event_time(F.col("event_ts"))).alias("at")
-    step = F.struct(order, F.col("event_id"), F.col("old_string"), F.col("new_string"))
-    folded = (
-        _newest_per_file(rows)
-        .groupBy("file_path")
-        .agg(F.array_sort(F.collect_list(step)).alias("steps"))
-        .select("file_path", F.size("steps").alias("edits"), _replay(F.col("steps")).alias("r"))
+    """Content of every file after all its edits, oldest first.
+
+    Edits of one file follow each other by nature, so a file is one task's work; its edits are sorted on disk and
+    stream through, and no row holds them together.
+    """
+    order = F.unix_micros(event_time(F.col("event_ts"))).alias("_at")
+    return (
+        rows.select("file_path", order, "event_id", "old_string", "new_string")
+        .repartition("file_path")
+        .sortWithinPartitions("file_path", "_at", "event_id")
+        .mapInArrow(_replayed, "file_path string, edits int, applied int, failed int, content string")
     )
-    return folded.select("file_path", "edits", "r.applied", "r.failed", "r.content")
 
 
 def reconstruct(

@@ -18,7 +18,6 @@ from tracemill.schema import event_time
 # Fixed values of the fusion.
 _STRICT_WEIGHT = 1.2
 _TYPE_FACTOR = {"regex_like": 1.2, "fts": 0.95}
-_RERANKED = 30
 _DEFAULT_JUDGEMENT = 5.0
 
 
@@ -105,12 +104,6 @@ def _with_strict_phrase(plan: DataFrame, queries: DataFrame) -> DataFrame:
     return plan.select("query_id", "action_id", "type", "text", "weight").unionByName(strict)
 
 
-def candidate_caps(k: int) -> dict[str, int]:
-    """Candidates per action for a result of k documents."""
-    base = max(10 * k, 50)
-    return {"regex_like": max(base * 3 // 2, base + 25), "fts": max(base * 6 // 10, 5 * k, 30)}
-
-
 def _text_hits(index: TextIndex, actions: DataFrame) -> DataFrame:
     """Scores of the full-text actions; an action is a query of its own."""
     keyed = actions.where(F.col("type") == "fts").select(
@@ -158,23 +151,15 @@ def fused_search(
 ) -> DataFrame:
     """(query_id, rank, id, score) of the best k documents of every query.
 
-    Each action offers its best candidates; their scores are normalized per action and
-    averaged by weight, then adjusted for concrete values, agreement of actions and
-    overlap with the query.
+    Every hit of an action counts; scores are normalized per action and averaged by
+    weight, then adjusted for concrete values, agreement of actions and overlap with
+    the query. Documents outside the filter are left out before anything is ranked.
     """
     actions = _with_strict_phrase(plan, queries)
-    caps = candidate_caps(k)
-    per_action = W.partitionBy("query_id", "action_id").orderBy(F.desc("score"), "id")
-
-    def capped(hits: DataFrame, kind: str) -> DataFrame:
-        ranked = hits.withColumn("rn", F.row_number().over(per_action))
-        return ranked.where(F.col("rn") <= caps[kind]).drop("rn")
-
-    hits = capped(_text_hits(index, actions), "fts").unionByName(
-        capped(_pattern_hits(docs, actions), "regex_like")
-    )
-    content = filter_documents(docs, flt).select("id", "content")
-    hits = hits.join(content.select("id"), "id", "left_semi")
+    chosen = filter_documents(docs, flt)
+    content = chosen.select("id", "content")
+    text_hits = _text_hits(index, actions).join(content.select("id"), "id", "left_semi")
+    hits = text_hits.unionByName(_pattern_hits(chosen, actions), allowMissingColumns=False)
     factor = F.when(F.col("type") == "regex_like", _TYPE_FACTOR["regex_like"]).otherwise(_TYPE_FACTOR["fts"])
     weights = actions.select(
         "query_id", "action_id", (F.coalesce("weight", F.lit(1.0)) * factor).alias("w")
@@ -216,13 +201,15 @@ def best_per_query(scored: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def rerank(hits: DataFrame, judgements: DataFrame, k: int = 10) -> DataFrame:
-    """Mix the first thirty hits of every query with judgements from 0 to 10.
+def rerank(hits: DataFrame, judgements: DataFrame, k: int = 10, first_n: int | None = None) -> DataFrame:
+    """Mix the hits of every query, or its first n, with judgements from 0 to 10.
 
     Seven tenths come from the judgement, five where there is none, and three tenths
     from the score relative to the best one.
     """
-    first = best_per_query(hits.select("query_id", "id", "score"), _RERANKED).drop("rank")
+    first = hits.select("query_id", "id", "score")
+    if first_n is not None:
+        first = best_per_query(first, first_n).drop("rank")
     top = F.greatest(F.max("score").over(W.partitionBy("query_id")), F.lit(1.0))
     given = judgements.select("query_id", "id", F.col("score").alias("judged"))
     mixed = (

@@ -216,22 +216,33 @@ def row_labels(spark, sf):
     )
 
 
-@register(
-    "error_texts",
-    EV
-    + """SELECT event_id FROM ev WHERE event_type = 'tool_result' AND (
+_ERROR_SQL = """
       contains(lower(text_redacted), 'error') OR contains(lower(text_redacted), 'failed')
       OR contains(lower(text_redacted), 'failure') OR contains(lower(text_redacted), 'cannot find')
       OR contains(lower(text_redacted), 'is not defined') OR contains(lower(text_redacted), 'exception')
       OR contains(lower(text_redacted), 'npm err') OR contains(lower(text_redacted), 'fail ')
-      OR regexp_matches(text_redacted, 'TS\\d+:') OR regexp_matches(lower(text_redacted), 'error\\s*\\['))""",
+      OR regexp_matches(text_redacted, 'TS\\d+:') OR regexp_matches(lower(text_redacted), 'error\\s*\\[')"""
+
+
+@register(
+    "error_texts",
+    EV
+    + f"SELECT event_id FROM ev WHERE event_type = 'tool_result' AND ({_ERROR_SQL})",
 )
 def error_texts(spark, sf):
     ev = V.agent_events(spark, sf).where("event_type = 'tool_result'")
     return ev.where(is_error_text(F.col("text_redacted"))).select("event_id")
 
 
-@register("error_previews")
+@register(
+    "error_previews",
+    EV
+    + f"""SELECT event_id, array_to_string(list_slice(l, coalesce(list_position(list_transform(l, lambda x:
+        contains(lower(x), 'error') OR contains(lower(x), 'fail') OR contains(x, 'TS')
+        OR starts_with(ltrim(x), 'at ')), true), 1), len(l)), chr(10)) AS preview
+    FROM (SELECT event_id, string_split(text_redacted, chr(10)) AS l FROM ev
+      WHERE event_type = 'tool_result' AND ({_ERROR_SQL}))""",
+)
 def error_previews(spark, sf):
     ev = V.agent_events(spark, sf).where("event_type = 'tool_result'")
     bad = ev.where(is_error_text(F.col("text_redacted")))
@@ -268,7 +279,7 @@ def parse_times(spark, sf):
 # Topics use a substring hit list scored by text length, so that the score is exact.
 _TOPIC_HITS = """hits AS (SELECT *, CAST(length(text_redacted) AS DOUBLE) AS score FROM msg
   WHERE event_type = 'user_message' AND text_redacted ILIKE '%the%'
-  ORDER BY score DESC, event_id LIMIT 100)"""
+  ORDER BY score DESC, event_id)"""
 
 
 @register(
@@ -282,7 +293,7 @@ _TOPIC_HITS = """hits AS (SELECT *, CAST(length(text_redacted) AS DOUBLE) AS sco
           OVER (ORDER BY event_time, event_id) AS topic FROM lagged)
     SELECT CAST(topic AS BIGINT) AS topic, min(session_id) AS session_id, min(event_ts) AS "start",
       max(event_ts) AS "end", count(*) AS "count",
-      array_to_string(list_slice(list(left(replace(text_redacted, chr(10), ' '), 120)
+      array_to_string(list_slice(list(replace(text_redacted, chr(10), ' ')
         ORDER BY event_time, event_id) FILTER (length(text_redacted) > 15), 1, 2), '|') AS samples
     FROM numbered GROUP BY topic""",
 )
@@ -303,7 +314,7 @@ def topics(spark, sf):
         FROM lagged)
     SELECT session_id, CAST(topic AS BIGINT) AS topic, epoch_ms(min(event_time)) AS start_ms,
       epoch_ms(max(event_time)) AS end_ms, count(*) AS "count",
-      (list(left(replace(text_redacted, chr(10), ' '), 120) ORDER BY event_time, event_id)
+      (list(replace(text_redacted, chr(10), ' ') ORDER BY event_time, event_id)
         FILTER (length(text_redacted) > 15))[1] AS preview
     FROM numbered GROUP BY session_id, topic""",
 )

@@ -164,21 +164,16 @@ def accessed_files(spark, sf):
     return rows.withColumn("tools_used", F.array_join("tools_used", ","))
 
 
-# In the view few Read results lie close to a call and few end in a closer, so both
-# sides are moved onto whole hours or days and the results get one.
+# In the view few Read results lie close to a call, so both sides are moved onto whole hours or days.
 def _aligned(ev, unit="hour"):
-    is_result = (F.col("event_type") == "tool_result") & (F.col("tool_name") == "Read")
-    closed = F.when(is_result, F.concat("text_redacted", F.lit(" }"))).otherwise(F.col("text_redacted"))
-    return ev.withColumns({"event_time": F.date_trunc(unit, "event_time"), "text_redacted": closed})
+    return ev.withColumn("event_time", F.date_trunc(unit, "event_time"))
 
 
 def _aligned_sql(unit: str) -> str:
-    return f"""al AS (SELECT * REPLACE (date_trunc('{unit}', event_time) AS event_time,
-      CASE WHEN event_type = 'tool_result' AND tool_name = 'Read' THEN text_redacted || ' }}'
-        ELSE text_redacted END AS text_redacted) FROM ev)"""
+    return f"al AS (SELECT * REPLACE (date_trunc('{unit}', event_time) AS event_time) FROM ev)"
 
 
-_WHOLE = r"length(content) > 1000 AND regexp_matches(trim(right(content, 10)), '[})`]$')"
+_WHOLE = "length(content) >= 1"
 _READ_RESULTS = """SELECT event_id, epoch_ms(event_time) AS ms, text_redacted AS content FROM al
   WHERE event_type = 'tool_result' AND tool_name = 'Read'"""
 
@@ -241,7 +236,7 @@ def replay_edits(spark, sf):
 @register(
     "reconstruct",
     EV
-    + f""", d AS ({_EDIT_SQL.format(where=_AT_SQL + " AND " + _PATH_LIKE, limit=10000)}),
+    + f""", d AS ({_EDIT_SQL.format(where=_AT_SQL + " AND " + _PATH_LIKE, limit=1000000000)}),
     g AS (SELECT count(*) AS edits, list({{'old': old_string, 'new': new_string}}
       ORDER BY event_ts, event_id) AS e FROM d HAVING count(*) > 0),
     r AS (SELECT edits, {_FOLD} AS r FROM g)

@@ -61,7 +61,7 @@ _PLANTED_SQL = f"""planted AS (SELECT doc_id, left(text, 50) || ' ' || [{_SECRET
 
 def _planted(spark, sf):
     secrets = F.array(*[F.lit(s) for s in (*_SECRETS, "none")])
-    docs = V.spread(V.table(spark, sf, "documents"))
+    docs = V.table(spark, sf, "documents")
     first = F.element_at(secrets, (F.col("doc_id") % 33 + 1).cast("int"))
     second = F.element_at(secrets, (F.floor(F.col("doc_id") / 33) % 33 + 1).cast("int"))
     text = F.concat(F.left("text", F.lit(50)), F.lit(" "), first, F.lit(" "), "text", F.lit(" "), second, F.lit(" ."))
@@ -111,7 +111,7 @@ def redact_manifest(spark, sf):
 @register(
     "redact_report",
     f"""WITH {_PLANTED_SQL}, {_SPANS_SQL} SELECT type, count(*) AS matches,
-      min(CASE WHEN length(match) > 20 THEN left(match, 20) || '...' ELSE match END) AS preview
+      min(match) AS preview
     FROM spans GROUP BY type""",
 )
 def redact_report(spark, sf):

@@ -360,7 +360,6 @@ def plan_log_summary(spark, sf):
 
 # Phrases of each valid action, written out for the comparison.
 _K = 5
-_CAPS = X.candidate_caps(_K)
 _FTS_ACTIONS = {
     ("q0", 1): [["that"], ["tion"]],
     ("q0", 4): [["from"], ["of", "the"]],
@@ -404,10 +403,7 @@ _FUSED_SQL = f"""{_VALID_SQL}, {_BM25_ALL},
   strict AS (SELECT * FROM valid UNION ALL
     SELECT query_id, 2147483647, 'fts', '"' || text || '"', 1.2 FROM queries),
   all_hits AS ({_action_hits()}),
-  capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, action_id
-      ORDER BY score DESC, id) AS rn FROM all_hits)
-    WHERE rn <= CASE type WHEN 'fts' THEN {_CAPS["fts"]} ELSE {_CAPS["regex_like"]} END),
-  kept AS (SELECT c.*, d.content FROM capped c JOIN docs d USING (id) WHERE d.lang IN ('en', 'fr')),
+  kept AS (SELECT c.*, d.content FROM all_hits c JOIN docs d USING (id) WHERE d.lang IN ('en', 'fr')),
   normed AS (SELECT k.query_id, k.id, k.content,
       k.score / greatest(max(k.score) OVER (PARTITION BY k.query_id, k.action_id), 1.0) AS s,
       v.weight * CASE v.type WHEN 'regex_like' THEN 1.2 ELSE 0.95 END AS w

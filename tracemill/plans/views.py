@@ -5,8 +5,6 @@ Each view exists twice: as a DataFrame here and as SQL text for the comparison.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over as many tasks as there are cores, if the files have fewer splits.
-
-    Large inputs have more splits than cores and are left as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
-@lru_cache(maxsize=16)
-def _document_count(spark: SparkSession, sf_dir: str) -> int:
-    return table(spark, sf_dir, "documents").count()
-
-
 _NARROW = """
 SELECT
   event_id AS eid,
@@ -103,11 +87,11 @@ def agent_events(spark: SparkSession, sf_dir: str, with_text: bool = True) -> Da
     wide = events_of(spark, table(spark, sf_dir, "events"))
     if not with_text:
         return wide.drop("eid")
-    n = _document_count(spark, sf_dir)
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     tail = F.expr(_TEXT_TAIL.replace("}}", "}"))
     return (
-        wide.withColumn("doc_id", F.col("eid") % n)
+        wide.withColumn("doc_id", F.col("eid") % number.scalar())
         .join(docs, "doc_id")
         .withColumn("text_redacted", F.concat("text", tail))
         .drop("eid", "doc_id", "text")
@@ -250,7 +234,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             AS created_at
         FROM {documents}
         """,
-        documents=spread(table(spark, sf_dir, "documents")),
+        documents=table(spark, sf_dir, "documents"),
     )
 
 

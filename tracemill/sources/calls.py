@@ -86,20 +86,18 @@ def _filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def call_text(tool: Column, value, order: Sequence[str], pattern_cut: int | None = None) -> Column:
+def call_text(tool: Column, value, order: Sequence[str]) -> Column:
     """Searchable line about a call: its path, else its pattern, command or query.
 
     `value` maps an argument name to its text; `order` names the path arguments.
     """
     pattern = _filled(value("pattern"))
-    if pattern_cut:
-        pattern = F.left(pattern, F.lit(pattern_cut))
     paths = [F.concat(F.lit(" "), _filled(value(k))) for k in order]
     detail = F.coalesce(
         *paths,
         F.concat(F.lit(' pattern="'), pattern, F.lit('"')),
-        F.concat(F.lit(" $ "), F.left(_filled(value("command")), F.lit(100))),
-        F.concat(F.lit(' query="'), F.left(_filled(value("query")), F.lit(50)), F.lit('"')),
+        F.concat(F.lit(" $ "), _filled(value("command"))),
+        F.concat(F.lit(' query="'), _filled(value("query")), F.lit('"')),
         F.lit(""),
     )
     return F.concat(F.lit("Tool: "), tool, detail)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tracemill.functions.identity import (
     decoded_directory,
@@ -26,16 +30,7 @@ from tracemill.sources.calls import (
     variant_paths,
     without_markup,
 )
-from tracemill.sources.lines import first_lines, read_lines, running_sum
-
-# How much of a text is kept.
-RESULT_CHARS = 50_000
-WRITE_CHARS = 100_000
-BLOCK_RESULT_CHARS = 10_000
-TOP_RESULT_CHARS = 5_000
-
-# Nesting of content inside content that is followed.
-_DEPTH = 4
+from tracemill.sources.lines import read_lines, running_sum
 
 _PIECE = (
     "kind string, event_type string, text string, tool string, args string, "
@@ -44,22 +39,52 @@ _PIECE = (
 _PIECES = "array<struct<" + ",".join(c.strip().replace(" ", ":", 1) for c in _PIECE.split(", ")) + ">>"
 
 
-def content_text(content: Column, depth: int = _DEPTH) -> Column:
-    """Text of a string, of a list of blocks, or of an object with a text."""
+def _nested_text(content) -> str | None:
+    """Text of parsed content, however deep its blocks are nested; nesting is followed without recursion."""
+
+    def own(part):
+        if isinstance(part, str):
+            return part
+        return part["text"] if isinstance(part, dict) and isinstance(part.get("text"), str) else None
+
+    if not isinstance(content, list):
+        return own(content)
+    texts, todo = [], [iter(content)]
+    while todo:
+        block = next(todo[-1], todo)
+        if block is todo:
+            todo.pop()
+        elif own(block) is not None:
+            texts.append(own(block))
+        elif isinstance(block, dict):
+            inner = block.get("content")
+            if isinstance(inner, list):
+                todo.append(iter(inner))
+            else:
+                texts.append(own(inner))
+    return "\n".join(t for t in texts if t)
+
+
+@F.pandas_udf(T.StringType())
+def _deep_text(content: pd.Series) -> pd.Series:
+    return content.map(lambda text: None if text is None else _nested_text(json.loads(text)))
+
+
+def content_text(content: Column) -> Column:
+    """Text of a string, of a list of blocks, or of an object with a text.
+
+    Blocks within blocks are rare and nest to any depth: only such content leaves the JVM.
+    """
+    blocks = F.try_variant_get(content, "$", "array<variant>")
+    deep = F.exists(blocks, lambda b: F.try_variant_get(b, "$.content", "variant").isNotNull())
 
     def block_text(block: Column) -> Column:
-        inner = F.try_variant_get(block, "$.content", "variant")
-        nested = content_text(inner, depth - 1) if depth > 1 else F.lit(None).cast("string")
-        return (
-            F.when(is_string(block), F.try_variant_get(block, "$", "string"))
-            .when(string_at(block, "$.text").isNotNull(), string_at(block, "$.text"))
-            .otherwise(nested)
-        )
+        return F.when(is_string(block), F.try_variant_get(block, "$", "string")).otherwise(string_at(block, "$.text"))
 
-    blocks = F.transform(F.try_variant_get(content, "$", "array<variant>"), block_text)
-    filled = F.filter(blocks, lambda t: F.nullif(t, F.lit("")).isNotNull())
+    filled = F.filter(F.transform(blocks, block_text), lambda t: F.nullif(t, F.lit("")).isNotNull())
     return F.coalesce(
         F.when(is_string(content), F.try_variant_get(content, "$", "string")),
+        _deep_text(F.when(deep, F.to_json(content))),
         F.array_join(filled, "\n"),
         F.try_variant_get(content, "$.text", "string"),
         F.lit(""),
@@ -100,7 +125,7 @@ def _markup_pieces(calls: Column) -> Column:
                 _piece(
                     "markup_result",
                     "tool_result",
-                    F.left(call["result"], F.lit(RESULT_CHARS)),
+                    call["result"],
                     back=F.lit(1),
                     redacted=F.lit(True),
                     **shared,
@@ -114,7 +139,7 @@ def _markup_pieces(calls: Column) -> Column:
                 _piece(
                     "markup_write",
                     "tool_result",
-                    F.left(content, F.lit(WRITE_CHARS)),
+                    content,
                     back=F.when(call["result"].isNotNull(), 2).otherwise(1),
                     **shared,
                 )
@@ -149,7 +174,6 @@ def _contents(parsed: DataFrame) -> DataFrame:
         "*", F.posexplode_outer("blocks").alias("at", "b")
     )
     raw = F.get_json_object("line", "$.message")
-    whole = F.when(is_string(F.col("message")), raw).otherwise(F.left(raw, F.lit(TOP_RESULT_CHARS)))
     said = F.when(is_string(F.col("content")), F.try_variant_get("content", "$", "string"))
     # The raw text keeps the order of the keys.
     place = F.concat(F.lit("$.message.content["), F.col("at").cast("string"), F.lit("].input"))
@@ -168,7 +192,7 @@ def _contents(parsed: DataFrame) -> DataFrame:
         F.when((F.col("record") == "user") & F.col("message").isNotNull(), content_text(F.col("content"))).alias(
             "user_text"
         ),
-        F.when((F.col("record") == "result") & raw.isNotNull(), whole).alias("result_text"),
+        F.when((F.col("record") == "result") & raw.isNotNull(), raw).alias("result_text"),
         F.when(F.col("record") == "assistant", said).alias("said"),
         F.when(F.col("record") == "assistant", F.coalesce(said, F.when(F.col("btype") == "text", block_text))).alias(
             "text"
@@ -216,7 +240,7 @@ def _with_pieces(rows: DataFrame) -> DataFrame:
     write = _piece(
         "use_write",
         "tool_result",
-        F.left("written", F.lit(WRITE_CHARS)),
+        F.col("written"),
         tool=F.col("tool"),
         paths=F.col("paths"),
         back=F.lit(1),
@@ -337,7 +361,6 @@ def _finish(each: DataFrame, device_id: str, ingest_ts: str, redact_secrets: boo
         text = F.when(F.col("redacted"), redact(F.col("text"))).otherwise(F.col("text"))
         spans = F.when(F.col("redacted"), manifest(F.col("text")))
         args = redact_json(args)
-    text = F.when(kind == "block_result", F.left(text, F.lit(BLOCK_RESULT_CHARS))).otherwise(text)
     return each.select(
         event_id(F.col("source_id"), F.col("seq"), content).alias("event_id"),
         "source_id",
@@ -371,12 +394,10 @@ def line_status(lines: DataFrame, device_id: str) -> DataFrame:
 
 
 def working_directories(lines: DataFrame) -> DataFrame:
-    """Distinct directories: the first one named in the first ten lines of a file, and
-    the one its folder name spells."""
-    early = first_lines(records(lines), 10)
+    """Distinct directories: the first one that a line of a file names, and the one its folder name spells."""
     cwd = F.nullif(F.try_variant_get("entry", "$.cwd", "string"), F.lit(""))
     named = (
-        early.withColumn("cwd", cwd)
+        records(lines).withColumn("cwd", cwd)
         .where("cwd is not null")
         .groupBy("path")
         .agg(F.min_by("cwd", F.struct("block", "pos")).alias("directory"))

@@ -58,12 +58,6 @@ def running_sum(
     )
 
 
-def first_lines(lines: DataFrame, n: int) -> DataFrame:
-    """The first n lines of every file."""
-    order = W.partitionBy("path").orderBy("block", "pos")
-    return lines.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).drop("rn")
-
-
 def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, size, modified) of the files below a folder; contents are not read."""
     files = (

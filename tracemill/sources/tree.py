@@ -14,9 +14,6 @@ from tracemill.schema import promote
 from tracemill.sources.calls import TREE_PATH_KEYS, call_text, variant_paths
 from tracemill.sources.lines import running_sum
 
-# How much of an output is kept, for whole files and for other tools.
-FILE_CHARS = 200_000
-OUTPUT_CHARS = 50_000
 
 _MINUTE_MS, _HOUR_MS = 60_000, 3_600_000
 
@@ -116,9 +113,8 @@ def _output(part: str = "state") -> Column:
 def _result_text() -> Column:
     written = F.nullif(F.get_json_object("state.input", "$.content"), F.lit(""))
     return (
-        F.when((F.col("tool") == "write") & written.isNotNull(), F.left(written, F.lit(FILE_CHARS)))
-        .when(F.col("tool").isin("read", "Read"), F.left(_output(), F.lit(FILE_CHARS)))
-        .otherwise(F.left(_output(), F.lit(OUTPUT_CHARS)))
+        F.when((F.col("tool") == "write") & written.isNotNull(), written)
+        .otherwise(_output())
     )
 
 
@@ -242,7 +238,6 @@ def _part_events(parts: DataFrame) -> DataFrame:
         F.col("tool"),
         lambda k: F.get_json_object("state.input", f"$.{k}"),
         ("filePath", "path", "file_path"),
-        pattern_cut=50,
     )
     called = event(
         F.lit("tool_call"),
