@@ -220,10 +220,9 @@ def test_classes_of_a_chain_and_of_near_copies(spark):
     assert sorted(tuple(r) for r in got) == brute_classes(rows)
 
 
-def test_blocks_finish_what_the_rounds_leave(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+def test_blocks_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 5)
-    rows = [row(i, edited(prose(80 + i % 3, 150), 60 + i)) for i in range(30)]
+    rows = [row(i, edited(prose(80 + i % 3, 150), 9 + i)) for i in range(60)]
     got = jaccard_join.classes(frame(spark, rows)).collect()
     assert sorted(tuple(r) for r in got) == brute_classes(rows)
 
@@ -237,7 +236,27 @@ def test_alike_sets_share_a_signature():
         two = np.unique(np.r_[rng.permutation(one)[gone:], rng.integers(0, 1 << 63, rng.integers(0, max(1, n // 9) + 1)).astype(np.uint64)])
         both = len(np.intersect1d(one, two))
         if 100 * both >= 85 * (len(one) + len(two) - both) and len(np.setxor1d(one, two)):
-            assert len(np.intersect1d(jaccard_join.signatures(one, bands), jaccard_join.signatures(two, bands)))
+            for frequent in (one[:0], one[: n // 3], np.union1d(one, two), two[::2]):
+                a, b = (jaccard_join.signatures(x, bands, frequent) for x in (one, two))
+                assert len(np.intersect1d(a, b))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_shared_rows_of_any_batches(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    rows = sorted({(int(s), int(x)) for s, x in zip(rng.integers(0, 60, 300), rng.integers(0, 9, 300), strict=True)} | {(70, i) for i in range(40)} | {(99, 1)})
+    rows = sorted(rows + rows[::5])
+    table = pa.table({"sig": [r[0] for r in rows], "lo": [r[1] for r in rows]})
+    got = {}
+    for batch in jaccard_join._shared(iter(table.to_batches(max_chunksize=size))):
+        for gid, lo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got.setdefault(gid, set()).add(lo)
+    want = {}
+    for s, x in rows:
+        want.setdefault(s, set()).add(x)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
 
 
 def test_components(spark):

@@ -1,19 +1,22 @@
 """Texts whose sets of word shingles are alike, by PartEnum signatures.
 
 Sets are dealt into bands of size, so that two sets alike enough are in the same or in neighbouring bands, and in
-a pair of bands they differ in at most k elements. The domain of the hashes is split into k // 2 + 1 partitions of
-which one holds at most one of the differences, and each of these again in two: leaving out one half of it, all
-subsets but one are tried, two such sets agree on what is left. Hashes of these parts are the signatures.
+a pair of bands they differ in at most k elements. The domain of the hashes is split into partitions, more than half
+of k, so that one holds at most one of the differences, and each of these again in two, of which one is left out in
+turn: two such sets agree on what is left of that partition. Hashes of these parts are the signatures.
+
+Passages that many texts share would make groups of texts that are not alike. Shingles that are frequent in a
+sample of texts are therefore left out of the domain; what is left of two sets differs in no more than k elements
+either. Sets that keep too little for a guarantee give signatures of their whole as well. Which shingles count as
+frequent changes the groups and never the result.
 
 Equal sets are one node. Nodes that share a signature are compared by their whole sets: with the first node of
-the signature's group, then the second and so on as long as a group spans several components, and what a few
-rounds leave is compared block against block. Pairs within one component decide nothing and are not compared.
+the signature's group, and where a group still spans several components, block against block, by 16 bits of each
+hash first. Pairs within one component decide nothing and are not compared.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,10 +29,14 @@ from tracemill.llm.graph import components
 
 #: Texts that are split at a time, in bytes.
 SLICE_BYTES = 4 << 20
-#: Rounds in which a group's next node meets the others, and nodes of a block after that.
-ROUNDS, BLOCK = 5, 64
-#: Other partitionings for sets that one leaves with an empty half.
-SEEDS = 4
+#: Nodes of a group that are compared in one task.
+BLOCK = 2048
+#: Partitions beyond half the difference, which make up for empty halves; other partitionings where they don't.
+SPARE, SEEDS = 2, 4
+#: Texts of the sample, about; shingles in so many of them are frequent. Together they bound the frequent ones.
+SAMPLE, FREQUENT = 8_000, 4
+#: Bits of the filter that tells most texts without a partner before their sets are made again.
+FILTER_BITS = 1 << 25
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,31 +105,42 @@ class Bands:
         return rest * 2 * self.tops[band] // (200 - rest)
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of one set; sets that are alike but not equal share at least one."""
-    out = []
+def _cells(s: np.ndarray, k: int, tag: int) -> np.ndarray:
+    """Hashes of the filled halves of the partitions of a sorted set."""
+    n = 2 * (k // 2 + SPARE)
+    edges = (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
+    stops = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)))
+    half = upto[stops[1:]] - upto[stops[:-1]]
+    some = stops[1:] > stops[:-1]
+    tags = np.arange(n, dtype=np.uint64) + np.uint64(tag << 32)
+    return _mix(half + _mix(tags))[some]
+
+
+def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
+    """Signatures of one set; sets that are alike but not equal share at least one.
+
+    k differences touch at most k of the halves, so if one of two sets fills more than k, both share a filled one.
+    """
     if not len(s):
         return np.zeros(0, np.int64)
-    band = bands.of(len(s))
-    for at in (band, band + 1):
-        k = bands.k(at)
+    out, band = [], bands.of(len(s))
+    at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
+    rest = s[frequent[at] != s] if len(frequent) else s
+    for instance in (band, band + 1):
+        k = bands.k(instance)
         if not k:  # only equal sets are alike
             continue
-        first = k // 2 + 1
-        for seed in range(SEEDS):
-            h = s if not seed else np.sort(_mix(s + np.uint64(seed)))
-            edges = (np.arange(1, 2 * first, dtype=np.float64) * (2.0**64 / (2 * first))).astype(np.uint64)
-            stops = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
-            upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)))
-            half = upto[stops[1:]] - upto[stops[:-1]]
-            some = stops[1:] > stops[:-1]
-            tag = np.arange(2 * first, dtype=np.uint64) + np.uint64((at * SEEDS + seed) << 32)
-            out.append(_mix(half + _mix(tag))[some])
-            # a partition with both halves filled that holds at most one difference gives a filled half in common
-            if (some[0::2] & some[1::2]).all():
+        tag = instance * (SEEDS + 1)
+        out.append(_cells(rest, k, tag))
+        if len(out[-1]) > k:
+            continue
+        for seed in range(1, SEEDS + 1):
+            out.append(_cells(np.sort(_mix(s + np.uint64(seed))), k, tag + seed))
+            if len(out[-1]) > k:
                 break
         else:
-            out.append(_mix(np.array([(at << 8) | 0xFF], np.uint64)))
+            out.append(_mix(np.array([tag, 0xFF], np.uint64))[:1] + np.uint64(1))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -139,7 +157,17 @@ def _sets(width: int):
     return run
 
 
-def _signed(width: int, share: int):
+def _sampled(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("_text"), width))
+            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), [])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    return run
+
+
+def _signed(width: int, share: int, frequent: np.ndarray):
     def run(batches):
         bands, seen = Bands(share), set()
         for batch in batches:
@@ -152,7 +180,7 @@ def _signed(width: int, share: int):
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-                    sigs.append(signatures(s, bands))
+                    sigs.append(signatures(s, bands, frequent))
                     los.append(np.full(len(sigs[-1]), key[1], np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(los))], ["sig", "lo"])
@@ -161,31 +189,68 @@ def _signed(width: int, share: int):
 
 
 def _shared(batches):
-    """Of rows sorted by (sig, lo), the distinct ones whose sig has several; one row is held between batches."""
-    held, wanted = None, False
+    """(gid, lo): the distinct rows of groups of several, of rows sorted by (sig, lo).
+
+    Groups that begin and end within a batch and have the same members become one. A group's first rows may come
+    with one batch and the rest with the next: then it keeps its signature as its name, and one row is held.
+    """
+    held, wanted, seen = None, False, set()
     for batch in batches:
         sig, lo = batch.column("sig").to_numpy(), batch.column("lo").to_numpy()
         if held is not None:
             sig, lo = np.r_[held[0], sig], np.r_[held[1], lo]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1])]
         sig, lo = sig[new], lo[new]
-        if not len(sig):
-            continue
-        with_next = np.r_[sig[1:] == sig[:-1], False]
-        with_last = np.r_[wanted, sig[1:] == sig[:-1]]
-        held, wanted_next = (sig[-1], lo[-1]), bool(with_last[-1])
-        keep = (with_next | with_last)[:-1]
-        wanted = wanted_next
+        same = sig[1:] == sig[:-1]
+        several = np.r_[wanted, same] | np.r_[same, False]
+        held, wanted = (sig[-1], lo[-1]), bool(several[-1] and (len(sig) > 1 and same[-1] or wanted and len(sig) == 1))
+        name, keep = sig.copy(), several
+        keep[-1] = False  # the last row comes again
+        starts = np.flatnonzero(np.r_[True, ~same])
+        stops = np.r_[starts[1:], len(sig)]
+        members = np.add.reduceat(_mix(lo.view(np.uint64) ^ np.uint64(0xE7037ED1A0B428DB)), starts)
+        for a, b, m in zip(starts, stops, members, strict=True):
+            if b - a > 1 and a > 0 and b < len(sig):
+                if int(m) in seen:
+                    keep[a:b] = False
+                else:
+                    seen.add(int(m))
+                    name[a:b] = np.uint64(m).view(np.int64)
+        if len(seen) > 500_000:
+            seen.clear()
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep]), pa.array(lo[:-1][keep])], ["sig", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(lo[keep])], ["gid", "lo"])
     if held is not None and wanted:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], ["sig", "lo"])
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], ["gid", "lo"])
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashed ids, the same few MB for any number of them."""
+    slot = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS))
+    words = (
+        ids.select(slot.alias("slot"))
+        .groupBy(F.call_function("bitmap_bucket_number", F.col("slot")).alias("bucket"))
+        .agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("slot"))).alias("bits"))
+    )
+    size = 4096 * 8
+    out = np.zeros((FILTER_BITS // size + 2, size // 8), np.uint8)
+    for r in words.collect():
+        out[r.bucket] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
 
-def _hashes(width: int):
+def _hashes(width: int, wanted: np.ndarray):
+    """Whole sets of the texts whose id the filter lets pass."""
+
     def run(batches):
         for batch in batches:
-            rows = list(shingle_sets(batch.column("_text"), width))
+            slot = batch.column("_slot").to_numpy(zero_copy_only=False)
+            at = slot - 1  # buckets count from 1, and bit 0 is slot 1
+            bucket, bit = at // 32768 + 1, at % 32768
+            zero = slot == 0
+            bucket, bit = np.where(zero, 0, bucket), np.where(zero, 0, bit)
+            hit = (wanted[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
+            rows = list(shingle_sets(batch.filter(pa.array(hit.astype(bool))).column("_text"), width))
             hashes = pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))
             keys = [set_hash(s) if len(s) else (None, None) for s in rows]
             hi, lo = zip(*keys, strict=True) if keys else ((), ())
@@ -204,40 +269,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= share * union).select("a", "b")
 
 
-def _block_links(share: int):
-    def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        nodes, comps = table.column("node").to_numpy(), table.column("component").to_numpy()
-        sets = [np.asarray(x.values) for x in table.column("hashes")]
-        out = []
-        for i in range(len(nodes)):
-            for j in range(i + 1, len(nodes)):
-                if comps[i] != comps[j]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= share * (len(sets[i]) + len(sets[j]) - both):
-                        out.append((nodes[i], nodes[j]))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
+def _near_pairs(table: pa.Table, share: int) -> pa.Table:
+    """Pairs of different components within a block, or across two, that may be alike by 16 bits of each hash.
 
-def _links_in_blocks(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links among the members (sig, pos, node, component) of groups, blocks of each against one another."""
-    own = F.floor((F.col("pos") - 1) / BLOCK)
-    blocks = F.floor((F.max("pos").over(Window.partitionBy("sig")) - 1) / BLOCK)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks"))).alias("_other")
+    Common 16-bit values are at least as many as common elements, so no link is lost.
+    """
+    nodes, comps, side = (table.column(c).to_numpy() for c in ("node", "component", "side"))
+    sets = table.column("bits").combine_chunks()
+    flat = sets.flatten().to_numpy().view(np.uint16)
+    size = np.asarray(pc.list_value_length(sets)).astype(np.int64)
+    stop = np.cumsum(size)
+    start = stop - size
+    out_a, out_b = [], []
+    there = np.zeros(1 << 16, np.int64)
+    crossed = len(np.unique(side)) > 1
+    for i in range(len(nodes)):
+        if crossed and side[i]:
+            continue
+        there[:] = 0
+        there[flat[start[i] : stop[i]]] = 1
+        both = np.add.reduceat(there[flat], start)
+        near = (100 * both >= share * (size[i] + size - both)) & (comps != comps[i])
+        near &= side == 1 if crossed else np.arange(len(nodes)) > i
+        out_a.append(np.full(near.sum(), nodes[i]))
+        out_b.append(nodes[near])
+    join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+    return pa.table({"a": join(out_a), "b": join(out_b)})
+
+
+def _pairs_in_blocks(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) among the members (gid, node, component) of each group that may be alike.
+
+    A group of up to BLOCK members is one block. A larger one is cut into blocks, each of which meets each other one
+    in a task of its own; what travels is 16 bits an element.
+    """
+    group = Window.partitionBy("gid")
+    place = F.row_number().over(group.orderBy("node")) - 1
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks"))).alias("_other")
+    bits = sets.select("node", F.transform("hashes", lambda h: F.shiftright(h, 48).cast("short")).alias("bits"))
     spread = (
-        members.withColumn("_own", own)
-        .withColumn("_blocks", blocks)
-        .select("sig", "node", "component", "_own", other)
-        .select("sig", "node", "component", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
-        .distinct()
-        .join(sets.dropDuplicates(["node"]), "node")
-    )
-    return spread.groupBy("sig", "_low", "_high").applyInArrow(
-        lambda t: pa.Table.from_batches(list(_block_links(share)(t.to_batches()))), "a long, b long"
+        members.withColumn("_own", F.floor(place / BLOCK).cast("int"))
+        .withColumn("_blocks", F.max("_own").over(group))
+        .select("gid", "node", "component", "_own", other)
+        .select(
+            "gid",
+            "node",
+            "component",
+            F.least("_own", "_other").alias("_low"),
+            F.greatest("_own", "_other").alias("_high"),
+            (F.col("_own") > F.col("_other")).cast("int").alias("side"),
+        )
+        .join(bits, "node")
     )
+    return spread.groupBy("gid", "_low", "_high").applyInArrow(lambda t: _near_pairs(t, share), "a long, b long").distinct()
 
 
 def classes(
@@ -256,65 +340,40 @@ def classes(
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sets = written(rows.mapInArrow(_sets(width), "id long, n long, hi long, lo long"), "join-sets")
     distinct = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"))
+    part = min(1.0, SAMPLE / max(1, sets.count()))
+    often = rows.select("_text").sample(part, 11).mapInArrow(_sampled(width), "h long, n long")
+    often = often.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).collect()
+    frequent = np.sort(np.array([r.h for r in often], np.int64).view(np.uint64))
     shared = written(
         rows.select("_text")
-        .mapInArrow(_signed(width, share), "sig long, lo long")
+        .mapInArrow(_signed(width, share, frequent), "sig long, lo long")
         .repartition(partitions(spark), "sig")
         .sortWithinPartitions("sig", "lo")
-        .mapInArrow(_shared, "sig long, lo long"),
+        .mapInArrow(_shared, "gid long, lo long")
+        .distinct(),
         "join-shared",
     )
     nodes = written(
         distinct.join(shared.select("lo").distinct(), "lo", "left_semi").withColumn("node", F.monotonically_increasing_id()),
         "join-nodes",
     )
-    place = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-    members = written(
-        shared.join(nodes.select("lo", "node"), "lo").select("sig", "node", place.alias("pos")), "join-members"
-    )
-    wanted = nodes.select(F.col("rep").alias("_rep")).distinct()
-    whole = (
-        rows.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
-        .select("_text")
-        .mapInArrow(_hashes(width), "hi long, lo long, hashes array<long>")
-    )
+    members = written(shared.join(nodes.select("lo", "node"), "lo").select("gid", "node"), "join-members")
+    wanted = _id_filter(nodes.select(F.coalesce("rep", F.lit(0)).alias("_id")))
+    slot = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(0))), F.lit(FILTER_BITS)).alias("_slot")
+    whole = rows.select(slot, "_text").mapInArrow(_hashes(width, wanted), "hi long, lo long, hashes array<long>")
     whole = written(whole.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "hashes"), "join-hashes")
 
-    found = spark.createDataFrame([], "node long, component long")
-    for turn in range(1, ROUNDS + 2):
-        placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        group = Window.partitionBy("sig")
-        mixed = placed.where(f"pos >= {turn}").withColumn("_min", F.min("component").over(group)).withColumn("_max", F.max("component").over(group))
-        mixed = mixed.where("_min <> _max").drop("_min", "_max")
-        if turn <= ROUNDS:
-            head = F.first(F.when(F.col("pos") == turn, F.struct("node", "component")), ignorenulls=True).over(group)
-            pairs = (
-                mixed.withColumn("head", head)
-                .where("component <> head.component")
-                .select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-                .distinct()
-            )
-            links = _verified(pairs, whole, share)
-        else:
-            links = _links_in_blocks(written(mixed, "join-rest"), whole, share)
-        links = written(links, f"join-links{turn}")
-        if links.isEmpty():
-            if turn <= ROUNDS and mixed.where(f"pos > {turn}").isEmpty():
-                break
-            continue
-        ends = reduce(
-            lambda rows, c: rows.join(found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c)),
-            "ab",
-            links,
-        )
-        merged = written(components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")), f"join-components{turn}"), f"join-merged{turn}")
-        nodes_now = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("_now"))
-        found = written(
-            nodes_now.join(merged.select(F.col("node").alias("_now"), "component"), "_now", "left").select(
-                "node", F.coalesce("component", "_now").alias("component")
-            ),
-            f"join-found{turn}",
-        )
+    firsts = members.groupBy(F.col("gid").alias("_gid")).agg(F.min("node").alias("a"))
+    stars = members.join(firsts, F.col("gid") == F.col("_gid")).where("node > a").select("a", F.col("node").alias("b"))
+    links = written(_verified(stars.distinct(), whole, share), "join-stars")
+    found = written(components(links, "join-components"), "join-found")
+    group = Window.partitionBy("gid")
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = placed.withColumn("_min", F.min("component").over(group)).withColumn("_max", F.max("component").over(group))
+    mixed = ends.where("_min <> _max").select("gid", "node", "component")
+    near = written(_pairs_in_blocks(mixed, whole, share), "join-near")
+    links = links.unionAll(written(_verified(near, whole, share), "join-links"))
+    found = components(links, "join-components")
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("least"))
     of_set = labelled.join(least, "component").select("hi", "lo", "least")
