@@ -16,19 +16,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import written
 
-END = b"\n"
+END = "\n"
 #: Frequent tokens that are classes of their own, classes of the rest, vector length, tokens of context.
-OWN, SHARED, SIZE, CONTEXT = 448, 64, 32, 5
+OWN, SHARED, SIZE, CONTEXT = 256, 64, 24, 4
 #: Most frequent tokens whose counts travel with the tasks: a bound on what is broadcast. Others are joined.
-CARRIED = 200_000
+CARRIED = 100_000
 #: Tokens a task counts before it hands its counts on.
 COUNTED = 300_000
-BATCH, NOISE, RATE = 1024, 64, 0.1
+BATCH, NOISE, RATE = 2048, 48, 0.1
+#: Positions that are scored at a time.
+SCORED = 1024
+#: Texts that are split at a time, in bytes.
+SLICE_BYTES = 4 << 20
 #: Share of the documents of the first round, which gives the tasks of the second a common direction.
 FIRST = 16
 
@@ -38,21 +43,50 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
+@dataclass
+class Run:
+    """Tokens of some whole texts: distinct words, the code of each token, and where each text starts and ends."""
+
+    words: list[str]
+    codes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def place(self) -> np.ndarray:
+        """Each token's place in its text."""
+        return np.arange(len(self.codes)) - np.repeat(self.starts, self.ends - self.starts)
+
+
+def runs(texts: pa.Array):
+    """Words of each text, A-Z lower-cased, and one end after them; null is the end alone."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    size = np.cumsum(np.asarray(pc.binary_length(texts)))
+    cuts = np.searchsorted(size, np.arange(0, size[-1] if len(size) else 0, SLICE_BYTES)[1:], "right")
+    edges = sorted({0, *cuts.tolist(), len(texts)})
+    for a, b in zip(edges, edges[1:], strict=False):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, b - a)))
+        flat, stops = split.flatten(), np.asarray(split.offsets)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        filled = np.asarray(pc.binary_length(flat)) > 0  # splitting may leave empty words at the ends
+        upto = np.concatenate(([0], np.cumsum(filled)))[stops - stops[0]]
+        codes = np.insert(np.asarray(coded.indices)[filled].astype(np.int64), upto[1:], len(words))
+        ends = upto[1:] + np.arange(1, len(upto))
+        yield Run([*words, END], codes, np.r_[0, ends[:-1]], ends)
 
 
 def _count(batches):
     def out(held):
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "n"]
+            [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "n"]
         )
 
-    held: dict[bytes, int] = {}
+    held: dict[str, int] = {}
     for batch in batches:
-        for text in batch.column("_text"):
-            for t in tokens(text.as_py()):
-                held[t] = held.get(t, 0) + 1
+        for run in runs(batch.column("_text")):
+            for word, n in zip(run.words, np.bincount(run.codes, minlength=len(run.words)).tolist(), strict=True):
+                if n:
+                    held[word] = held.get(word, 0) + n
             if len(held) > COUNTED:
                 yield out(held)
                 held = {}
@@ -64,9 +98,9 @@ def _count(batches):
 class Vocabulary:
     """Counts of the most frequent tokens and the classes of all tokens."""
 
-    index: dict[bytes, int]
+    index: dict[str, int]
     count: np.ndarray
-    suffix: dict[bytes, int]
+    suffix: dict[str, int]
     of: np.ndarray  # class of each carried token
     total: int  # training tokens
     distinct: int
@@ -76,7 +110,7 @@ class Vocabulary:
     def classes(self) -> int:
         return len(self.class_total)
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
+    def encode(self, words: list[str]) -> np.ndarray:
         """Index of each token, or -1 less its class where the token isn't carried."""
         get, suffix, other = self.index.get, self.suffix.get, self.classes() - 1
         return np.array([i if (i := get(w, -1)) >= 0 else -1 - suffix(w[-2:], other) for w in words], np.int64)
@@ -88,17 +122,17 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, own: int = OWN, shared: int = SHARED, carried: int = CARRIED) -> Vocabulary:
     """Of the counts (token, n) of all training documents; the driver gets a bounded number of rows."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(carried).collect()
-    index = {bytes(r.token): i for i, r in enumerate(top)}
-    count = np.array([r.n for r in top], np.int64)
-    own = min(own, len(top))
-    first = [bytes(r.token) for r in top[:own]]
+    top = counts.orderBy(F.desc("n"), "token").limit(carried).toArrow()
+    words = top.column("token").to_pylist()
+    index = {w: i for i, w in enumerate(words)}
+    count = top.column("n").to_numpy().astype(np.int64)
+    own = min(own, len(words))
+    first = words[:own]
     rest = counts.where(~F.col("token").isin(first)) if first else counts
-    last_two = F.expr("substring(token, greatest(1, octet_length(token) - 1), 2)")
-    ends = rest.groupBy(last_two.alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+    ends = rest.groupBy(F.right("token", F.lit(2)).alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
     sums = ends.agg(F.sum("n"), F.sum("d")).first()
     best = ends.orderBy(F.desc("n"), "s").limit(shared - 1).collect()
-    suffix = {bytes(r.s): own + i for i, r in enumerate(best)}
+    suffix = {r.s: own + i for i, r in enumerate(best)}
     size = own + shared
     class_total, class_distinct = np.zeros(size, np.int64), np.zeros(size, np.int64)
     class_total[:own], class_distinct[:own] = count[:own], 1
@@ -143,16 +177,15 @@ class Model:
     def log_probability(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each class's probability after the classes before it, normalised over all classes."""
         out = np.empty(len(target))
-        columns = np.ascontiguousarray(self.target.T)
-        for a in range(0, len(target), BATCH):
-            t = target[a : a + BATCH]
-            s = self.query(before[:, a : a + BATCH]) @ columns
+        columns, ones = np.ascontiguousarray(self.target.T), np.ones(len(self.target), np.float32)
+        for a in range(0, len(target), SCORED):
+            t = target[a : a + SCORED]
+            s = self.query(before[:, a : a + SCORED]) @ columns
             s += self.bias
+            np.minimum(s, 80.0, out=s)  # scores are near log-probabilities; exp can't overflow
             own = s[np.arange(len(t)), t].astype(np.float64)
-            top = s.max(axis=1)
-            s -= top[:, None]
             np.exp(s, out=s)
-            out[a : a + BATCH] = own - top - np.log(s.sum(axis=1, dtype=np.float64))
+            out[a : a + SCORED] = own - np.log((s @ ones).astype(np.float64))
         return out
 
 
@@ -172,10 +205,11 @@ def contexts(target: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
 
 def _add_rows(into: np.ndarray, squares: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
     """Adaptive step: rows that occur several times are summed first."""
+    rows = rows.astype(np.uint16)  # sorted by radix
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    sums, rows = np.add.reduceat(grads[order], starts, axis=0), rows[starts]
+    sums, rows = np.add.reduceat(grads.take(order, axis=0), starts, axis=0), rows[starts]
     squares[rows] += sums * sums
     into[rows] += RATE * sums / np.sqrt(squares[rows] + 1e-6)
 
@@ -185,53 +219,35 @@ class Trainer:
 
     def __init__(self, model: Model, share: np.ndarray, seed: int):
         self.m = Model(*(x.copy() for x in (model.context, model.before, model.target, model.bias)))
-        self.squares = [np.full(x.shape, 1e-2, np.float32) for x in (self.m.context, self.m.before, self.m.target, self.m.bias)]
+        self.target = np.c_[self.m.target, self.m.bias]  # the bias is one more column
+        self.squares = [np.full(x.shape, 1e-2, np.float32) for x in (self.m.context, self.m.before, self.target)]
         self.share, self.rng, self.seen = share, np.random.default_rng(seed), 0
         self.upto = np.cumsum(share)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
 
     def step(self, before: np.ndarray, target: np.ndarray) -> None:
         m, n = self.m, len(target)
+        scale = np.float32(1 / np.sqrt(n))
         other = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.share) - 1)
-        parts = [m.before[b] for b in before]
-        q = sum(c * p for c, p in zip(m.context, parts, strict=True))
-        with np.errstate(over="ignore"):
-            good = 1 / (1 + np.exp((q * m.target[target]).sum(axis=1) + m.bias[target] - self.log_noise[target]))
-            bad = -1 / (1 + np.exp(-(q @ m.target[other].T + m.bias[other] - self.log_noise[other])))
-        good, bad = (good / np.sqrt(n)).astype(np.float32), (bad / np.sqrt(n)).astype(np.float32)
-        dq = good[:, None] * m.target[target] + bad @ m.target[other]
-        rows = np.concatenate([target, other])
-        grads = np.concatenate([np.c_[good[:, None] * q, good], np.c_[bad.T @ q, bad.sum(axis=0)]])
-        both, squares = np.c_[m.target, m.bias], np.c_[self.squares[2], self.squares[3]]
-        _add_rows(both, squares, rows, grads)
-        m.target, m.bias = np.ascontiguousarray(both[:, :-1]), both[:, -1].copy()
-        self.squares[2], self.squares[3] = squares[:, :-1], squares[:, -1]
-        dc = np.stack([(dq * p).sum(axis=0) for p in parts])
-        _add_rows(m.before, self.squares[1], before.ravel(), np.concatenate([dq * c for c in m.context]))
+        parts = m.before.take(before, axis=0)  # CONTEXT x n x SIZE
+        q = np.ones((n, SIZE + 1), np.float32)
+        np.einsum("ik,ijk->jk", m.context, parts, out=q[:, :-1])
+        goal, rest = self.target.take(target, axis=0), self.target.take(other, axis=0)
+        good = scale / (1 + np.exp(np.einsum("jk,jk->j", q, goal) - self.log_noise[target]))
+        bad = -scale / (1 + np.exp(self.log_noise[other] - q @ rest.T))
+        dq = (good[:, None] * goal + bad @ rest)[:, :-1]
+        grads = np.concatenate([good[:, None] * q, bad.T @ q])
+        dc = np.einsum("jk,ijk->ik", dq, parts)
+        db = (dq[None] * m.context[:, None]).reshape(-1, SIZE)
+        _add_rows(self.target, self.squares[2], np.concatenate([target, other]), grads)
+        _add_rows(m.before, self.squares[1], before.ravel(), db)
         self.squares[0] += dc * dc
         m.context += RATE * dc / np.sqrt(self.squares[0] + 1e-6)
         self.seen += n
 
-
-def _coded(texts, vocabulary: Vocabulary, at_most: int = 200_000):
-    """Runs of whole texts: (their numbers, all tokens, codes, each token's place in its text, where texts end)."""
-    held, ends, words = [], [], []
-    for k, text in enumerate(texts):
-        words += tokens(text.as_py())
-        held.append(k)
-        ends.append(len(words))
-        if len(words) >= at_most:
-            yield _run(held, words, ends, vocabulary)
-            held, ends, words = [], [], []
-    if held:
-        yield _run(held, words, ends, vocabulary)
-
-
-def _run(held, words, ends, vocabulary):
-    ends = np.array(ends)
-    starts = np.r_[0, ends[:-1]]
-    place = np.arange(len(words)) - np.repeat(starts, ends - starts)
-    return np.array(held), words, vocabulary.encode(words), place, starts
+    def model(self) -> Model:
+        self.m.target, self.m.bias = self.target[:, :-1].copy(), self.target[:, -1].copy()
+        return self.m
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, start: Model, name: str) -> Model:
@@ -241,31 +257,30 @@ def train(docs: DataFrame, vocabulary: Vocabulary, start: Model, name: str) -> M
     def run(batches):
         trainer = None
         for batch in batches:
-            for _, _, codes, place, _ in _coded(batch.column("_text"), vocabulary):
-                trainer = trainer or Trainer(start, share, int(codes.sum() & 0xFFFF))
-                target = vocabulary.class_of(codes)
-                before = contexts(target, place, vocabulary.classes())
+            for part in runs(batch.column("_text")):
+                trainer = trainer or Trainer(start, share, int(part.codes.sum() & 0xFFFF))
+                target = vocabulary.class_of(vocabulary.encode(part.words))[part.codes]
+                before = contexts(target, part.place(), vocabulary.classes())
                 for a in range(0, len(target), BATCH):
                     trainer.step(before[:, a : a + BATCH], target[a : a + BATCH])
         if trainer:
-            flat = trainer.m.flat() * trainer.seen
+            flat = trainer.model().flat() * trainer.seen
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.r_[flat, trainer.seen])], ["i", "value"]
             )
 
     sums = docs.mapInArrow(run, "i int, value double").groupBy("i").agg(F.sum("value").alias("value"))
-    rows = written(sums, name).collect()  # as many as the model has numbers
-    if not rows:
+    rows = written(sums, name).toArrow()  # as many as the model has numbers
+    if not rows.num_rows:
         return start
-    flat = np.zeros(len(rows))
-    for r in rows:
-        flat[r.i] = r.value
+    flat = np.zeros(rows.num_rows)
+    flat[rows.column("i").to_numpy()] = rows.column("value").to_numpy()
     return start.like(flat[:-1] / flat[-1])
 
 
 _SCORED = (
     "id long, held_out boolean, n_tokens long, known long, base double, score double, "
-    "rare array<struct<token: binary, n: int>>"
+    "rare array<struct<token: string, n: long>>"
 )
 
 
@@ -284,7 +299,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     seen = rows.where(~F.col("_held"))
     counts = written(
-        seen.select("_text").mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts"
+        seen.select("_text").mapInArrow(_count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts"
     )
     known = vocabulary(counts)
     model = Model.start(known)
@@ -298,30 +313,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches):
         for batch in batches:
-            ids, held, out = batch.column("_id").to_pylist(), batch.column("_held").to_pylist(), []
-            for docs_, words, codes, place, starts in _coded(batch.column("_text"), known):
-                target = known.class_of(codes)
-                lm = model.log_probability(contexts(target, place, known.classes()), target) / np.log(10)
-                carried = codes >= 0
-                log_count = np.where(carried, logs[codes], 0.0) if len(logs) else np.zeros(len(codes))
-                lm += np.where(target >= own, log_count - in_class[target], 0.0)
-                sums = [np.add.reduceat(x, starts) for x in (carried.astype(np.int64), log_count - base_least, lm)]
-                ends = np.r_[starts[1:], len(words)]
-                rare_at = np.flatnonzero(~carried)
-                cuts = np.searchsorted(rare_at, np.r_[starts, len(words)])
-                for k, (doc, a, b) in enumerate(zip(docs_, starts, ends, strict=True)):
-                    tally: dict[bytes, int] = {}
-                    for j in rare_at[cuts[k] : cuts[k + 1]]:
-                        tally[words[j]] = tally.get(words[j], 0) + 1
-                    rare = [{"token": w, "n": c} for w, c in tally.items()]
-                    out.append((ids[doc], held[doc], int(b - a), int(sums[0][k]), float(sums[1][k]), float(sums[2][k]), rare))
-            if out:
-                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                types += (pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())])),)
+            at = 0
+            for part in runs(batch.column("_text")):
+                coded, n = known.encode(part.words), len(part.starts)
+                carried = coded >= 0
+                log_count = np.where(carried, logs[coded], 0.0) if len(logs) else np.zeros(len(coded))
+                classes = known.class_of(coded)
+                inside = np.where(classes >= own, log_count - in_class[classes], 0.0)
+                target = classes[part.codes]
+                lm = model.log_probability(contexts(target, part.place(), known.classes()), target) / np.log(10)
+                each = (carried.astype(np.int64)[part.codes], (log_count - base_least)[part.codes], lm + inside[part.codes])
+                sums = [np.add.reduceat(x, part.starts) for x in each]
+                rare_at = np.flatnonzero(~carried[part.codes])
+                doc = np.searchsorted(part.ends, rare_at, "right")
+                key, times = np.unique(doc * len(part.words) + part.codes[rare_at], return_counts=True)
+                stops = np.searchsorted(key, np.arange(n + 1) * len(part.words)).astype(np.int32)
+                word = pa.array(part.words, pa.string()).take(pa.array(key % len(part.words)))
+                rare = pa.StructArray.from_arrays([word, pa.array(times, pa.int64())], ["token", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
+                    [
+                        batch.column("_id").slice(at, n),
+                        batch.column("_held").slice(at, n),
+                        pa.array(part.ends - part.starts, pa.int64()),
+                        *map(pa.array, sums),
+                        pa.ListArray.from_arrays(pa.array(stops), rare),
+                    ],
                     ["id", "held_out", "n_tokens", "known", "base", "score", "rare"],
                 )
+                at += n
 
     scored = written(rows.mapInArrow(run, _SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rest = (
