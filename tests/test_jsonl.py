@@ -97,7 +97,7 @@ def test_texts(events):
     assert texts[1:6] == ["Before\n\n After", "Tool: Read /a.ts", "Tool: Write /b.ts", "body", "x=1"]
     assert texts[6:11] == ["hello", "Tool call: Bash", "Tool call: Write", "code", "out\nmore"]
     assert texts[11] == "plain [REDACTED:api_key]"
-    assert texts[12] == "done" and len(texts[13]) == 10_000
+    assert texts[12] == "done" and len(texts[13]) > 10_000
 
 
 def test_links_and_arguments(events):
@@ -149,3 +149,16 @@ def test_changed_files(spark, folder):
     assert files.count() == 1
     assert changed_files(files, files).count() == 0
     assert changed_files(files, files.withColumn("size", F.col("size") - 1)).count() == 1
+
+
+def test_long_and_deeply_nested_texts_stay_whole(spark):
+    block = {"type": "text", "text": "deep"}
+    for _ in range(8):
+        block = {"content": ["at ", block, {"content": "string"}, {"text": ""}]}
+    contents = [[block], [{"type": "tool_result", "content": "x" * 300_000}], "y" * 300_000, {"text": "object"}, [], None]
+    lines = [json.dumps({"type": "user", "message": {"content": c}, "timestamp": "2026-01-01T00:00:00Z"}) for c in contents]
+    rows = spark.createDataFrame([("/p/-w/s.jsonl", 0, i, line) for i, line in enumerate(lines)], "path string, block long, pos long, line string")
+    got = {int(r.source_seq): r.text_redacted for r in jsonl.normalize(rows, "dev", "2026-01-01T00:00:00Z").collect()}
+    nested = got[0].split("\n")
+    assert nested.count("at ") == 8 and nested.count("deep") == 1 and nested.count("string") == 8
+    assert len(got[1]) == 300_000 and len(got[2]) == 300_000 and got[3] == "object"

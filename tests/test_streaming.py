@@ -51,3 +51,31 @@ def test_repeats_are_dropped_on_live_feeds(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r.event_id for r in spark.table("live_rows").collect()) == ["a", "b"]
+
+
+def usage_rows(days):
+    """One file per batch: (event_id, message, day, tokens)."""
+    return [
+        (f"e{i}", "s", m, f"2026-01-{d:02}T00:00:00Z", "opencode_storage", "assistant_message", "ses", "m", t, 0, 0, 0, 0)
+        for i, m, d, t in days
+    ]
+
+
+USAGE = "event_id string, source_id string, message_id string, event_ts string, source_kind string, event_type string, " \
+    "session_id string, model string, tok_input long, tok_output long, tok_reasoning long, tok_cache_read long, tok_cache_write long"
+
+
+def test_usage_stream_loses_and_repeats_nothing(spark, tmp_path):
+    from tracemill.operators.usage import usage
+    from tracemill.streaming import windows as X
+
+    batches = [(1, "a", 20, 5), (2, "b", 21, 1), (3, "c", 22, 1), (4, "d", 10, 7), (5, "a", 26, 5), (6, "a", 9, 5), (1, "a", 20, 5)]
+    everything = spark.createDataFrame(usage_rows(batches), USAGE)
+    for i, b in enumerate(batches):
+        spark.createDataFrame(usage_rows([b]), USAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+        X.usage_by_day(stream, str(tmp_path / "out"), poll=None).awaitTermination()
+    got = {r.day: r.input for r in X.read_report(spark, str(tmp_path / "out")).collect() if r.input}
+    assert got == {"2026-01-09": 5, "2026-01-10": 7, "2026-01-21": 1, "2026-01-22": 1}
+    once = everything.dropDuplicates(["event_id"])
+    assert got == {r.day: r.input for r in usage(once, "day").collect()}

@@ -76,8 +76,8 @@ def test_like_is_literal_about_backslashes(spark):
 def test_error_preview(spark):
     texts = {
         "plain\nTypeError: x\n  at y\nok": "TypeError: x\n  at y\nok",
-        "a\nb\nc\nd": "a\nb\nc",
-        "\n".join(["fail"] + [f"l{i}" for i in range(15)]): "fail\nl0\nl1\nl2\nl3",
+        "a\nb\nc\nd": "a\nb\nc\nd",
+        "\n".join(["fail"] + [f"l{i}" for i in range(15)]): "\n".join(["fail"] + [f"l{i}" for i in range(15)]),
         "TS1\n": "TS1\n",
     }
     rows = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -13,21 +13,33 @@ from tracemill.schema import EVENTS
 PARTITIONS = ("event_date", "source_kind")
 
 
+def _first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def new_rows(new: DataFrame, old: DataFrame, key: str = "event_id") -> DataFrame:
     """Rows of `new` whose key is in neither `old` nor an earlier row of `new`.
 
-    Stored keys are first reduced to those that occur in `new`: a semi-join that Spark
-    can turn into a Bloom filter on the large table. Then the rest is an anti-join.
+    Of rows with one key the first in its source counts. Stored keys are first reduced to those that occur in `new`,
+    within the days and kinds that occur there, so other partitions are not read. Then the rest is an anti-join.
     """
-    incoming = new.dropDuplicates([key])
-    clash = old.select(key).join(new.select(key).distinct(), key, "left_semi")
+    order = [c for c in ("source_id", "source_seq", "event_ts") if c in new.columns]
+    incoming = _first_of_each(new, [key], [F.col(c).asc_nulls_last() for c in order] or [F.col(key)])
+    where = [c for c in PARTITIONS if c in new.columns and c in old.columns]
+    keys = [key, *where]
+    wanted = new.select(*keys).distinct()
+    clash = old.select(*keys).join(wanted, keys, "left_semi").select(key).distinct()
     return incoming.join(clash, key, "left_anti")
 
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Stored rows; only a path that isn't there is an empty store."""
     try:
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], like.schema)
 
 
@@ -56,15 +68,13 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """`old` with the rows of `new` replacing or joining it; the last row of a key wins.
 
-    Rows of `new` need an `upsert_seq` column when a key may occur twice in it.
+    Rows of `new` need an `upsert_seq` column when a key may occur twice in it. Stored rows meet keys only; what
+    stays isn't shuffled when the keys of `new` are few.
     """
-    seq = F.col("upsert_seq") if "upsert_seq" in new.columns else F.lit(1)
-    tagged = new.withColumn("upsert_seq", seq.cast("bigint")).unionByName(
-        old.withColumn("upsert_seq", F.lit(-1).cast("bigint"))
-    )
-    latest = W.partitionBy(*keys).orderBy(F.desc("upsert_seq"))
-    ranked = tagged.withColumn("rn", F.row_number().over(latest))
-    return ranked.where(F.col("rn") == 1).drop("rn", "upsert_seq")
+    latest = new
+    if "upsert_seq" in new.columns:
+        latest = _first_of_each(new, keys, [F.desc("upsert_seq")]).drop("upsert_seq")
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(latest)
 
 
 def delete(table: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -88,7 +98,9 @@ def purge(
 
 def register(existing: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Get-or-create: `existing` plus the wanted rows whose keys are not in it."""
-    fresh = wanted.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    rest = [F.col(c) for c in wanted.columns if c not in keys]
+    first = _first_of_each(wanted, keys, rest or [F.col(keys[0])])
+    fresh = first.join(existing.select(*keys), keys, "left_anti")
     return existing.unionByName(fresh)
 
 

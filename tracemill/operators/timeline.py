@@ -185,23 +185,41 @@ CSV_COLUMNS = {
 }
 
 
-def csv_rows(rows: DataFrame, view: str) -> DataFrame:
-    """One line per row: quotes doubled, newlines of the text flattened, NULL and 0 empty."""
+def _csv_columns(rows: DataFrame, view: str) -> DataFrame:
+    """Columns of a view as text: newlines of the text flattened, NULL and 0 empty."""
 
     def cell(column: str) -> Column:
         value = F.coalesce(F.col(column).cast("string"), F.lit(""))
         if column in ("git_insertions", "git_deletions"):
             value = F.when(value == "0", "").otherwise(value)
+        return (flatten_newlines(value) if column == "text_redacted" else value).alias(column)
+
+    return rows.select(*[cell(c) for c in CSV_COLUMNS[view]])
+
+
+def csv_rows(rows: DataFrame, view: str) -> DataFrame:
+    """One line per row: every field quoted, quotes of the text doubled."""
+    cells = _csv_columns(rows, view)
+
+    def quoted(column: str) -> Column:
+        value = F.col(column)
         if column == "text_redacted":
-            value = flatten_newlines(F.replace(value, F.lit('"'), F.lit('""')))
+            value = F.replace(value, F.lit('"'), F.lit('""'))
         return F.concat(F.lit('"'), value, F.lit('"'))
 
-    return rows.select(F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS[view]]).alias("line"))
+    return cells.select(F.concat_ws(",", *[quoted(c) for c in cells.columns]).alias("line"))
 
 
 def export(rows: DataFrame, path: str, fmt: str, view: str = "search") -> None:
-    """Write rows as JSON lines (`json`, `jsonl`) or as CSV lines."""
+    """Write rows as JSON lines (`json`, `jsonl`) or as CSV with a header line.
+
+    Tool arguments become JSON of their own within a JSON line; arguments that aren't JSON stay text.
+    """
     if fmt == "csv":
-        csv_rows(rows, view).write.mode("overwrite").text(path)
-    else:
-        rows.write.mode("overwrite").json(path)
+        writer = _csv_columns(rows, view).write.mode("overwrite")
+        writer.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+        return
+    if "tool_args_json" in rows.columns:
+        args = F.coalesce(F.try_parse_json("tool_args_json"), F.col("tool_args_json").cast("variant"))
+        rows = rows.withColumn("tool_args_json", args)
+    rows.write.mode("overwrite").json(path)

@@ -38,7 +38,7 @@ def stream_lines(
     )
 
 
-def _start(
+def start(
     stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, poll: str | None
 ) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
@@ -64,7 +64,7 @@ def ingest(
         numbered = batch.withColumn("pos", F.monotonically_increasing_id())
         append_new(normalize(numbered), store)
 
-    return _start(lines, work, checkpoint, poll)
+    return start(lines, work, checkpoint, poll)
 
 
 def ingest_sessions(
@@ -101,7 +101,7 @@ def append_stream(
     events: DataFrame, store: str, checkpoint: str, poll: str | None = POLL
 ) -> StreamingQuery:
     """Append a stream of canonical events, ignoring ids that are stored already."""
-    return _start(events, lambda batch, _: append_new(batch, store), checkpoint, poll)
+    return start(events, lambda batch, _: append_new(batch, store), checkpoint, poll)
 
 
 def without_repeats(events: DataFrame, delay: str) -> DataFrame:

@@ -1,52 +1,96 @@
-"""Reports over a stream of events; they also run on a batch."""
+"""Reports that a stream of events keeps current.
+
+Rows are stored once each, and every batch computes anew the parts of the report that it touches, from all stored
+rows of these parts. So nothing is late, nothing counts twice, and at any time the report equals the batch report
+over what has arrived. There is no state but the store.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from tracemill.functions.timeexpr import iso_from_time
-from tracemill.operators.topics import GAP_SECONDS
+from tracemill.operators.store import append_new
+from tracemill.operators.topics import GAP_SECONDS, session_topics
+from tracemill.operators.usage import usage
+from tracemill.streaming.ingest import POLL, start
 
-_REPEATING_KIND = "opencode_storage"
+#: Sessions of one number are computed together and stored in one folder.
+SESSION_PARTS = 64
 
 
-def counted_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events whose tokens count, once per message where a source repeats them.
+def keep_current(
+    stream: DataFrame,
+    folder: str,
+    key: str,
+    report: Callable[[DataFrame, DataFrame], DataFrame],
+    poll: str | None = POLL,
+) -> StreamingQuery:
+    """Keep `report(stored rows, batch)` current below folder.
 
-    The first event of a message to arrive is taken; ingestion attaches tokens to one
-    event of a message only.
+    The report's rows have a column `part`; the parts a batch returns replace those stored. A batch that is run
+    again after a failure stores nothing twice and computes the same parts.
     """
-    repeats = F.col("source_kind") == _REPEATING_KIND
-    rows = events.where(
-        F.col("tok_input").isNotNull() & (repeats | (F.col("event_type") == "assistant_message"))
-    )
-    message = F.coalesce(F.nullif("message_id", F.lit("")), F.col("event_id"))
-    keyed = rows.withColumn("message", F.when(repeats, message).otherwise(F.col("event_id")))
-    return keyed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["source_id", "message"])
 
+    def work(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        append_new(batch, f"{folder}/store", key)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/store")
+        rows = report(stored, batch)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part").parquet(f"{folder}/report")
 
-def daily_tokens(counted: DataFrame) -> DataFrame:
-    """Token sums per day of the event time; reasoning is billed as output."""
-    tokens = [
-        F.sum("tok_input").alias("input"),
-        F.sum(F.col("tok_output") + F.col("tok_reasoning")).alias("output"),
-        F.sum("tok_cache_read").alias("cache_read"),
-        F.sum("tok_cache_write").alias("cache_write"),
-    ]
-    days = counted.groupBy(F.window("event_time", "1 day").alias("w")).agg(*tokens)
-    return days.withColumn("day", F.left(iso_from_time(F.col("w.start")), F.lit(10))).drop("w")
+    return start(stream, work, f"{folder}/checkpoint", poll)
 
 
-def session_activity(messages: DataFrame, delay: str = "1 day", gap_seconds: int = GAP_SECONDS) -> DataFrame:
-    """Runs of messages of a session without a gap longer than two hours.
+def _message() -> list[Column]:
+    message = F.coalesce(F.nullif("message_id", F.lit("")), F.col("event_id"))
+    return [F.col("source_id").alias("source_id"), message.alias("message")]
 
-    The window ends a millisecond after the gap, so that a gap of exactly two hours
-    still joins, as in the batch form.
+
+def _days(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Token sums and cost of the days that have events of the batch's messages.
+
+    The events of one message may lie on several days and the first of them decides, so all events of all messages
+    of these days are looked at. A day whose messages have moved to another keeps a row of zeros.
     """
-    gap = f"{gap_seconds * 1000 + 1} milliseconds"
-    window = F.session_window("event_time", gap)
-    grouped = messages.withWatermark("event_time", delay).groupBy("session_id", window.alias("w"))
-    return grouped.agg(
-        F.count("*").alias("count"), F.min("event_time").alias("first"), F.max("event_time").alias("last")
-    ).drop("w")
+    keys = ["source_id", "message"]
+    keyed = stored.withColumns({c: m for c, m in zip(keys, _message(), strict=True)})
+    arrived = batch.select(*_message()).distinct()
+    day = F.split_part("event_ts", F.lit("T"), F.lit(1)).alias("day")
+    days = keyed.join(arrived, keys, "left_semi").select(day).distinct()
+    there = keyed.withColumn("day", day).join(days, "day", "left_semi").select(*keys).distinct()
+    sums = usage(keyed.join(there, keys, "left_semi").drop("message"), "day")
+    counted = [c for c in sums.columns if c != "day"]
+    return days.join(sums, "day", "left").select(
+        "day", *(F.coalesce(c, F.lit(0).cast(sums.schema[c].dataType)).alias(c) for c in counted), F.col("day").alias("part")
+    )
+
+
+def usage_by_day(events: DataFrame, folder: str, poll: str | None = POLL) -> StreamingQuery:
+    return keep_current(events, folder, "event_id", _days, poll)
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("session_id"), F.lit(SESSION_PARTS)).cast("int").alias("part")
+
+
+def session_activity(
+    messages: DataFrame, folder: str, poll: str | None = POLL, gap_seconds: int = GAP_SECONDS
+) -> StreamingQuery:
+    """Runs of messages of a session without a gap longer than two hours."""
+
+    def report(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        parts = batch.select(_part()).distinct()
+        rows = stored.withColumn("part", _part()).join(parts, "part", "left_semi").drop("part")
+        return session_topics(rows, gap_seconds).withColumn("part", _part())
+
+    return keep_current(messages, folder, "event_id", report, poll)
+
+
+def read_report(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/report").drop("part")
