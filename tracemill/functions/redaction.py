@@ -160,80 +160,63 @@ DEFAULT_PATTERNS: tuple[Pattern, ...] = (
 )
 
 
-_TABLE = (
-    "array<struct<ord:int,type:string,replacement:string,regex:string,"
-    "hints:array<string>,hint_regex:string,fold:boolean>>"
-)
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _table(patterns: Sequence[Pattern]) -> Column:
-    """The patterns as a literal array."""
-    rows = [
-        {
-            "ord": i,
-            "type": p.type,
-            "replacement": p.replacement,
-            "regex": p.java,
-            "hints": list(p.hints),
-            "hint_regex": p.hint_regex,
-            "fold": p.ignore_case,
-        }
-        for i, p in enumerate(patterns)
-    ]
-    return F.from_json(F.lit(json.dumps(rows)), _TABLE)
+def _forms(text: Column) -> Column:
+    return F.struct(text.alias("raw"), F.lower(text).alias("low"))
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+def _fits(forms: Column, p: Pattern) -> Column:
+    """Whether a hint of the pattern occurs: only then its regex runs, and in most texts none does."""
+    form = forms["low"] if p.ignore_case else forms["raw"]
+    hinted = F.lit(not p.hints)
+    for hint in p.hints:
+        hinted = hinted | F.contains(form, F.lit(hint))
+    return hinted & F.rlike(forms["raw"], F.lit(p.hint_regex)) if p.hint_regex else hinted
 
 
-def _suspects(text: Column, patterns: Sequence[Pattern]) -> Column:
-    """Patterns whose hints occur: only these run their regex, and most texts have none."""
+def redact(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
+    """Text with every secret replaced, pattern after pattern.
 
-    def fits(forms: Column, p: Column) -> Column:
-        form = F.when(p["fold"], forms["low"]).otherwise(forms["raw"])
-        hinted = (F.size(p["hints"]) == 0) | F.exists(p["hints"], lambda h: F.contains(form, h))
-        return F.when(
-            hinted, p["hint_regex"].isNull() | F.rlike(forms["raw"], p["hint_regex"])
-        ).otherwise(False)
+    Each step has its regex as a literal, which is compiled once for all rows.
+    """
 
-    return _bind(
-        F.struct(text.alias("raw"), F.lower(text).alias("low")),
-        lambda forms: F.filter(_table(patterns), lambda p: fits(forms, p)),
-    )
+    def step(forms: Column, p: Pattern) -> Callable[[Column], Column]:
+        replaced = lambda t: F.regexp_replace(t, F.lit(p.java), F.lit(p.replacement))
+        return lambda t: F.when(_fits(forms, p), replaced(t)).otherwise(t)
 
+    def chain(forms: Column) -> Column:
+        out = forms["raw"]
+        for p in patterns:
+            out = _bind(out, step(forms, p))
+        return out
 
-def might_hold_secret(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
-    return text.isNotNull() & (F.size(_suspects(text, patterns)) > 0)
+    return F.when(text.isNotNull(), _bind(_forms(text), chain))
 
 
-def redact(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
-    """Text with every secret replaced, pattern after pattern."""
-    redacted = F.aggregate(
-        _suspects(text, patterns), text, lambda acc, p: F.regexp_replace(acc, p["regex"], p["replacement"])
-    )
-    return F.when(text.isNotNull(), redacted)
+_SPAN = "start:int,ord:int,end:int,type:string,text:string"
 
 
-def _spans(text: Column, pattern: Column) -> Column:
+def _spans(text: Column, ord_: int, pattern: Pattern) -> Column:
     """Spans of one pattern, from the pieces between its matches."""
     pairs = F.zip_with(
-        F.split(text, pattern["regex"], -1),
-        F.regexp_extract_all(text, pattern["regex"], F.lit(0)),
+        F.split(text, pattern.java, -1),
+        F.regexp_extract_all(text, F.lit(pattern.java), F.lit(0)),
         lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")),
     )
-    span = "start:int,ord:int,end:int,type:string,text:string"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{span}>>").alias("found"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{_SPAN}>>").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["piece"])
         end = start + F.length(pair["match"])
         found = F.struct(
             start.alias("start"),
-            pattern["ord"].alias("ord"),
+            F.lit(ord_).alias("ord"),
             end.alias("end"),
-            pattern["type"].alias("type"),
+            F.lit(pattern.type).alias("type"),
             pair["match"].alias("text"),
         )
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
@@ -244,7 +227,13 @@ def _spans(text: Column, pattern: Column) -> Column:
 
 def found_secrets(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
     """Every match on the original text, by start and then by pattern."""
-    return F.array_sort(F.flatten(F.transform(_suspects(text, patterns), lambda p: _spans(text, p))))
+    none = F.array().cast(f"array<struct<{_SPAN}>>")
+
+    def every(forms: Column) -> Column:
+        each = [F.when(_fits(forms, p), _spans(forms["raw"], i, p)).otherwise(none) for i, p in enumerate(patterns)]
+        return F.array_sort(F.flatten(F.array(*each)))
+
+    return F.when(text.isNotNull(), _bind(_forms(text), every))
 
 
 def manifest(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
@@ -275,16 +264,26 @@ def hit_report(
     return hits.groupBy("type").agg(F.count("*").alias("matches"), F.min(preview).alias("preview"))
 
 
-def _redact_value(value, compiled):
-    if isinstance(value, str):
-        for regex, replacement in compiled:
-            value = regex.sub(replacement, value)
-        return value
-    if isinstance(value, list):
-        return [_redact_value(v, compiled) for v in value]
-    if isinstance(value, dict):
-        return {k: _redact_value(v, compiled) for k, v in value.items()}
-    return value
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?')
+
+
+def _redact_text(text: str, compiled) -> str:
+    for regex, replacement in compiled:
+        text = regex.sub(replacement, text)
+    return text
+
+
+def _redact_strings(raw: str, compiled) -> str:
+    """JSON with its string values redacted; every other character stays as it is."""
+
+    def one(token: re.Match[str]) -> str:
+        if token[1]:  # a key
+            return token[0]
+        value = json.loads(token[0])
+        redacted = _redact_text(value, compiled)
+        return token[0] if redacted == value else json.dumps(redacted, ensure_ascii=False)
+
+    return _STRING.sub(one, raw)
 
 
 def _hint_regex(patterns: Sequence[Pattern]) -> str:
@@ -296,10 +295,10 @@ def _hint_regex(patterns: Sequence[Pattern]) -> str:
 
 
 def redact_json(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
-    """JSON text with every string value redacted, keys untouched; other text as text.
+    """JSON text with every string value redacted; keys, numbers and blanks as they are; other text as text.
 
-    The shape of the JSON is unknown, so this is the one place that walks it in Python.
-    Texts without a hint of a secret do not get there.
+    The shape of the JSON is unknown and its strings are escaped, so this is the one place that reads it in Python.
+    Texts without a hint of a secret do not get there, and come back the same either way.
     """
     compiled = [(p.python, p.replacement) for p in patterns]
 
@@ -309,11 +308,10 @@ def redact_json(text: Column, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) ->
             if raw is None:
                 return None
             try:
-                parsed = json.loads(raw)
+                json.loads(raw)
             except ValueError:
-                return _redact_value(raw, compiled)
-            redacted = _redact_value(parsed, compiled)
-            return json.dumps(redacted, ensure_ascii=False, separators=(",", ":"))
+                return _redact_text(raw, compiled)
+            return _redact_strings(raw, compiled)
 
         return texts.map(one)
 

@@ -120,19 +120,16 @@ def redact_report(spark, sf):
 
 @register(
     "redact_json",
-    f"""WITH p AS (SELECT doc_id, [{_SECRET_LIST}][doc_id % 33 + 1] AS s FROM documents)
-    SELECT doc_id, '{{"' || replace(s, ' ', '_') || '":[{{"v":"' || {_redacted_sql("s")} || '"}},' || doc_id || ']}}' AS args
-    FROM p""",
+    f"""WITH {_PLANTED_SQL}
+    SELECT doc_id, '{{"key sk-' || repeat('a', 24) || '": [1e400, {{"v" : ' || to_json({_redacted_sql("text")})
+      || '}}, 12345678901234567890.123456789]}}' AS args FROM planted""",
 )
 def redact_json(spark, sf):
-    secrets = F.array(*[F.lit(s) for s in (*_SECRETS, "none")])
-    secret = F.element_at(secrets, (F.col("doc_id") % 33 + 1).cast("int"))
-    key = F.replace(secret, F.lit(" "), F.lit("_"))
-    text = F.concat(
-        F.lit('{"'), key, F.lit('":[{"v":"'), secret, F.lit('"},'), F.col("doc_id").cast("string"), F.lit("]}")
-    )
-    docs = V.table(spark, sf, "documents")
-    return docs.select("doc_id", R.redact_json(text).alias("args"))
+    quoted = F.to_json(F.array("text"))
+    value = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    head, tail = '{"key sk-' + "a" * 24 + '": [1e400, {"v" : ', "}, 12345678901234567890.123456789]}"
+    text = F.concat(F.lit(head), value, F.lit(tail))
+    return _planted(spark, sf).select("doc_id", R.redact_json(text).alias("args"))
 
 
 # Text with one or two calls per event; the comparison states what they must yield.
