@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +46,19 @@ def hash_pair(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
+#: Module under which a worker keeps what outlives a task.
+WORKER_STATE = "tracemill_worker_state"
+
+
+def drop_worker_state() -> None:
+    """Give back what an earlier operator's tasks kept in this worker."""
+    if sys.modules.pop(WORKER_STATE, None) is not None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

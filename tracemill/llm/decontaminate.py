@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import drop_worker_state
+
 #: Edits allowed, as a share of an item's code points.
 RATE = 0.10
 #: Items of fewer code points say too little to tell a leak and match nothing.
@@ -183,6 +185,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col:
     for block in item_blocks(items):
 
         def run(batches, block=block):
+            drop_worker_state()
             finder = Finder(block, rate)
             for batch in batches:
                 clean = [not finder.matches(t.as_py(), first_only=True) for t in batch.column(at)]

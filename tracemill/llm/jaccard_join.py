@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import partitions, written
+from tracemill.llm.common import drop_worker_state, partitions, written
 from tracemill.llm.graph import components
 
 #: Texts that are split at a time, in bytes.
@@ -146,6 +146,7 @@ def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
 
 def _sets(width: int):
     def run(batches):
+        drop_worker_state()
         for batch in batches:
             out = [(len(s), *(set_hash(s) if len(s) else (None, None))) for s in shingle_sets(batch.column("_text"), width)]
             n, hi, lo = zip(*out, strict=True) if out else ((), (), ())
@@ -169,6 +170,7 @@ def _sampled(width: int):
 
 def _signed(width: int, share: int, frequent: np.ndarray):
     def run(batches):
+        drop_worker_state()
         bands, seen = Bands(share), set()
         for batch in batches:
             sigs, los = [], []
@@ -177,7 +179,7 @@ def _signed(width: int, share: int, frequent: np.ndarray):
                     key = set_hash(s)
                     if key in seen:  # equal sets give equal rows
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
                     sigs.append(signatures(s, bands, frequent))
@@ -216,7 +218,7 @@ def _shared(batches):
                 else:
                     seen.add(int(m))
                     name[a:b] = np.uint64(m).view(np.int64)
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(lo[keep])], ["gid", "lo"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import written
+from tracemill.llm.common import drop_worker_state, written
 
 FEATURES = (
     "words word_length upper digit symbol mark non_ascii space line distinct top_word short_word repeated_line "
@@ -62,6 +62,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def _features(batches):
+    drop_worker_state()
     for batch in batches:
         rows = [statistics(t.as_py()).tolist() for t in batch.column("_text")]
         yield pa.RecordBatch.from_arrays(
@@ -185,6 +186,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: st
     at = docs.columns.index(text_col)
 
     def run(batches):
+        drop_worker_state()
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= least))

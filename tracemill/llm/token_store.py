@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import ordered_bucket, partitions
+from tracemill.llm.common import WORKER_STATE, ordered_bucket, partitions
 from tracemill.session import run_folder
 
 #: A block is closed by the document with which it reaches so many ids.
@@ -33,7 +33,7 @@ BLOCK_IDS = 1 << 16
 #: Characters that are encoded at a time.
 SLICE_BYTES = 4 << 20
 #: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 800_000
 
 STORE = (
     "shard int, block int, first long, n long, bits int, doc_ids array<long>, offsets array<long>, payload binary"
@@ -126,7 +126,7 @@ class _Encoder:
 
 def _encoder(path: str, specials: str) -> _Encoder:
     """The worker's own encoder: it outlives a task."""
-    home = sys.modules.setdefault("tracemill_worker_state", types.ModuleType("tracemill_worker_state"))
+    home = sys.modules.setdefault(WORKER_STATE, types.ModuleType(WORKER_STATE))
     if getattr(home, "encoder_path", None) != path:
         home.encoder_path, home.encoder = path, _Encoder(path, specials)
     return home.encoder
