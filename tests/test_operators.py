@@ -262,3 +262,26 @@ def test_many_edits_of_one_file_and_empty_ones(spark):
     rows = spark.createDataFrame(steps + [("g", "2026-01-01T00:00:00Z", "x", "", "new"), (None, "2026-01-01T00:00:00Z", "y", "a", "b")], "file_path string, event_ts string, event_id string, old_string string, new_string string")
     got = {r.file_path: tuple(r)[1:] for r in H.replay_edits(rows).collect()}
     assert got == {"f": (12_000, 12_000, 0, "<12000>"), "g": (1, 0, 0, ""), None: (1, 1, 0, "b")}
+
+
+def test_one_length_per_document(spark):
+    docs = spark.createDataFrame([("a", "cafe\u0301 na\u00efve"), ("b", "plain words here"), ("c", None)], "id string, t string")
+    index = S.index_texts(docs, "id", ["t"])
+    lengths = dict(index.lengths.collect())
+    assert {r.doc_id: r.n_terms for r in index.postings(None).collect()} == {k: v for k, v in lengths.items() if v}
+
+
+def test_days_of_bad_timestamps_share_one_folder(spark):
+    rows = make(spark, [{"event_id": "a", "event_ts": "2026-01-01T00:00:00Z"}, {"event_id": "b", "event_ts": "12:30"}, {"event_id": "c", "event_ts": ""}])
+    assert {r.event_id: r.event_date for r in rows.collect()} == {"a": "2026-01-01", "b": "unknown", "c": "unknown"}
+
+
+def test_plan_log_is_written_and_read_back(spark, tmp_path):
+    from tracemill.operators import fusion as X
+
+    plan = spark.createDataFrame([("q", 1, "fts", "two words", 1.0)], "query_id string, action_id int, type string, text string, weight double")
+    queries = spark.createDataFrame([("q", "two words of it")], "query_id string, text string")
+    for day in ("2026-01-01", "2026-01-02"):
+        X.log_plan(plan, queries, str(tmp_path / "log"), day)
+    log = spark.read.json(str(tmp_path / "log"))
+    assert [tuple(r) for r in X.plan_log_summary(log).collect()] == [("two words of it", 1, 2)] * 2

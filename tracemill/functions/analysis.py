@@ -78,7 +78,7 @@ def terms(text: Column, analyzer: Analyzer) -> Column:
 
 
 def term_count(text: Column) -> Column:
-    """Number of terms; folding and stemming do not change it except for bare marks."""
+    """Number of terms of a folded text; stemming does not change it."""
     return F.coalesce(_by_script(text, F.regexp_count), F.lit(0))
 
 

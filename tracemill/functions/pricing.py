@@ -99,15 +99,6 @@ def price_rows(tier: str) -> list[tuple[str, float, float, float, float]]:
     return [(name, *map(float, prices)) for name, *prices in split]
 
 
-def pricing_table(spark: SparkSession) -> DataFrame:
-    """Both tiers as a table."""
-    rows = [
-        (tier, i + 1, *row) for tier in ("standard", "priority") for i, row in enumerate(price_rows(tier))
-    ]
-    columns = ", ".join(f"{f} double" for f in FIELDS)
-    return spark.createDataFrame(rows, f"tier string, ord int, model string, {columns}")
-
-
 def _normal(name: str) -> str:
     return name.lower().replace(".", "-").replace("_", "-")
 

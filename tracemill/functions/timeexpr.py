@@ -23,6 +23,9 @@ _LONG = {
 _MIN_UNIX_SECONDS = 946684800
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+# The accepted forms, a number and a short unit, or words that end in `ago`.
+_SHORT_FORM = r"(mo|[smhdwy])"
+_LONG_FORM = r"\s*(second|minute|hour|day|week|month|year)s?\s+ago"
 
 
 def _iso(moment: datetime) -> str:
@@ -45,12 +48,10 @@ def parse_time(expr: str, now: datetime) -> str:
     """ISO form of a time argument; an unreadable argument comes back unchanged."""
     if expr.isdecimal() and int(expr) > _MIN_UNIX_SECONDS:
         return _iso(_EPOCH + timedelta(seconds=int(expr)))
-    short = re.fullmatch(r"(\d+)(mo|[smhdwy])", expr, re.IGNORECASE)
+    short = re.fullmatch(rf"(\d+){_SHORT_FORM}", expr, re.IGNORECASE)
     if short:
         return _iso(now - timedelta(seconds=int(short[1]) * _SHORT[short[2].lower()]))
-    words = re.fullmatch(
-        r"(\d+)\s*(second|minute|hour|day|week|month|year)s?\s+ago", expr, re.IGNORECASE
-    )
+    words = re.fullmatch(rf"(\d+){_LONG_FORM}", expr, re.IGNORECASE)
     if words:
         return _iso(now - timedelta(seconds=int(words[1]) * _LONG[words[2].lower()]))
     moment = None if expr.isdecimal() else to_instant(expr)
@@ -91,12 +92,8 @@ def parse_time_column(expr: Column, now: datetime) -> Column:
 
     now_s = F.lit((now - _EPOCH) // timedelta(seconds=1)).cast("bigint")
     amount = F.regexp_extract(expr, r"^(\d+)", 1).try_cast("bigint")
-    unit = F.lower(F.regexp_extract(expr, r"(?i)^\d+(mo|[smhdwy])$", 1))
-    word = F.lower(
-        F.regexp_extract(
-            expr, r"(?i)^\d+\s*(second|minute|hour|day|week|month|year)s?\s+ago$", 1
-        )
-    )
+    unit = F.lower(F.regexp_extract(expr, rf"(?i)^\d+{_SHORT_FORM}$", 1))
+    word = F.lower(F.regexp_extract(expr, rf"(?i)^\d+{_LONG_FORM}$", 1))
 
     def seconds(key: Column, table: dict[str, int]) -> Column:
         pairs = [c for k, v in table.items() for c in (F.lit(k), F.lit(v).cast("bigint"))]

@@ -81,7 +81,8 @@ def index_texts(
         n_terms = sum((F.size(f"t{i}") for i in range(1, len(columns))), F.size("t0"))
         return rows.select("doc_id", n_terms.alias("n_terms"), F.inline(entries))
 
-    total = sum((term_count(F.col(c)) for c in columns[1:]), term_count(F.col(columns[0])))
+    counts = [term_count(folded_text(F.col(c), analyzer)) for c in columns]
+    total = sum(counts[1:], counts[0])
     lengths = docs.select(F.col(doc_id).alias("doc_id"), total.alias("n_terms"))
     return TextIndex(postings, lengths, analyzer)
 

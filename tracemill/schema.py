@@ -104,6 +104,12 @@ def _truthy(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
+def _date(ts: Column) -> Column:
+    """Day of a timestamp as text; all that isn't a day is one `unknown`, so that it makes one folder."""
+    day = F.split_part(ts, F.lit("T"), F.lit(1))
+    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).otherwise(F.when(ts.isNotNull(), F.lit("unknown")))
+
+
 def promote(raw: DataFrame) -> DataFrame:
     """Add the derived columns to rows that hold the stored columns only."""
     args, meta = F.col("tool_args_json"), F.col("meta_json")
@@ -135,7 +141,7 @@ def promote(raw: DataFrame) -> DataFrame:
     )
     derived = {
         "event_time": event_time(F.col("event_ts")),
-        "event_date": F.split_part(F.col("event_ts"), F.lit("T"), F.lit(1)),
+        "event_date": _date(F.col("event_ts")),
         "arg_file_path": arg("file_path"),
         "arg_path": arg("path"),
         "arg_filepath": arg("filePath"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -15,17 +19,26 @@ RUNTIME_CONF = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
-    for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
-    return spark
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One temporary folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="tracemill-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is configured."""
+    """Shared folder named by the cluster.
+
+    Without one, a local session takes a temporary folder; on a cluster, whose machines share none, that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="tracemill-checkpoint-")
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    return _own_folder()
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

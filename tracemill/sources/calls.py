@@ -23,6 +23,7 @@ TREE_PATH_KEYS = (*SESSION_PATH_KEYS, "workdir")
 TRANSCRIPT_PATH_KEYS = ("path", "file", "filePath", "file_path", "target_directory", "workdir")
 
 CALLS = "array<struct<name:string,params:map<string,string>,result:string>>"
+# How calls are written within a text.
 _BLOCK = r"(?s)<function_calls>(.*?)</function_calls>(?:\s*<result>(.*?)</result>)?"
 _INVOKE = r'(?s)<invoke name="([^"]+)">(.*?)</invoke>'
 _PARAMETER = r'(?s)<parameter name="([^"]+)">(.*?)</parameter>'

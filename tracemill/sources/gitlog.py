@@ -12,6 +12,7 @@ from tracemill.sources.lines import running_sum
 
 # Fixed value: one line of the file statistics; binary files show dashes.
 _STAT = r"^(\d+|-)\s+(\d+|-)\s+(.+)$"
+# Fixed value: one line of the reference log that tells of a checkout.
 _SWITCH = (
     r"^([a-f0-9]+) ([a-f0-9]+) .+ (\d+) [+-]\d+\tcheckout: moving from (.+) to (.+)$"
 )
