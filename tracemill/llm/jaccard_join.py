@@ -10,9 +10,9 @@ sample of texts are therefore left out of the domain; what is left of two sets d
 either. Sets that keep too little for a guarantee give signatures of their whole as well. Which shingles count as
 frequent changes the groups and never the result.
 
-Equal sets are one node. Nodes that share a signature are compared by their whole sets: with the first node of
-the signature's group, and where a group still spans several components, block against block, by 16 bits of each
-hash first. Pairs within one component decide nothing and are not compared.
+Equal sets are one node. Nodes that share a signature are compared block against block, by 16 bits of each hash and
+then by their whole sets: once for a forest of pairs that connects what is near, and where a group still spans several
+components once more for all pairs across them. Pairs within one component decide nothing and are not compared.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ class Bands:
 
 def _cells(s: np.ndarray, k: int, tag: int) -> np.ndarray:
     """Hashes of the filled halves of the partitions of a sorted set."""
-    n = 2 * (k // 2 + SPARE)
+    n = 2 * (k // 2 + SPARE + k // 40)  # large differences leave more halves empty
     edges = (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
     stops = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
     upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)))
@@ -241,18 +241,20 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _hit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Which slots are set; buckets count from 1 and their bits from slot 1, slot 0 is in bucket 0."""
+    at = np.maximum(slot - 1, 0)
+    bucket, bit = np.where(slot == 0, 0, at // 32768 + 1), np.where(slot == 0, 0, at % 32768)
+    return ((bits[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1).astype(bool)
+
+
 def _hashes(width: int, wanted: np.ndarray):
     """Whole sets of the texts whose id the filter lets pass."""
 
     def run(batches):
         for batch in batches:
-            slot = batch.column("_slot").to_numpy(zero_copy_only=False)
-            at = slot - 1  # buckets count from 1, and bit 0 is slot 1
-            bucket, bit = at // 32768 + 1, at % 32768
-            zero = slot == 0
-            bucket, bit = np.where(zero, 0, bucket), np.where(zero, 0, bit)
-            hit = (wanted[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            rows = list(shingle_sets(batch.filter(pa.array(hit.astype(bool))).column("_text"), width))
+            hit = _hit(wanted, batch.column("_slot").to_numpy(zero_copy_only=False))
+            rows = list(shingle_sets(batch.filter(pa.array(hit)).column("_text"), width))
             hashes = pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))
             keys = [set_hash(s) if len(s) else (None, None) for s in rows]
             hi, lo = zip(*keys, strict=True) if keys else ((), ())
@@ -263,18 +265,32 @@ def _hashes(width: int, wanted: np.ndarray):
     return run
 
 
+def _passing(name: str, bits: np.ndarray):
+    """Rows whose hashed number the filter lets pass."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_hit(bits, batch.column(name).to_numpy(zero_copy_only=False))))
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike."""
+    """The pairs (a, b) whose whole sets are alike; only sets of these pairs travel."""
+    bits = _id_filter(pairs.select(F.explode(F.array("a", "b")).alias("_id")))
+    slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("_slot")
+    sets = sets.select("node", "hashes", slot).mapInArrow(_passing("_slot", bits), "node long, hashes array<long>, _slot long")
     one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - both
     return pairs.join(one, "a").join(two, "b").where(100 * both >= share * union).select("a", "b")
 
 
-def _near_pairs(table: pa.Table, share: int) -> pa.Table:
+def _near_pairs(table: pa.Table, share: int, forest: bool) -> pa.Table:
     """Pairs of different components within a block, or across two, that may be alike by 16 bits of each hash.
 
-    Common 16-bit values are at least as many as common elements, so no link is lost.
+    Common 16-bit values are at least as many as common elements, so no link is lost. A forest holds only pairs that
+    connect what the pairs before them have not connected.
     """
     nodes, comps, side = (table.column(c).to_numpy() for c in ("node", "component", "side"))
     sets = table.column("bits").combine_chunks()
@@ -293,13 +309,19 @@ def _near_pairs(table: pa.Table, share: int) -> pa.Table:
         both = np.add.reduceat(there[flat], start)
         near = (100 * both >= share * (size[i] + size - both)) & (comps != comps[i])
         near &= side == 1 if crossed else np.arange(len(nodes)) > i
+        if forest:
+            at = np.flatnonzero(near)
+            met, first = np.unique(comps[at], return_index=True)
+            comps = np.where(np.isin(comps, met), comps[i], comps)
+            near = np.zeros(len(nodes), bool)
+            near[at[first]] = True
         out_a.append(np.full(near.sum(), nodes[i]))
         out_b.append(nodes[near])
     join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
     return pa.table({"a": join(out_a), "b": join(out_b)})
 
 
-def _pairs_in_blocks(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def _pairs_in_blocks(members: DataFrame, sets: DataFrame, share: int, forest: bool) -> DataFrame:
     """Pairs (a, b) among the members (gid, node, component) of each group that may be alike.
 
     A group of up to BLOCK members is one block. A larger one is cut into blocks, each of which meets each other one
@@ -323,7 +345,7 @@ def _pairs_in_blocks(members: DataFrame, sets: DataFrame, share: int) -> DataFra
         )
         .join(bits, "node")
     )
-    return spread.groupBy("gid", "_low", "_high").applyInArrow(lambda t: _near_pairs(t, share), "a long, b long").distinct()
+    return spread.groupBy("gid", "_low", "_high").applyInArrow(lambda t: _near_pairs(t, share, forest), "a long, b long").distinct()
 
 
 def classes(
@@ -365,15 +387,19 @@ def classes(
     whole = rows.select(slot, "_text").mapInArrow(_hashes(width, wanted), "hi long, lo long, hashes array<long>")
     whole = written(whole.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "hashes"), "join-hashes")
 
-    firsts = members.groupBy(F.col("gid").alias("_gid")).agg(F.min("node").alias("a"))
-    stars = members.join(firsts, F.col("gid") == F.col("_gid")).where("node > a").select("a", F.col("node").alias("b"))
-    links = written(_verified(stars.distinct(), whole, share), "join-stars")
+    # groups with the same first node are one: most of their nodes are the same
+    firsts = members.groupBy(F.col("gid").alias("_gid")).agg(F.min("node").alias("first"))
+    members = members.join(firsts, F.col("gid") == F.col("_gid")).select(F.col("first").alias("gid"), "node").distinct()
+    members = written(members, "join-groups")
+    alone = members.withColumn("component", F.col("node"))
+    near = written(_pairs_in_blocks(alone, whole, share, True), "join-near")
+    links = written(_verified(near, whole, share), "join-links")
     found = written(components(links, "join-components"), "join-found")
     group = Window.partitionBy("gid")
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = placed.withColumn("_min", F.min("component").over(group)).withColumn("_max", F.max("component").over(group))
     mixed = ends.where("_min <> _max").select("gid", "node", "component")
-    near = written(_pairs_in_blocks(mixed, whole, share), "join-near")
+    near = written(_pairs_in_blocks(mixed, whole, share, False), "join-near")
     links = links.unionAll(written(_verified(near, whole, share), "join-links"))
     found = components(links, "join-components")
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
