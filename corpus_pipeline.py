@@ -18,9 +18,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of 0.85 connect, the one with the least id; rows that repeat an id are one."""
-    kept = jaccard_join.classes(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Of the documents that links of 0.8 over five words connect, the one with the least id; of repeated rows one."""
+    found = jaccard_join.classes(docs, width=5, share=80)
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.max(F.expr("doc_id IS NULL OR doc_id = component_id")).alias("_least"), F.count(F.lit(1)).alias("_n")
+    )
+    kept = written(ids.where("_least").drop("_least"), "pipeline-kept")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
+    once, more = (rows.where(n).select(*docs.columns) for n in ("_n = 1", "_n > 1"))
+    return once.unionAll(more.dropDuplicates())
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -296,3 +296,21 @@ def test_stages_take_odd_rows(spark, sf_dir):
         assert stage(spark, docs, sf_dir).count() >= 0
         assert stage(spark, spark.createDataFrame([], SCHEMA), sf_dir).count() == 0
     assert len(unique()) == len(documents()) - 3
+
+
+def test_near_copies_of_the_pipeline(spark, sf_dir):
+    base, rows = prose(300, 200).split(), []
+    for i in range(8):  # i words changed: likeness to the first from 1 to below 0.7, 0.81 over five words at i = 4
+        every = 200 // max(i, 1)
+        rows.append(row(i, " ".join(f"new{i}" if k % every == 9 and k // every < i else w for k, w in enumerate(base))))
+    rows += [row(20, prose(301, 90)), row(20, prose(301, 90)), row(21, ""), row(21, ""), row(None, None)]
+    sets = word_sets(rows, 5)
+    near = [{j for j in range(8) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in range(8)]
+    reached = {0}
+    for _ in near:
+        reached |= {j for i in reached for j in near[i]}
+    want = [0, *sorted(set(range(8)) - reached), 20, 21, None]
+    assert 4 in reached and len(want) > 4 and all(near[i] == {i} for i in set(range(8)) - reached)
+    got = corpus_pipeline.keep_one_of_a_kind(spark, frame(spark, rows), sf_dir)
+    assert got.columns == frame(spark, []).columns
+    assert sorted((r.doc_id for r in got.collect()), key=lambda i: (i is None, i)) == want
