@@ -156,6 +156,15 @@ def test_language_model(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in only)
 
 
+def test_size_of_the_language_model(spark):
+    counts = spark.createDataFrame([(f"w{i:03}", 1000 - i) for i in range(600)], "token string, n long")
+    v = neural_lm.vocabulary(counts)
+    model = neural_lm.Model.start(v)
+    assert v.classes() == 448 + 64 and v.class_of(np.array([447]))[0] == 447 and v.class_of(np.array([448]))[0] >= 448
+    assert model.target.shape == (512, 32) and model.context.shape == (5, 32)
+    assert (neural_lm.BATCH, neural_lm.NOISE) == (1024, 64)
+
+
 def test_class_probabilities_are_normalised():
     v = neural_lm.Vocabulary({}, np.zeros(0), {}, np.zeros(0, np.int64), 10, 3, np.array([5, 3, 2]), np.array([1, 1, 1]))
     model = neural_lm.Model.start(v)
