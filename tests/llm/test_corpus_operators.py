@@ -51,6 +51,20 @@ def test_quotations(spark):
     assert twice.count() == 2 * len(rows)
 
 
+def test_short_quotations_and_sentences(spark, tmp_path):
+    rows = [
+        (1, 0, "user", "How large is the house that stands near the river? It has a green door. Who lives there?", 0, "x"),
+        (1, 1, "assistant", "Nine rooms.", 0, "x"),
+        (1, 2, "user", "Yes.", 0, "x"),
+        (1, 3, "user", "> Nine rooms.\nThanks.", 0, "x"),
+        (1, 4, "user", "> It has a green door.\n> Yes.\nReally?", 0, "x"),  # the longest match counts
+        (1, 5, "user", "> ...\nWhat?", 0, "x"),
+    ]
+    spark.createDataFrame(rows, CONV).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.reply_to for r in LLM_REGISTRY["op5_chat_formatting"].run(spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 1, 4: 0, 5: None}
+
+
 def test_long_chain_of_replies(spark):
     said = [f"{prose(40 + k, 12)} number {k}" for k in range(40)]
     rows = [(1, k, "user", (f"> {said[k - 1]}\n" if k else "") + said[k], 0, "x") for k in range(40)]

@@ -114,7 +114,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op5_chat_formatting")
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"), min_chars=1)
 
 
 @_register("pipeline", corpus_pipeline.ORACLE_SQL)

@@ -1,8 +1,8 @@
 """Conversations without their quotations, every message after the one it replies to.
 
-Quoted lines are parsed by nesting level. Quoted passages and the lines in them are hashed after normalising, and
-meet the hashes of what earlier messages of the conversation said themselves; the last one before the quotation is
-what the message replies to. Threads follow one another by their first message, messages within a thread by turn.
+Quoted lines are parsed by nesting level. Quoted passages, their paragraphs, lines and sentences are hashed after
+normalising, and meet the hashes of what earlier messages of the conversation said themselves; of those that said the
+longest match the last one before the quotation is what the message replies to. Threads follow one another by their first message, messages within a thread by turn.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import ranked, written
 
-#: Shorter passages are said too often to tell who is quoted.
+#: Least length of what is matched, unless the caller gives one.
 MIN_CHARS = 16
 _QUOTED = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$", re.S)
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _NAMED = re.compile(r"^(?:On|Am|Le|El)\b.{0,200}:[ \t]*$")
 
 
@@ -49,28 +50,37 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(level, "\n".join(lines)) for level, lines in passages]
 
 
-def units(passage: str) -> list[str]:
-    """Hashes of a passage as a whole, of its paragraphs and of its lines, as far as they are long enough."""
-    parts = {normalised(p) for p in (passage, *re.split(r"\n\s*\n", passage), *passage.split("\n"))}
-    return sorted(hashlib.sha256(p.encode()).hexdigest()[:32] for p in parts if len(p) >= MIN_CHARS)
+def units(passage: str, min_chars: int = MIN_CHARS) -> list[dict]:
+    """Hashes and lengths of a passage as a whole, its paragraphs, lines and sentences, as far as they are long enough."""
+    blocks = [passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")]
+    parts = {normalised(p) for block in blocks for p in (block, *_SENTENCE.split(block))}
+    return [
+        {"hash": hashlib.sha256(p.encode()).hexdigest()[:32], "size": len(p)} for p in sorted(parts) if len(p) >= max(1, min_chars)
+    ]
 
 
-_UNITS = "conv string, turn long, role string, key long, said array<string>, quoted array<struct<level: int, hashes: array<string>>>"
+_UNIT = pa.struct([("hash", pa.string()), ("size", pa.int32())])
+_SAID = "array<struct<hash: string, size: int>>"
+_UNITS = f"conv string, turn long, role string, key long, said {_SAID}, quoted array<struct<level: int, units: {_SAID}>>"
 
 
-def _units(batches):
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("hashes", pa.list_(pa.string()))]))
-    for batch in batches:
-        said, quoted = [], []
-        for text in batch.column("_text"):
-            own, passages = parse(text.as_py())
-            said.append(units(own))
-            quoted.append([{"level": level, "hashes": units(p)} for level, p in passages])
-        columns = [batch.column(c) for c in ("conv", "turn", "role", "key")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(said, pa.list_(pa.string())), pa.array(quoted, kind)],
-            ["conv", "turn", "role", "key", "said", "quoted"],
-        )
+def _units(min_chars: int):
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("units", pa.list_(_UNIT))]))
+
+    def run(batches):
+        for batch in batches:
+            said, quoted = [], []
+            for text in batch.column("_text"):
+                own, passages = parse(text.as_py())
+                said.append(units(own, min_chars))
+                quoted.append([{"level": level, "units": units(p, min_chars)} for level, p in passages])
+            columns = [batch.column(c) for c in ("conv", "turn", "role", "key")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(said, pa.list_(_UNIT)), pa.array(quoted, kind)],
+                ["conv", "turn", "role", "key", "said", "quoted"],
+            )
+
+    return run
 
 
 def _bodies(at: int):
@@ -83,18 +93,20 @@ def _bodies(at: int):
 
 
 def _last_said(units_: DataFrame) -> DataFrame:
-    """(conv, turn, level, original): for each message and level, the last earlier message whose words it quotes."""
+    """(conv, turn, level, original): for each message and level, the last earlier message that said the longest of its matches."""
     quoted = (
         units_.where(F.size("quoted") > 0)
         .select("conv", "turn", F.explode("quoted").alias("q"))
-        .select("conv", "turn", "q.level", F.explode("q.hashes").alias("hash"))
+        .select("conv", "turn", "q.level", F.explode("q.units").alias("u"))
+        .select("conv", "turn", "level", "u.hash", "u.size")
         .distinct()
     )
     wanted = quoted.select(F.col("conv").alias("_c"), F.col("hash").alias("_h")).distinct()
-    said = units_.select("conv", "turn", F.explode("said").alias("hash"))
+    said = units_.select("conv", "turn", F.explode("said").alias("u")).select("conv", "turn", "u.hash")
     said = said.join(wanted, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")), "left_semi").distinct()
-    both = said.select("conv", "hash", "turn", F.lit(None).cast("int").alias("level"), F.lit(1).alias("order")).unionAll(
-        quoted.select("conv", "hash", "turn", "level", F.lit(0).alias("order"))
+    none = F.lit(None).cast("int")
+    both = said.select("conv", "hash", "turn", none.alias("level"), none.alias("size"), F.lit(1).alias("order")).unionAll(
+        quoted.select("conv", "hash", "turn", "level", "size", F.lit(0).alias("order"))
     )
     # in the order of turns, quotations before what the same turn says: one pass, however often a line is said
     before = Window.partitionBy("conv", "hash").orderBy("turn", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -103,7 +115,7 @@ def _last_said(units_: DataFrame) -> DataFrame:
         both.withColumn("original", F.last(said_turn, ignorenulls=True).over(before))
         .where("order = 0 AND original IS NOT NULL")
         .groupBy("conv", "turn", "level")
-        .agg(F.max("original").alias("original"))
+        .agg(F.max(F.struct("size", "original"))["original"].alias("original"))
     )
 
 
@@ -119,13 +131,19 @@ def _roots(replies: DataFrame) -> DataFrame:
 
 
 def link_quotations(
-    messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    messages: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """(conv, turn, role, position, reply_to, thread, n_quotes, n_linked, body, formatted) of every message.
 
     reply_to is the turn whose words the outermost linked quotation repeats, null without one; thread the first turn
     of the chain of replies; position the place in the reply-ordered conversation, from 0. body is the message
-    without quotations, formatted the same with its role's marks; the conversation is these texts by position.
+    without quotations, formatted the same with its role's marks; the conversation is these texts by position. Words
+    of fewer than min_chars normalised characters are not matched; 1 matches all that has any.
 
     Null text is an empty body, a null role is `user`; null conversations are one, null turns come first and neither
     quote nor are quoted. Repeated rows share a position. An empty table gives no rows. Other columns are not looked
@@ -138,7 +156,7 @@ def link_quotations(
         F.xxhash64(text_col).alias("key"),
         F.col(text_col).alias("_text"),
     )
-    parsed = written(rows.mapInArrow(_units, _UNITS), "quotes-units")
+    parsed = written(rows.mapInArrow(_units(min_chars), _UNITS), "quotes-units")
     linked = written(_last_said(parsed.where("turn IS NOT NULL")), "quotes-links")
     parents = linked.groupBy("conv", "turn").agg(
         F.min_by("original", "level").alias("parent"), F.count(F.lit(1)).alias("levels_linked")
