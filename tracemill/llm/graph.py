@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import written
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(_a, m): the least b of every a; reduced before the shuffle, so a hub with many neighbours costs no more."""
+    return edges.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-    return both.withColumn("m", low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = both.join(_least(both), F.col("a") == F.col("_a")).where("b > a")
+    return low.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    own = low.select("a", F.col("m").alias("b"))
-    others = low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(down)
+    own = least.select(F.col("_a").alias("a"), F.col("m").alias("b"))
+    others = down.join(least, F.col("a") == F.col("_a")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return own.unionAll(others).distinct()
 
 

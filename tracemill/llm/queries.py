@@ -16,6 +16,7 @@ from tracemill.llm import (
     quality,
     quotations,
     secrets,
+    simhash,
     token_store,
 )
 from tracemill.llm.common import LOWER, UPPER, table
@@ -117,6 +118,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_quotations(table(spark, sf_dir, "conversations"), min_chars=1)
 
 
+@_register("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
