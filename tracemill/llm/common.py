@@ -7,7 +7,9 @@ import ctypes
 import gc
 import sys
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_slices(batch: pa.RecordBatch, size: int = 4 << 20):
+    """Parts of a batch whose `_text` has about so many bytes each; a longer text is a part of its own."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("_text")), 0)))
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, size)[1:], "right")
+    edges = sorted({0, *cuts.tolist(), batch.num_rows})
+    return [batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def ranked(rows: DataFrame, name: str, *keys: Column) -> DataFrame:
     """Rows with their place `_rank` (from 0) in the order of keys, as a written table.
 

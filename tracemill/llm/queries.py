@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tracemill.llm import (
+    alignment,
     decontaminate,
+    dual_tree,
     fingerprints,
     jaccard_join,
     line_dedup,
@@ -118,11 +120,48 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_quotations(table(spark, sf_dir, "conversations"), min_chars=1)
 
 
+_TERMS_SQL = f"""regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"""
+
+
+@_register(
+    "op11_dual_tree",
+    f"""
+WITH docs AS (SELECT doc_id, {_TERMS_SQL} AS terms FROM documents WHERE len({_TERMS_SQL}) > 0),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs),
+postings AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, corpus GROUP BY term, n_docs),
+items AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), corpus GROUP BY item_id, doc_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+""",
+)
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_register("op12_simhash")
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_register("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, pieces = alignment.public_paths()
+    return alignment.align(table(spark, sf_dir, "documents"), byte_level, pieces)
+
+
 @_register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
