@@ -17,6 +17,7 @@ import hashlib
 import re
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import WORKER_STATE, drop_worker_state, partitions, written
 
 #: Units whose alignment a worker keeps; beyond that it starts anew.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 400_000
 #: Texts that are encoded at a time, in characters; units of a part of a chunk; postings and documents of a chunk.
-SLICE_CHARS, PART_UNITS, CHUNK_POSTINGS, CHUNK_DOCS = 4 << 20, 1_000_000, 4_000_000, 32_768
+SLICE_CHARS, PART_UNITS, CHUNK_POSTINGS, CHUNK_DOCS = 2 << 20, 400_000, 2_500_000, 32_768
 #: Documents that are encoded at a time; places in a chunk have 16 bits.
 SLICE_DOCS = 16_384
 
@@ -106,33 +107,39 @@ class Aligned:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str | tuple[str], int] = {}
         self.groups: list[str] = []
-        self.valid: list[bool] = []
+        self.valid = np.zeros(0, bool)
         self.sizes = np.zeros((0, 4), np.int64)
         self.pair_start, self.pairs, self.times = np.zeros(1, np.int64), _NO_IDS, _NO_IDS
 
-    def add(self, units: list[str]) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self.number]
+    def numbers(self, units: list) -> np.ndarray:
+        """Number of every unit, -1 where a text has to be cut with care; see units_of."""
+        new = []
+        for u in set(units) - self.number.keys():
+            if u and (isinstance(u, tuple) or not u[-1].isspace()):
+                new.append(u)
+            else:
+                self.number[u] = -1
         for at in range(0, len(new), 50_000):
             self._add(new[at : at + 50_000])
+        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
 
-    def _add(self, units: list[str]) -> None:
+    def _add(self, units: list) -> None:
         t = self.tokenizers
-        whole = [u if u[0] in " \n" else " " + u for u in units]
+        whole = [u[0] if isinstance(u, tuple) else u if u[0] == "\n" else " " + u for u in units]
         a, b = t.encode_a(whole), t.encode_b(whole)
         raw = [w.encode() for w in whole]
-        ok = self._same(raw, a, t.bytes_a) & self._same(raw, b, t.bytes_b)
+        (ids_a, n_a), (ids_b, n_b) = _chained(a), _chained(b)
+        ok = self._same(raw, ids_a, n_a, t.bytes_a) & self._same(raw, ids_b, n_b, t.bytes_b)
         first = len(self.groups)
         self.number.update((u, first + i) for i, u in enumerate(units))
-        self.valid += ok.tolist()
-        a = [ids if good else [] for ids, good in zip(a, ok, strict=True)]
-        b = [ids if good else [] for ids, good in zip(b, ok, strict=True)]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (a, b))
+        self.valid = np.r_[self.valid, ok]
+        ids_a, ids_b = ids_a[np.repeat(ok, n_a)], ids_b[np.repeat(ok, n_b)]
+        n_a, n_b = n_a * ok, n_b * ok
         # all units one after the other: both sides have the same bytes, so ends can be compared over all of them
         end_a, end_b = np.cumsum(t.bytes_a.size[ids_a]), np.cumsum(t.bytes_b.size[ids_b])
-        cuts = np.intersect1d(end_a, end_b)
+        cuts = end_a[end_b[np.searchsorted(end_b, end_a)] == end_a]
         group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
         unit_of_group = np.zeros(len(cuts), np.int64)
         unit_of_group[group_a] = np.repeat(np.arange(len(units)), n_a)
@@ -145,16 +152,15 @@ class Aligned:
         self._links(ids_a, ids_b, group_a, group_b, unit_of_group, len(units))
 
     @staticmethod
-    def _same(raw: list[bytes], ids: list[list[int]], entries: _Bytes) -> np.ndarray:
+    def _same(raw: list[bytes], ids: np.ndarray, n: np.ndarray, entries: _Bytes) -> np.ndarray:
         """Which units' tokens join to their bytes."""
-        flat = np.fromiter((i for x in ids for i in x), np.int64)
-        unit = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+        unit = np.repeat(np.arange(len(n)), n)
         size = np.zeros(len(raw), np.int64)
-        np.add.at(size, unit, entries.size[flat])
+        np.add.at(size, unit, entries.size[ids])
         want = np.fromiter(map(len, raw), np.int64, len(raw))
         ok = size == want
         own = np.frombuffer(b"".join(r for r, good in zip(raw, ok, strict=True) if good), np.uint8)
-        differs = own != entries.joined(flat[ok[unit]])
+        differs = own != entries.joined(ids[ok[unit]])
         ok[np.repeat(np.flatnonzero(ok), want[ok])[differs]] = False
         return ok
 
@@ -183,6 +189,12 @@ class Aligned:
         self.pairs, self.times = np.r_[self.pairs, pair], np.r_[self.times, times]
 
 
+def _chained(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All values one after the other, and how many each list has."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), n
+
+
 def _keys(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, int]:
     """one and two as a single number each, and the bits that two takes."""
     bits = int(two.max(initial=0)).bit_length()
@@ -208,13 +220,15 @@ def _counted(one: np.ndarray, two: np.ndarray):
     return key >> bits, key & ((1 << bits) - 1), n
 
 
-def units_of(text: str, fast: bool = True) -> list[str]:
-    """Units of the text with a space before it. The space at the start of most is left out; see Aligned.add."""
-    if fast:
-        units = text.replace("\n", " \n").split(" ")
-        if all(units) and not any(u[-1].isspace() for u in units):
-            return units
-    return _CUTS.split(" " + text)
+def units_of(text: str, careful: bool = False) -> list:
+    """Units of the text with a space before it.
+
+    Most texts fall apart at their spaces, and the space that begins a unit is left out. Where that gives an empty
+    unit, or one that ends with white space, the text is cut with care: such units come with their space, as tuples.
+    """
+    if careful:
+        return [(u,) for u in _CUTS.split(" " + text)]
+    return text.replace("\n", " \n").split(" ")
 
 
 # ---- postings ------------------------------------------------------------------------------------------------------
@@ -372,7 +386,7 @@ def _aligned(path_a: str, path_b: str):
             yield batch_of(len(pair), chunk=np.full(len(pair), number), pair=pair, n=n, docs=docs, planes=planes, top=np.full(len(pair), chunk.n_docs))
 
     def digest(ids: list[int], known: Aligned) -> str:
-        return hashlib.sha256(";".join([known.groups[i] for i in ids]).encode()).hexdigest()
+        return hashlib.sha256(";".join(map(known.groups.__getitem__, ids)).encode()).hexdigest()
 
     def run(batches):
         known = _worker(path_a, path_b)
@@ -389,12 +403,22 @@ def _aligned(path_a: str, path_b: str):
                     chunk.close_part(known)
                     known.clear()
                 split = [units_of(t) if t else [] for t in texts[at:stop]]
-                known.add([u for units in split for u in units])
-                coded = [[known.number[u] for u in units] for units in split]
-                coded = [c if all(known.valid[i] for i in c) else [] for c in coded]
-                each = np.fromiter(map(len, coded), np.int64, len(coded))
-                flat = np.fromiter((i for c in coded for i in c), np.int64, each.sum())
-                doc = np.repeat(np.arange(len(coded)), each)
+                flat = known.numbers(list(chain.from_iterable(split)))
+                each = np.fromiter(map(len, split), np.int64, len(split))
+                doc = np.repeat(np.arange(len(split)), each)
+                if (odd := np.unique(doc[flat < 0])).size:
+                    for i in odd.tolist():
+                        split[i] = units_of(texts[at + i], careful=True)
+                    flat = known.numbers(list(chain.from_iterable(split)))
+                    each = np.fromiter(map(len, split), np.int64, len(split))
+                    doc = np.repeat(np.arange(len(split)), each)
+                if not (good := known.valid[flat]).all():
+                    each[doc[~good]] = 0
+                    flat = flat[each[doc] > 0]
+                    doc = np.repeat(np.arange(len(split)), each)
+                ends = np.cumsum(each).tolist()
+                coded = flat.tolist()
+                coded = [coded[x:y] for x, y in zip([0, *ends], ends, strict=False)]
                 sizes = np.zeros((len(coded), 4), np.int64)
                 np.add.at(sizes, doc, known.sizes[flat])
                 chunk.doc.append(doc + chunk.n_docs)
