@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tracemill.operators.store import ingest_report
 from tracemill.sources import jsonl
-from tracemill.sources.lines import changed_files, list_files, read_lines
+from tracemill.sources.lines import list_files, read_lines
+from tracemill.sources.tail import changed
 
 NOW = "2026-01-01T00:00:00.000Z"
 MARKUP = (
@@ -147,8 +148,11 @@ def test_report_and_directories(spark, folder, events):
 def test_changed_files(spark, folder):
     files = list_files(spark, folder, "*.jsonl")
     assert files.count() == 1
-    assert changed_files(files, files).count() == 0
-    assert changed_files(files, files.withColumn("size", F.col("size") - 1)).count() == 1
+    done = files.select("path", F.col("size").alias("offset"), "modified", F.lit(0).alias("next_seq"), F.lit("r").alias("run"))
+    assert changed(files, done).count() == 0
+    grown = changed(files, done.withColumn("offset", F.col("offset") - 1)).collect()
+    assert [r.start for r in grown] == [r.size - 1 for r in files.collect()]
+    assert [r.start for r in changed(files, done.withColumn("offset", F.col("offset") + 1)).collect()] == [0] * files.count()
 
 
 def test_long_and_deeply_nested_texts_stay_whole(spark):

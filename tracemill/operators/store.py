@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracemill.schema import EVENTS
+from tracemill.session import written
 
 PARTITIONS = ("event_date", "source_kind")
+#: Buckets of the key table; an append reads those that its keys fall into.
+BUCKETS = 64
 
 
 def _first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,44 +23,79 @@ def _first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
 def new_rows(new: DataFrame, old: DataFrame, key: str = "event_id") -> DataFrame:
     """Rows of `new` whose key is in neither `old` nor an earlier row of `new`.
 
-    Of rows with one key the first in its source counts. Stored keys are first reduced to those that occur in `new`,
-    within the days and kinds that occur there, so other partitions are not read. Then the rest is an anti-join.
+    Of rows with one key the first in its source counts. The key alone decides, whatever day or kind a row has.
+    Stored keys are first reduced to those that occur in `new`; the rest is an anti-join.
     """
     order = [c for c in ("source_id", "source_seq", "event_ts") if c in new.columns]
     incoming = _first_of_each(new, [key], [F.col(c).asc_nulls_last() for c in order] or [F.col(key)])
-    where = [c for c in PARTITIONS if c in new.columns and c in old.columns]
-    keys = [key, *where]
-    wanted = new.select(*keys).distinct()
-    clash = old.select(*keys).join(wanted, keys, "left_semi").select(key).distinct()
+    clash = old.select(key).join(new.select(key).distinct(), key, "left_semi").distinct()
     return incoming.join(clash, key, "left_anti")
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Stored rows; only a path that isn't there is an empty store."""
+def _read(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """A stored table, or None where nothing is."""
     try:
-        return spark.read.schema(like.schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], like.schema)
+        return None
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table; only a path that isn't there is an empty one."""
+    found = _read(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Stored rows; only a path that isn't there is an empty store."""
+    found = _read(spark, path, like.schema)
+    return spark.createDataFrame([], like.schema) if found is None else found
+
+
+def key_folder(path: str) -> str:
+    """Where the keys of a store are kept, beside it."""
+    return path.rstrip("/") + "_keys"
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 def append_new(new: DataFrame, path: str, key: str = "event_id") -> None:
-    """Append the rows that are not stored yet, partitioned by day and source kind.
+    """Append the rows whose key is not stored yet, partitioned by day and source kind.
 
-    The new rows are read twice, so they are kept for the time of the write; what an
-    executor loses is computed again. The rebalance hint splits a partition that holds
+    The keys of a store are a narrow table of their own in buckets, of which those of the new keys are read. Rows are
+    written before their keys. What a broken run left without keys is found when it is repeated, by a look at the
+    stored rows of the same days and kinds; a store without a key table gives its keys once. The new rows are read
+    several times, so they are a table for the time of the write. The rebalance hint splits a partition that holds
     most of the rows.
     """
+    spark = new.sparkSession
     parts = [c for c in PARTITIONS if c in new.columns]
-    kept = new.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fresh = new_rows(kept, _stored(new.sparkSession, path, new), key)
-        if parts:
-            fresh = fresh.hint("rebalance", *parts)
-        fresh.write.mode("append").partitionBy(*parts).parquet(path)
-    finally:
-        kept.unpersist()
+    batch = written(new, "append")
+    stored = _stored(spark, path, new)
+    ids = batch.select(key, *parts).distinct()
+    kept = _read(spark, key_folder(path), f"{key} string, bucket int")
+    if kept is None:
+        known = stored.select(key)
+    else:
+        buckets = [r.bucket for r in ids.select(_bucket(key)).distinct().collect()]  # at most BUCKETS numbers
+        near = stored.select(key, *parts).join(ids, [key, *parts], "left_semi").select(key)
+        known = kept.where(F.col("bucket").isin(buckets)).select(key).unionAll(near)
+    known = written(known.join(ids.select(key).distinct(), key, "left_semi").distinct(), "append-known") if kept is not None else known
+    fresh = new_rows(batch, known, key)
+    if parts:
+        fresh = fresh.hint("rebalance", *parts)
+    unkeyed = ids.select(key).distinct()
+    if kept is None:
+        unkeyed = unkeyed.unionAll(stored.select(key)).distinct()
+    else:
+        unkeyed = unkeyed.join(kept.where(F.col("bucket").isin(buckets)).select(key), key, "left_anti")
+    unkeyed = written(unkeyed.select(key, _bucket(key)), "append-keys")
+    fresh.write.mode("append").partitionBy(*parts).parquet(path)
+    unkeyed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(key_folder(path))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

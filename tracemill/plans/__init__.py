@@ -1,4 +1,4 @@
 """Derived views over the driver tables and the registered queries."""
 
-from tracemill.plans import activity, files, ingestion, retrieval, streams, usage  # noqa: F401
+from tracemill.plans import activity, files, ingestion, intake, retrieval, streams, usage  # noqa: F401
 from tracemill.plans.registry import REGISTRY  # noqa: F401

@@ -295,10 +295,8 @@ def records(lines: DataFrame) -> DataFrame:
     return trimmed.withColumn("entry", F.try_parse_json("line"))
 
 
-def normalize(
-    lines: DataFrame, device_id: str, ingest_ts: str, redact_secrets: bool = True
-) -> DataFrame:
-    """Canonical events of numbered lines `(path, block, pos, line)`.
+def numbered(lines: DataFrame) -> DataFrame:
+    """Pieces of numbered lines `(path, block, pos, line)` with the positions they take in their file.
 
     A line counts at least one position, also when nothing comes of it. A last line
     still being written therefore gives the same events once it is complete.
@@ -314,17 +312,29 @@ def normalize(
         }
     )
     is_first = F.col("at") == 0
-    numbered = running_sum(
+    placed = running_sum(
         rows, ["path"], "block", ["pos", "at"], F.when(is_first, F.col("taken")).otherwise(0), "before"
     )
     base = F.col("before") - F.when(is_first, 0).otherwise(F.col("taken"))
-    source = source_id(F.col("path"), device_id)
-    each = numbered.select(
-        source.alias("source_id"),
+    return placed.select(
+        "path", "event_ts", "token_meta", base.alias("base"), "inside", F.when(is_first, F.col("taken")).alias("taken"), "pieces"
+    )
+
+
+def events_of(
+    rows: DataFrame, device_id: str, ingest_ts: str, redact_secrets: bool = True, first: DataFrame | None = None
+) -> DataFrame:
+    """Canonical events of numbered pieces; `first` has the position `next_seq` at which the lines of a path begin."""
+    before = F.lit(0)
+    if first is not None:
+        rows = rows.join(first.select(F.col("path").alias("_path"), "next_seq"), F.col("path") == F.col("_path"), "left")
+        before = F.coalesce("next_seq", F.lit(0))
+    each = rows.select(
+        source_id(F.col("path"), device_id).alias("source_id"),
         "path",
         F.coalesce("event_ts", F.lit(ingest_ts)).alias("event_ts"),
         "token_meta",
-        base.alias("base"),
+        (F.col("base") + before).alias("base"),
         "inside",
         F.posexplode("pieces").alias("i", "p"),
     ).withColumn("off", F.col("inside") + F.col("i"))
@@ -334,6 +344,13 @@ def normalize(
     return promote(_finish(each, device_id, ingest_ts, redact_secrets))
 
 
+def normalize(
+    lines: DataFrame, device_id: str, ingest_ts: str, redact_secrets: bool = True
+) -> DataFrame:
+    """Canonical events of whole files, as numbered lines."""
+    return events_of(numbered(lines), device_id, ingest_ts, redact_secrets)
+
+
 def _finish(each: DataFrame, device_id: str, ingest_ts: str, redact_secrets: bool) -> DataFrame:
     kind = F.col("kind")
     call = F.concat(F.lit("tool:"), "tool", F.lit(":"), (F.col("off") - F.col("back")).cast("string"))

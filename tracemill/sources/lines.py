@@ -71,8 +71,3 @@ def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"),
     )
-
-
-def changed_files(files: DataFrame, progress: DataFrame) -> DataFrame:
-    """Files that are new or whose size or time differs from the recorded progress."""
-    return files.join(progress, ["path", "size", "modified"], "left_anti")
