@@ -46,11 +46,34 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark remove the shuffle files of an execution when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
-    """Rows as a table in the shared folder: computed once, and read again after an executor is lost."""
-    folder = run_folder(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    """Rows as a table in the shared folder: computed once, and read again after an executor is lost.
+
+    What was shuffled for the write is of no use after it and is given back at once. `discard` removes the table.
+    """
+    spark = rows.sparkSession
+    folder = run_folder(spark, name)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        rows.write.parquet(folder)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    table = spark.read.schema(rows.schema).parquet(folder)
+    table.written_folder = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables of which nothing more is read."""
+    for table in tables:
+        spark, folder = table.sparkSession, table.written_folder
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
