@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import compare, connect
@@ -43,7 +44,7 @@ def test_quotations(spark):
     assert len(got) == len(rows)
     order = [t for _, t in sorted((got[1, t].position, t) for t in range(5))]
     assert order == [0, 2, 3, 1, 4]
-    assert [got[1, t].reply_to for t in range(5)] == [None, None, 0, 0, 1]
+    assert [got[1, t].reply_to for t in range(5)] == [None, None, 0, 2, 1]
     assert got[1, 2].body == "Nine rooms." and got[1, 3].body == "Thanks." and got[1, 3].n_quotes == 2
     assert got[2, 1].reply_to is None and got[2, 1].body == "" and got[2, 0].formatted == "<|user|>\n\n<|end|>\n"
     assert quotations.link_quotations(spark.createDataFrame([], CONV)).count() == 0
@@ -51,6 +52,47 @@ def test_quotations(spark):
     assert twice.count() == 2 * len(rows)
 
 
+def test_attributions_of_any_length_and_language():
+    long = "On a day that is long gone, " + "and in a place far away, " * 40 + "somebody wrote:"
+    for line in (long, "Иван писал:", "Jemand schrieb am Montag:  "):
+        assert quotations.parse(f"Hello.\n{line}\n> quoted\nYes.") == ("Hello.\nYes.", [(1, "quoted")])
+    assert quotations.parse("As follows:\n\n> quoted")[0] == "As follows:"
+
+
+def brute_replies(rows):
+    """reply_to of (conv, turn, text) rows: the longest unit of a shallowest-level quotation that an earlier turn says."""
+    out = {}
+    for conv, turn, text in rows:
+        own, passages = quotations.parse(text)
+        best = {}
+        for level, passage in passages:
+            for unit in quotations.units(passage):
+                said = [t for c, t, x in rows if c == conv and t < turn and unit in quotations.units(quotations.parse(x)[0])]
+                if said:
+                    best[level] = max(best.get(level, (0, -1)), (unit["size"], max(said)))
+        out[conv, turn] = best[min(best)][1] if best else None
+    return out
+
+
+def test_replies_against_all_pairs(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text").collect()]
+    rows = sorted(rows)[:400]
+    docs = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    # every fifth turn quotes a part of one before it
+    quoting = []
+    for n, (c, t, x) in enumerate(rows):
+        before = [y for d, u, y in rows if d == c and u < t and y]
+        text = x or ""
+        if before and n % 5 == 0:
+            picked = before[n % len(before)]
+            text = "> " + "\n> ".join(picked.split("\n")[: 1 + n % 3]) + "\n" + text
+        quoting.append((c, t, text))
+    docs = spark.createDataFrame([(c, t, "user", x) for c, t, x in quoting], docs.schema)
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotations.link_quotations(docs).collect()}
+    assert got == brute_replies(quoting)
+    assert sum(v is not None for v in got.values()) > 10
+
+
 def test_short_quotations_and_sentences(spark, tmp_path):
     rows = [
         (1, 0, "user", "How large is the house that stands near the river? It has a green door. Who lives there?", 0, "x"),
@@ -260,7 +302,7 @@ def test_alike_sets_share_a_signature():
         both = len(np.intersect1d(one, two))
         if 100 * both >= 85 * (len(one) + len(two) - both) and len(np.setxor1d(one, two)):
             for frequent in (one[:0], one[: n // 3], np.union1d(one, two), two[::2]):
-                a, b = (jaccard_join.signatures(x, bands, frequent) for x in (one, two))
+                a, b = (jaccard_join.signatures(x, bands, x[~np.isin(x, frequent)]) for x in (one, two))
                 assert len(np.intersect1d(a, b))
 
 
@@ -334,6 +376,15 @@ def test_near_copies_of_the_pipeline(spark, sf_dir):
         reached |= {j for i in reached for j in near[i]}
     want = [0, *sorted(set(range(8)) - reached), 20, 21, None]
     assert 4 in reached and len(want) > 4 and all(near[i] == {i} for i in set(range(8)) - reached)
+    # of two rows with one id each is judged by its text; columns may have any name
+    base_text = " ".join(base)
+    twice = frame(spark, [row(1, base_text), row(2, base_text), row(2, prose(302, 90)), row(None, base_text)])
+    for name in ("_id", "_n", "_kept_id", "_mix_doc_id", "_mix_each", "text_hash", "component"):
+        twice = twice.withColumn(name, F.lit(name))
+    kept = corpus_pipeline.keep_one_of_a_kind(spark, twice, sf_dir)
+    assert kept.columns == twice.columns
+    assert sorted((r.doc_id, r.text == base_text, r._n) for r in kept.collect()) == [(1, True, "_n"), (2, False, "_n")]
+    assert mixing.repeat(twice).columns == twice.columns and mixing.repeat(twice).where("_mix_each <> '_mix_each'").count() == 0
     got = corpus_pipeline.keep_one_of_a_kind(spark, frame(spark, rows), sf_dir)
     assert got.columns == frame(spark, []).columns
     assert sorted((r.doc_id for r in got.collect()), key=lambda i: (i is None, i)) == want

@@ -141,6 +141,12 @@ def test_ownership(spark):
     rows = [(i, f"{example} {live if i == 3 else ''}", "en", f"s{i % 4}", 1, 1, 1, "s", None) for i in range(8)]
     got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, rows)).collect()}
     assert got[0].n_live == 0 and got[0].findings[0].owners == 4
+    assert [got[3].findings[0].repositories, got[3].findings[1].repositories] == [8, 1]
+    # one source that repeats a string in many documents shows an example, however few owners it has
+    hot = [(i, f"{live} {'zT4' + 'Qm8' * 8 if i < 10 else ''}", "en", "one", 1, 1, 1, "s", None) for i in range(40)]
+    found = {r.doc_id: r for r in secrets.find_secrets(frame(spark, hot + hot)).collect()}
+    assert all(r.n_live == (1 if i < 10 else 0) for i, r in found.items())
+    assert all(r.n_owned == 0 for r in secrets.find_secrets(frame(spark, hot), max_repositories=9).collect())
     assert got[3].n_owned == 1 and got[3].spans == f"assign:0:31,owned:32:{32 + len(live)}"
 
 
@@ -177,6 +183,15 @@ def test_myers_and_pieces():
             assert (j in found) == (least <= budget), (j, k, least, budget)
 
 
+def test_short_items_match_as_whole_words():
+    finder = decontaminate.Finder([(1, "What is 2 plus 2?"), (2, "pi"), (3, "  "), (4, "c++")])
+    found = lambda text: {i for i, *_ in finder.matches(text)}
+    assert found("And then: what  is 2\nplus 2? Four.") == {1}
+    assert found("What is 2 plus 3?") == found("pie and api") == found("") == set()
+    assert found("The number Pi, in C++.") == {2, 4} and found("pi") == {2}
+    assert [m[2:] for m in finder.matches("api pi")] == [(4, 6)]
+
+
 def test_leaks(spark):
     item = prose(31, 30)
     rows = [*unique(), (50, f"{prose(32, 50)}\n{item.upper()} {prose(33, 9)}", "en", "a", 1, 1, 1, "s", None), (51, item[: len(item) // 2], "en", None, 1, 1, 1, "s", None)]

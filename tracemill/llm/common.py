@@ -13,7 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.session import run_folder
+from tracemill.session import discard, written
+
+__all__ = ["discard", "written"]  # operators take them from here
 
 #: The white space that separates words and surrounds lines.
 SPACES = " \t\n\x0b\x0c\r"
@@ -25,13 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """Rows as a table in the shared folder: computed once, and read again after an executor is lost."""
-    folder = run_folder(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and every other letter as it is."""
     plain = F.octet_length(text) == F.char_length(text)
@@ -61,6 +56,28 @@ def drop_worker_state() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def bit_filter(slots: DataFrame, bits: int) -> np.ndarray:
+    """Bits, a multiple of 32,768 of them, that are set at the numbers in the column `slot`: the same size for any table."""
+    words = slots.select((F.col("slot") + 1).alias("_s")).groupBy(F.call_function("bitmap_bucket_number", F.col("_s")).alias("word"))
+    words = words.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("_s"))).alias("bits"))
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in words.collect():
+        out[r.word - 1] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """The name, or one like it, that no column of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

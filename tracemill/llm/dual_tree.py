@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import LOWER, UPPER, ranked, text_slices, written
+from tracemill.llm.common import LOWER, UPPER, bit_filter, drop_worker_state, in_filter, ranked, text_slices, written
 
 #: Documents and postings at which a batch is closed; items of a block.
 BATCH_DOCS, BATCH_POSTINGS, BLOCK_ITEMS = 8192, 2_000_000, 256
@@ -76,21 +76,15 @@ def _item_terms(batches):
 
 def _item_filter(items: DataFrame) -> np.ndarray:
     """Bits of the items' term hashes."""
-    # the JVM numbers bits from 1 and its words by 32,768 of them
-    slots = items.select(F.explode("hs").alias("h")).select((F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("slot"))
-    words = slots.groupBy(F.call_function("bitmap_bucket_number", F.col("slot")).alias("word")).agg(
-        F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("slot"))).alias("bits")
-    )
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in words.collect():
-        out[r.word - 1] |= np.frombuffer(bytes(r.bits), np.uint8)
-    return out.reshape(-1)
+    hashes = items.select(F.explode("hs").alias("h"))
+    return bit_filter(hashes.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")), FILTER_BITS)
 
 
 def _doc_terms(wanted: np.ndarray):
     """(batch, doc, n, hs, tfs) of every document with a term: all its terms counted, those of items listed."""
 
     def run(batches):
+        drop_worker_state()
         number, docs, postings = TaskContext.get().partitionId() << 32, 0, 0
         for batch in (part for whole in batches for part in text_slices(whole)):
             counts = [term_counts(t.as_py() or b"") for t in batch.column("_text").cast(pa.large_binary())]
@@ -102,8 +96,7 @@ def _doc_terms(wanted: np.ndarray):
             hs = np.concatenate(list(map(_hashes, counts)))
             tfs = np.fromiter((n for c in counts for n in c.values()), np.int64, len(hs))
             total = np.add.reduceat(tfs, np.cumsum(size) - size)
-            slot = hs & np.uint64(FILTER_BITS - 1)
-            keep = ((wanted[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            keep = in_filter(wanted, hs & np.uint64(FILTER_BITS - 1))
             kept = np.add.reduceat(keep.astype(np.int64), np.cumsum(size) - size)
             # a batch ends with the document that fills it
             of_doc = np.zeros(len(kept), np.int64)

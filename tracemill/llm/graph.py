@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import written
+from tracemill.llm.common import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if (row.n, row.h) == mark or not row.n:
             break
         mark = (row.n, row.h)
-        now = written(_small_star(_large_star(now)), name)
+        now, before = written(_small_star(_large_star(now)), name), now
+        discard(before)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

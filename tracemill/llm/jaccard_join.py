@@ -5,10 +5,11 @@ a pair of bands they differ in at most k elements. The domain of the hashes is s
 of k, so that one holds at most one of the differences, and each of these again in two, of which one is left out in
 turn: two such sets agree on what is left of that partition. Hashes of these parts are the signatures.
 
-Passages that many texts share would make groups of texts that are not alike. Shingles that are frequent in a
-sample of texts are therefore left out of the domain; what is left of two sets differs in no more than k elements
-either. Sets that keep too little for a guarantee give signatures of their whole as well. Which shingles count as
-frequent changes the groups and never the result.
+Passages that many texts share would make groups of texts that are not alike. Shingles that are in about thirty texts
+or more, by a sample that is a fixed part of all texts, are therefore left out of the domain; what is left of two sets
+differs in no more than k elements either. They are kept as bits of their hashes, which takes the same room for any
+number of them. Sets that keep too little for a guarantee give signatures of their whole as well. Which shingles count
+as frequent changes the groups and never the result.
 
 Equal sets are one node. Nodes that share a signature are compared block against block, by 16 bits of each hash and
 then by their whole sets: once for a forest of pairs that connects what is near, and where a group still spans several
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import drop_worker_state, partitions, written
+from tracemill.llm.common import bit_filter, discard, drop_worker_state, in_filter, partitions, written
 from tracemill.llm.graph import components
 
 #: Texts that are split at a time, in bytes.
@@ -33,8 +34,8 @@ SLICE_BYTES = 4 << 20
 BLOCK = 2048
 #: Partitions beyond half the difference, which make up for empty halves; other partitionings where they don't.
 SPARE, SEEDS = 2, 4
-#: Texts of the sample, about; shingles in so many of them are frequent. Together they bound the frequent ones.
-SAMPLE, FREQUENT = 8_000, 4
+#: Part of the texts that is sampled; shingles in so many of its texts are frequent.
+SAMPLE, FREQUENT = 1 / 8, 4
 #: Bits of the filter that tells most texts without a partner before their sets are made again.
 FILTER_BITS = 1 << 25
 
@@ -117,16 +118,14 @@ def _cells(s: np.ndarray, k: int, tag: int) -> np.ndarray:
     return _mix(half + _mix(tags))[some]
 
 
-def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of one set; sets that are alike but not equal share at least one.
+def signatures(s: np.ndarray, bands: Bands, rest: np.ndarray) -> np.ndarray:
+    """Signatures of one set, `rest` being what of it is not frequent; sets that are alike but not equal share one.
 
     k differences touch at most k of the halves, so if one of two sets fills more than k, both share a filled one.
     """
     if not len(s):
         return np.zeros(0, np.int64)
     out, band = [], bands.of(len(s))
-    at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-    rest = s[frequent[at] != s] if len(frequent) else s
     for instance in (band, band + 1):
         k = bands.k(instance)
         if not k:  # only equal sets are alike
@@ -151,8 +150,8 @@ def _sets(width: int):
             out = [(len(s), *(set_hash(s) if len(s) else (None, None))) for s in shingle_sets(batch.column("_text"), width)]
             n, hi, lo = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())],
-                ["id", "n", "hi", "lo"],
+                [batch.column("_id"), batch.column("_hash"), *(pa.array(x, pa.int64()) for x in (n, hi, lo))],
+                ["id", "text_hash", "n", "hi", "lo"],
             )
 
     return run
@@ -182,7 +181,7 @@ def _signed(width: int, share: int, frequent: np.ndarray):
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
-                    sigs.append(signatures(s, bands, frequent))
+                    sigs.append(signatures(s, bands, s[~in_filter(frequent, s & np.uint64(FILTER_BITS - 1))]))
                     los.append(np.full(len(sigs[-1]), key[1], np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(los))], ["sig", "lo"])
@@ -348,26 +347,21 @@ def _pairs_in_blocks(members: DataFrame, sets: DataFrame, share: int, forest: bo
     return spread.groupBy("gid", "_low", "_high").applyInArrow(lambda t: _near_pairs(t, share, forest), "a long, b long").distinct()
 
 
-def classes(
+def linked(
     docs: DataFrame, width: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of docs.
-
-    A text's set is its distinct shingles of `width` words, A-Z lower-cased. Two texts link when 100 * common >=
-    share * union; component_id is the least id that links reach. Equal texts are one node whatever their number.
+    """(id, text_hash, n, component, component_id) of every row of docs, as a written table.
 
-    Null text, and text without words, has an empty set, links with nothing and is its own component. Null ids
-    are never a component's id unless it has no other. Repeated rows are copies. An empty table gives no rows.
-    Other columns are not looked at.
+    `component` names a component apart from ids, which may repeat; it is null for texts without words. See classes().
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    sets = written(rows.mapInArrow(_sets(width), "id long, n long, hi long, lo long"), "join-sets")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    sets = written(rows.mapInArrow(_sets(width), "id long, text_hash long, n long, hi long, lo long"), "join-sets")
     distinct = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"))
-    part = min(1.0, SAMPLE / max(1, sets.count()))
-    often = rows.select("_text").sample(part, 11).mapInArrow(_sampled(width), "h long, n long")
-    often = often.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).collect()
-    frequent = np.sort(np.array([r.h for r in often], np.int64).view(np.uint64))
+    often = rows.select("_text").sample(SAMPLE, 11).mapInArrow(_sampled(width), "h long, n long")
+    often = written(often.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "join-frequent")
+    frequent = bit_filter(often.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")), FILTER_BITS)
+    discard(often)
     shared = written(
         rows.select("_text")
         .mapInArrow(_signed(width, share, frequent), "sig long, lo long")
@@ -382,34 +376,64 @@ def classes(
         "join-nodes",
     )
     members = written(shared.join(nodes.select("lo", "node"), "lo").select("gid", "node"), "join-members")
+    discard(shared)
     wanted = _id_filter(nodes.select(F.coalesce("rep", F.lit(0)).alias("_id")))
     slot = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(0))), F.lit(FILTER_BITS)).alias("_slot")
     whole = rows.select(slot, "_text").mapInArrow(_hashes(width, wanted), "hi long, lo long, hashes array<long>")
     whole = written(whole.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "hashes"), "join-hashes")
 
     # groups with the same first node are one: most of their nodes are the same
+    members_of_signatures = members
     firsts = members.groupBy(F.col("gid").alias("_gid")).agg(F.min("node").alias("first"))
     members = members.join(firsts, F.col("gid") == F.col("_gid")).select(F.col("first").alias("gid"), "node").distinct()
-    members = written(members, "join-groups")
+    members, ungrouped = written(members, "join-groups"), members_of_signatures
+    discard(ungrouped)
     alone = members.withColumn("component", F.col("node"))
     near = written(_pairs_in_blocks(alone, whole, share, True), "join-near")
     links = written(_verified(near, whole, share), "join-links")
+    discard(near)
     found = written(components(links, "join-components"), "join-found")
     group = Window.partitionBy("gid")
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = placed.withColumn("_min", F.min("component").over(group)).withColumn("_max", F.max("component").over(group))
     mixed = ends.where("_min <> _max").select("gid", "node", "component")
     near = written(_pairs_in_blocks(mixed, whole, share, False), "join-near")
-    links = links.unionAll(written(_verified(near, whole, share), "join-links"))
-    found = components(links, "join-components")
+    more = written(_verified(near, whole, share), "join-links")
+    discard(near, whole, members, found)
+    found = written(components(links.unionAll(more), "join-components"), "join-found")
+    discard(links, more)
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("least"))
-    of_set = labelled.join(least, "component").select("hi", "lo", "least")
+    of_set = labelled.join(least, "component").select("hi", "lo", "least", F.col("component").cast("string").alias("component"))
     named = distinct.join(of_set, ["hi", "lo"], "left").select(
-        F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.coalesce("least", "rep").alias("component_id")
+        F.col("hi").alias("_hi"),
+        F.col("lo").alias("_lo"),
+        F.coalesce("component", F.concat_ws(":", "hi", "lo")).alias("component"),
+        F.coalesce("least", "rep").alias("component_id"),
     )
-    return sets.join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
+    out = sets.join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left").select(
+        "id",
+        "text_hash",
+        "n",
+        "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+    result = written(out, "join-classes")
+    discard(sets, nodes, found)
+    return result
+
+
+def classes(
+    docs: DataFrame, width: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of docs.
+
+    A text's set is its distinct shingles of `width` words, A-Z lower-cased. Two texts link when 100 * common >=
+    share * union; component_id is the least id that links reach. Equal texts are one node whatever their number.
+
+    Null text, and text without words, has an empty set, links with nothing and is its own component. Null ids
+    are never a component's id unless it has no other. Repeated rows are copies. An empty table gives no rows.
+    Other columns are not looked at.
+    """
+    found = linked(docs, width, share, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

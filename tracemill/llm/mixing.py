@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import ranked, written
+from tracemill.llm.common import ranked, unused, written
 
 #: Probabilities that are folded one after the other in one block.
 BLOCK = 128
@@ -176,14 +176,19 @@ def mix(
 
 
 def repeat(docs: DataFrame, **settings) -> DataFrame:
-    """Rows of docs, as they are, each as often as mix() takes it."""
+    """Rows of docs, as they are, each as often as mix() takes it.
+
+    Null text and text without words is never taken, so its rows go. Null sources and ids are values like any other.
+    Repeated rows are taken equally often. An empty table gives no rows. Columns of any name stay.
+    """
     text, source, doc = (settings.get(k, v) for k, v in (("text_col", "text"), ("source_col", "source"), ("id_col", "doc_id")))
+    names = {c: unused(f"_mix_{c}", docs) for c in ("doc_id", "source", "text_hash", "copies", "each")}
     taken = mix(docs, **settings).where("copies > 0")
-    taken = taken.select(*(F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "text_hash", "copies")))
+    taken = taken.select(*(F.col(c).alias(n) for c, n in names.items() if c != "each"))
     same = (
-        F.col(doc).eqNullSafe(F.col("_mix_doc_id"))
-        & F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))
-        & (F.xxhash64(text) == F.col("_mix_text_hash"))
+        F.col(doc).eqNullSafe(F.col(names["doc_id"]))
+        & F.col(source).cast("string").eqNullSafe(F.col(names["source"]))
+        & (F.xxhash64(text) == F.col(names["text_hash"]))
     )
-    each = F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int"))).alias("_mix_each")
-    return docs.join(taken, same).select(*(docs[c] for c in docs.columns), each).drop("_mix_each")
+    each = F.explode(F.array_repeat(F.lit(0), F.col(names["copies"]).cast("int"))).alias(names["each"])
+    return docs.join(taken, same).select(*(docs[c] for c in docs.columns), each).drop(names["each"])

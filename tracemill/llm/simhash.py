@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import partitions, written
+from tracemill.llm.common import drop_worker_state, partitions, written
 from tracemill.llm.graph import components
 
 #: Fixed value: seed of the shingle hash.
@@ -56,6 +56,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 def _fingerprints(width: int):
     def run(batches):
+        drop_worker_state()
         for batch in batches:
             texts = batch.column("_text").cast(pa.large_binary())
             made = [fingerprint(t.as_py() or b"", width) for t in texts]
