@@ -30,7 +30,7 @@ from tracemill.llm.common import WORKER_STATE, drop_worker_state, partitions, wr
 #: Units whose alignment a worker keeps; beyond that it starts anew.
 KEPT_UNITS = 400_000
 #: Texts that are encoded at a time, in characters; units of a part of a chunk; postings and documents of a chunk.
-SLICE_CHARS, PART_UNITS, CHUNK_POSTINGS, CHUNK_DOCS = 2 << 20, 400_000, 2_500_000, 32_768
+SLICE_CHARS, PART_UNITS, CHUNK_POSTINGS, CHUNK_DOCS = 2 << 20, 300_000, 1_500_000, 32_768
 #: Documents that are encoded at a time; places in a chunk have 16 bits.
 SLICE_DOCS = 16_384
 
