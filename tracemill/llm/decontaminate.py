@@ -17,8 +17,8 @@ from tracemill.llm.common import drop_worker_state
 
 #: Edits allowed, as a share of an item's code points.
 RATE = 0.10
-#: Items of fewer code points say too little to tell a leak and match nothing.
-MIN_CHARS = 20
+#: Items of fewer code points are matched without edits, and as whole words.
+SHORT = 20
 #: Bytes of items that one pass over the documents looks for; more items take more passes.
 BLOCK_BYTES = 8 << 20
 
@@ -65,7 +65,8 @@ class Item:
     """One test item, its pieces, and for every piece the runs of pieces above it."""
 
     def __init__(self, item_id: int, text: str, rate: float):
-        self.id, self.text = item_id, text
+        self.id, self.text, self.short = item_id, text, len(text) < SHORT
+        rate = 0 if self.short else rate
         pieces = int(len(text) * rate) + 1
         self.cuts = [len(text) * j // pieces for j in range(pieces + 1)]
         self.runs: list[list[tuple[int, int, int]]] = [[] for _ in range(pieces)]
@@ -84,6 +85,8 @@ class Item:
     def at(self, piece: int, text: str, pos: int) -> tuple[int, int, int] | None:
         """(distance, start, end) of the item around an exact piece at pos of text, if within the budget."""
         best, left, stop = 0, pos, pos + self.cuts[piece + 1] - self.cuts[piece]
+        if self.short and any(c.isalnum() for c in (text[max(0, pos - 1) : pos], text[stop : stop + 1])):
+            return None
         for a, b, budget in self.runs[piece]:
             bits = self.bits.get((a, b))
             if bits is None:
@@ -102,10 +105,10 @@ class Item:
 class Finder:
     """Automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         import ahocorasick
 
-        self.items = [Item(i, t, rate) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= max(1, min_chars)]
+        self.items = [Item(i, t, rate) for i, t in ((i, normalise(t)) for i, t in items) if t]
         held: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
             for piece, (a, b) in enumerate(zip(item.cuts, item.cuts[1:], strict=False)):
@@ -152,7 +155,8 @@ def find_leaks(
 ) -> DataFrame:
     """(id, item_id, distance, start, end): every document and item that occurs in it within its budget.
 
-    The best place is returned, in code points of the normalised text (lower case, single blanks), end exclusive.
+    The best place is returned, in code points of the normalised text (lower case, single blanks), end exclusive. Items
+    of fewer than 20 code points have no budget: they match as they are, where no letter or digit adjoins.
     Null or empty texts and items match nothing. Repeated rows and repeated items with other ids are each
     returned. An empty table gives no rows. Other columns are not looked at.
     """
@@ -180,7 +184,11 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
-    """Rows of docs, as they are, in which no item occurs."""
+    """Rows of docs, as they are, in which no item occurs; see find_leaks for what occurs.
+
+    Null and empty texts stay, repeated rows stay or go together, null ids are not looked at. An empty table gives no
+    rows, without items every row stays. Columns of any name stay.
+    """
     at = docs.columns.index(text_col)
     for block in item_blocks(items):
 

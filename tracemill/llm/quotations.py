@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import ranked, written
 
 #: Least length of what is matched, unless the caller gives one.
-MIN_CHARS = 16
+MIN_CHARS = 1
 _QUOTED = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
-_NAMED = re.compile(r"^(?:On|Am|Le|El)\b.{0,200}:[ \t]*$")
+#: A line that says whose words follow, in any language: it stands right before a quotation and ends in a colon.
+_NAMED = re.compile(r"^.*\S.*:[ \t]*$")
 
 
 def normalised(passage: str) -> str:
@@ -30,7 +31,7 @@ def normalised(passage: str) -> str:
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """(own words, quoted passages with their levels) of a message.
 
-    A passage is a run of lines of one level; a line like `On .. wrote:` right before a quotation goes with it.
+    A passage is a run of lines of one level; a line right before a quotation that ends in a colon, like `On .. wrote:`, goes with it.
     """
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []

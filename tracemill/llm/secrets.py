@@ -1,8 +1,8 @@
 """Secrets in texts, judged by who else holds the same string.
 
 Patterns give candidates. Their hashes are counted over the whole corpus by distinct repositories and owners: a
-string that many hold is a copied example, one that few hold looks live. The count also admits candidates that no
-pattern names: random-looking strings of one owner become spans of kind `owned`.
+string that many owners or many repositories hold is a copied example, one that few of both hold looks live. The
+counts also admit candidates that no pattern names: random-looking live strings become spans of kind `owned`.
 """
 
 from __future__ import annotations
@@ -78,15 +78,17 @@ def _joined(spans):
 def find_secrets(
     docs: DataFrame,
     max_owners: int = 1,
+    max_repositories: int = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
-    repository_col: str = "source",
+    repository_col: str = "doc_id",
     owner_col: str = "source",
 ) -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_owned, n_live, base_sha256, spans, findings) of every row of docs.
 
     findings: kind, start, end, hash of the secret, distinct repositories and owners that hold it, live (held by
-    max_owners owners at most). Secrets themselves are not returned. Positions are code points, ends exclusive.
+    max_owners owners and max_repositories repositories at most). Where a table knows no repositories, a document stands
+    for one, and its source for the owner: a string that one source repeats in many documents is a copied example. Secrets themselves are not returned. Positions are code points, ends exclusive.
 
     Null text has no spans. A null repository or owner counts as one more holder; a null id stays null. Repeated
     rows are each returned and don't add holders. An empty table gives no rows. Other columns are not looked at.
@@ -109,7 +111,7 @@ def find_secrets(
     judged = (
         each.select("row", "c.*")
         .join(holders, "hash")
-        .withColumn("live", F.col("owners") <= max_owners)
+        .withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
         .where((F.col("kind") < 3) | F.col("live"))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "repositories", "owners", "live"))).alias("findings"))
