@@ -31,14 +31,15 @@ def concreteness(text: Column) -> Column:
     return total
 
 
-def _words(text: Column) -> Column:
+def words(text: Column) -> Column:
+    """Lower-case words of more than two ASCII letters and digits."""
     plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
     return F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 2)
 
 
 def token_overlap(query: Column, content: Column) -> Column:
     """Share of the query words, repeats included, that occur in the content."""
-    asked, present = _words(query), _words(content)
+    asked, present = words(query), words(content)
     hits = F.filter(asked, lambda w: F.array_contains(present, w))
     share = F.size(hits) / F.size(asked)
     return F.when((F.size(asked) > 0) & (F.size(present) > 0), share).otherwise(F.lit(0.0))

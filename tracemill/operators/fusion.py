@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracemill.functions.relevance import concreteness, token_overlap
-from tracemill.functions.text import NO_ESCAPE, regex_to_like_column
+from tracemill.functions.relevance import concreteness, words
 from tracemill.functions.timeexpr import instant_literal, to_instant
+from tracemill.operators.patterns import pattern_hits
 from tracemill.operators.search import TextIndex, query_phrases, score
 from tracemill.schema import event_time
+from tracemill.session import written
 
 # Fixed values of the fusion.
 _STRICT_WEIGHT = 1.2
@@ -113,32 +114,38 @@ def _text_hits(index: TextIndex, actions: DataFrame) -> DataFrame:
     return hits.select("query_id.query_id", "query_id.action_id", F.col("doc_id").alias("id"), "score")
 
 
-def _pattern_hits(docs: DataFrame, actions: DataFrame) -> DataFrame:
-    """Documents that match a pattern action.
+def _pattern_hits(docs: DataFrame, actions: DataFrame, grams: DataFrame | None) -> DataFrame:
+    """Documents that match a pattern action; a pattern that several actions have is tried once."""
+    asked = actions.where(F.col("type") == "regex_like").select("query_id", "action_id", "text")
+    found = pattern_hits(docs, asked, grams)
+    return found.join(asked, "text").select("query_id", "action_id", "id", F.lit(1.0).alias("score"))
 
-    The patterns travel as one array, so the documents are read once and only matches
-    become rows. A pattern without wildcards is a substring test.
-    """
-    body = regex_to_like_column(F.col("text"))
-    rows = actions.where(F.col("type") == "regex_like").select(
-        F.struct(
-            "query_id",
-            "action_id",
-            F.lower(body).alias("pattern"),
-            F.lower("text").alias("part"),
-            F.col("text").rlike("[.?%_]").alias("wild"),
-        ).alias("a")
-    )
-    patterns = rows.agg(F.collect_list("a").alias("a")).scalar()
-    folded = docs.select("id", F.lower("content").alias("folded"), patterns.alias("patterns"))
 
-    def fits(a: Column) -> Column:
-        as_pattern = F.like(F.col("folded"), a["pattern"], F.lit(NO_ESCAPE))
-        return F.when(a["wild"], as_pattern).otherwise(F.contains(F.col("folded"), a["part"]))
+def _features(content: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, marks, size, overlap) of pairs: marks and words of a document are worked out once.
 
-    return folded.select("id", F.inline(F.filter("patterns", fits))).select(
-        "query_id", "action_id", "id", F.lit(1.0).alias("score")
+    Documents are dealt out by id first; what meets the queries are the words that some query asks for.
+    """
+    asked = queries.select("query_id", words(F.col("text")).alias("_asked"))
+    each = asked.select("query_id", F.explode("_asked").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    sizes = asked.select("query_id", F.size("_asked").alias("n_asked"))
+    hit = content.join(pairs.select("id").distinct(), "id", "left_semi").repartition("id")
+    present = words(F.col("content"))
+    docs = written(
+        hit.select(
+            "id",
+            concreteness(F.col("content")).alias("marks"),
+            F.length("content").alias("size"),
+            F.array_distinct(present).alias("words"),
+        ),
+        "fused-documents",
     )
+    held = docs.select("id", F.explode("words").alias("word")).join(each.select("word").distinct(), "word", "left_semi")
+    common = pairs.join(each, "query_id").join(held, ["id", "word"]).groupBy("query_id", "id").agg(F.sum("times").alias("common"))
+    share = F.coalesce("common", F.lit(0)) / F.col("n_asked")
+    overlap = F.when((F.col("n_asked") > 0) & (F.size("words") > 0), share).otherwise(F.lit(0.0))
+    joined = pairs.join(docs, "id").join(sizes, "query_id").join(common, ["query_id", "id"], "left")
+    return joined.select("query_id", "id", "marks", "size", overlap.alias("overlap"))
 
 
 def fused_search(
@@ -148,8 +155,9 @@ def fused_search(
     queries: DataFrame,
     flt: DocumentFilter = DocumentFilter(),
     k: int = 20,
+    grams: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, rank, id, score) of the best k documents of every query.
+    """(query_id, rank, id, score) of the best k documents of every query; `grams` may be stored ones.
 
     Every hit of an action counts; scores are normalized per action and averaged by
     weight, then adjusted for concrete values, agreement of actions and overlap with
@@ -159,14 +167,15 @@ def fused_search(
     chosen = filter_documents(docs, flt)
     content = chosen.select("id", "content")
     text_hits = _text_hits(index, actions).join(content.select("id"), "id", "left_semi")
-    hits = text_hits.unionByName(_pattern_hits(chosen, actions), allowMissingColumns=False)
+    hits = written(text_hits.unionByName(_pattern_hits(chosen, actions, grams)), "fused-hits")
     factor = F.when(F.col("type") == "regex_like", _TYPE_FACTOR["regex_like"]).otherwise(_TYPE_FACTOR["fts"])
     weights = actions.select(
         "query_id", "action_id", (F.coalesce("weight", F.lit(1.0)) * factor).alias("w")
     )
-    top = F.greatest(F.max("score").over(W.partitionBy("query_id", "action_id")), F.lit(1.0))
+    tops = hits.groupBy("query_id", "action_id").agg(F.greatest(F.max("score"), F.lit(1.0)).alias("top"))
     merged = (
-        hits.withColumn("s", F.col("score") / top)
+        hits.join(tops, ["query_id", "action_id"])
+        .withColumn("s", F.col("score") / F.col("top"))
         .join(weights, ["query_id", "action_id"])
         .groupBy("query_id", "id")
         .agg(
@@ -175,15 +184,10 @@ def fused_search(
             F.count("*").alias("n_hits"),
         )
     )
-    asked = queries.select("query_id", F.col("text").alias("query_text"))
-    judged = (
-        content.join(merged, "id")
-        .join(asked, "query_id")
-        .withColumn("marks", concreteness(F.col("content")))
-        .withColumn("overlap", token_overlap(F.col("query_text"), F.col("content")))
-    )
+    pairs = hits.select("query_id", "id").distinct().join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    judged = _features(content, pairs, queries).join(merged, ["query_id", "id"])
     base = F.when(F.col("total_weight") > 0, F.col("weighted") / F.col("total_weight")).otherwise(0.0)
-    density = F.col("marks") / F.greatest(F.length("content") / 500, F.lit(1.0))
+    density = F.col("marks") / F.greatest(F.col("size") / 500, F.lit(1.0))
     final = (
         base
         + density * 0.2
@@ -210,10 +214,11 @@ def rerank(hits: DataFrame, judgements: DataFrame, k: int = 10, first_n: int | N
     first = hits.select("query_id", "id", "score")
     if first_n is not None:
         first = best_per_query(first, first_n).drop("rank")
-    top = F.greatest(F.max("score").over(W.partitionBy("query_id")), F.lit(1.0))
+    tops = first.groupBy("query_id").agg(F.greatest(F.max("score"), F.lit(1.0)).alias("top"))
     given = judgements.select("query_id", "id", F.col("score").alias("judged"))
     mixed = (
-        first.withColumn("relative", F.col("score") / top * 10)
+        first.join(tops, "query_id")
+        .withColumn("relative", F.col("score") / F.col("top") * 10)
         .join(given, ["query_id", "id"], "left")
         .withColumn("judged", F.coalesce("judged", F.lit(_DEFAULT_JUDGEMENT)))
     )

@@ -32,12 +32,20 @@ class TextIndex:
     """Postings `(doc_id, n_terms, col, pos, term)` and lengths `(doc_id, n_terms)`.
 
     `postings` takes the terms a caller needs, or None for all of them. Every posting
-    carries the length of its document, so that ranking does not join lengths.
+    carries the length of its document, so that ranking does not join lengths. `totals` is
+    one row (docs, terms), kept with a stored index and summed up from the lengths otherwise.
     """
 
     postings: Callable[[list[str] | None], DataFrame]
     lengths: DataFrame
     analyzer: Analyzer
+    totals: DataFrame | None = None
+
+    def corpus(self) -> Column:
+        totals = self.totals
+        if totals is None:
+            totals = self.lengths.agg(F.count("*").alias("docs"), F.sum("n_terms").alias("terms"))
+        return totals.select(F.struct("docs", (F.col("terms") / F.col("docs")).alias("mean")).alias("c")).scalar()
 
 
 def _entries(number: int) -> Column:
@@ -145,9 +153,7 @@ def score(index: TextIndex, phrases: DataFrame, wanted: list[str] | None = None)
     )
     found = hits.repartition("doc_id").groupBy(*group, "n", "col", "at").agg(F.count("*").alias("matched"))
     tf = found.where(F.col("matched") == F.col("n")).groupBy(*group).agg(F.count("*").alias("tf"))
-    corpus = index.lengths.agg(
-        F.struct(F.count("*").alias("docs"), F.avg("n_terms").alias("mean")).alias("c")
-    ).scalar()
+    corpus = index.corpus()
     docs, mean = corpus["docs"], corpus["mean"]
     spread = tf.groupBy("query_id", "alt", "phrase").agg(F.count("*").alias("df"))
     weight = F.greatest(

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from tracemill.functions.analysis import PLAIN, Analyzer
 from tracemill.functions.relevance import CONCRETE_MARKS, concreteness, token_overlap
 from tracemill.operators import fusion as X
+from tracemill.operators import patterns as P
 from tracemill.operators import search as S
+from tracemill.operators import segments as G
 from tracemill.operators.filters import EventFilter
 from tracemill.plans import views as V
-from tracemill.plans.activity import EV, MSG
+from tracemill.plans.activity import _ERROR_SQL, EV, MSG
 from tracemill.plans.registry import register, rounded
+from tracemill.session import run_folder
 
 DOCS = f"WITH docs AS ({V.DOCUMENTS_SQL}) "
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -57,9 +60,28 @@ def _hits(rows):
     )
 
 
+#: Indexes that this session has stored, by table and analyzer.
+_STORED: dict[tuple, str] = {}
+
+
+def _index(spark, sf, name, docs, doc_id, columns, analyzer=PLAIN):
+    """The stored index of a view; the first query of a session that asks for it writes it."""
+    key = (spark.sparkContext.applicationId, sf, name, analyzer)
+    if key not in _STORED:
+        folder = run_folder(spark, f"index-{name}")
+        G.append(docs, folder, doc_id, columns, analyzer)
+        _STORED[key] = folder
+    return G.open_index(spark, _STORED[key], analyzer)
+
+
 def _message_index(spark, sf, analyzer=PLAIN):
     msg = V.agent_messages(spark, sf)
-    return msg, S.index_texts(msg, "event_id", ["text_redacted", "tool_name"], analyzer)
+    return msg, _index(spark, sf, "messages", msg, "event_id", ["text_redacted", "tool_name"], analyzer)
+
+
+def _document_index(spark, sf):
+    docs = V.documents(spark, sf)
+    return docs, _index(spark, sf, "documents", docs, "id", ["content"])
 
 
 def _search(name, query, phrases, flt=EventFilter(), where="true", limit=20, offset=0):
@@ -179,7 +201,7 @@ def postings_by_term(spark, sf):
     DOCS + f"SELECT id AS doc_id, len({_tokens('content')}) AS n_terms FROM docs",
 )
 def text_lengths(spark, sf):
-    index = S.plain_index(V.documents(spark, sf), "id", ["content"])
+    _, index = _document_index(spark, sf)
     return index.lengths.withColumn("n_terms", F.col("n_terms").cast("bigint"))
 
 
@@ -188,15 +210,15 @@ def text_lengths(spark, sf):
     EV
     + f""", {_bm25("ev", "event_id", ["text_redacted", "tool_name"],
                   [["error"], ["error"], ["error"], ["failed"], ["failed"]])}
-    SELECT m.event_id, m.event_type, m.text_redacted, m.session_id, m.project_id, m.event_ts,
+    SELECT * FROM (SELECT m.event_id, m.event_type, m.text_redacted, m.session_id, m.project_id, m.event_ts,
       round(score, 6) AS score FROM scored s JOIN ev m ON m.event_id = s.doc_id
     WHERE event_type = 'tool_result' AND tool_name IN ('Bash', 'bash')
       AND event_time >= TIMESTAMP '2024-01-03 00:00:00'
-    ORDER BY s.score DESC, event_id LIMIT 50""",
+    ORDER BY s.score DESC, event_id LIMIT 50) WHERE {_ERROR_SQL}""",
 )
 def errors(spark, sf):
     ev = V.agent_events(spark, sf)
-    index = S.plain_index(ev, "event_id", ["text_redacted", "tool_name"])
+    index = _index(spark, sf, "events", ev, "event_id", ["text_redacted", "tool_name"])
     return _hits(S.errors(ev, index, EventFilter(since="2024-01-03")))
 
 
@@ -216,8 +238,8 @@ def _doc_columns(rows):
     SELECT {_DOC} FROM scored s JOIN docs d ON d.id = s.doc_id ORDER BY s.score DESC, id LIMIT 20""",
 )
 def doc_fts(spark, sf):
-    docs = V.documents(spark, sf)
-    return _doc_columns(S.doc_search(docs, S.plain_index(docs, "id", ["content"]), 'that OR "from the" OR pour'))
+    docs, index = _document_index(spark, sf)
+    return _doc_columns(S.doc_search(docs, index, 'that OR "from the" OR pour'))
 
 
 @register(
@@ -420,9 +442,9 @@ _FUSED_SQL = f"""{_VALID_SQL}, {_BM25_ALL},
 
 
 def _fused(spark, sf, k=_K):
-    docs, queries = V.documents(spark, sf), _queries(spark, sf)
+    docs, index = _document_index(spark, sf)
+    queries = _queries(spark, sf)
     plan = X.validate_plan(_plan(spark, sf), queries)
-    index = S.plain_index(docs, "id", ["content"])
     return X.fused_search(docs, index, plan, queries, X.DocumentFilter(tags=("en", "fr")), k)
 
 
@@ -476,22 +498,86 @@ def answer_context(spark, sf):
     return X.answer_context(_fused(spark, sf), V.documents(spark, sf))
 
 
+# Documents that say nothing but a query's text, planted among the others; one query expects another's.
+_PLANTED_SQL = f"""{_QUERIES_SQL}, planted AS (SELECT id, content FROM docs
+    UNION ALL SELECT 'planted-' || query_id, text FROM queries)"""
+
+
 @register(
     "hit_at_1",
-    MSG
-    + f""", {_bm25("msg", "event_id", ["text_redacted"], [["of", "the"]], "a_")},
-      {_bm25("msg", "event_id", ["text_redacted"], [["with"]], "b_")},
-      firsts AS (SELECT 'q1' AS query_id, (SELECT doc_id FROM a_scored ORDER BY score DESC, doc_id LIMIT 1) AS f
-        UNION ALL SELECT 'q3', (SELECT doc_id FROM b_scored ORDER BY score DESC, doc_id LIMIT 1)),
-      expected AS (SELECT 'q1' AS query_id, (SELECT f FROM firsts WHERE query_id = 'q1') AS e
-        UNION ALL SELECT 'q3', 'none')
+    DOCS
+    + f""", {_PLANTED_SQL}, """
+    + ", ".join(_bm25("planted", "id", ["content"], phrases, f"{q}_") for q, phrases in _QUERY_PHRASES.items() if q != "q4")
+    + ", "
+    + _bm25("planted", "id", ["content"], [["the", "and"]], "q4_")
+    + """, firsts AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{q}' AS query_id, (SELECT doc_id FROM {q}_scored ORDER BY score DESC, doc_id LIMIT 1) AS f" for q in _QUERY_PHRASES
+    )
+    + """), expected AS (SELECT query_id, 'planted-' || CASE query_id WHEN 'q3' THEN 'q4' ELSE query_id END AS e FROM queries)
     SELECT count(*) AS tests, count(*) FILTER (f = e) AS passes,
       round(count(*) FILTER (f = e) * 100 / count(*), 1) AS accuracy
     FROM expected JOIN firsts USING (query_id)""",
 )
 def hit_at_1(spark, sf):
-    _, index = _message_index(spark, sf)
-    ranked = S.search_many(index, _queries(spark, sf), 1).withColumnRenamed("doc_id", "id")
-    first = ranked.where("query_id = 'q1'").select("query_id", F.col("id").alias("expected_id"))
-    missed = _queries(spark, sf).where("query_id = 'q3'").select("query_id", F.lit("none").alias("expected_id"))
-    return X.hit_at_1(ranked, first.unionByName(missed))
+    queries = _queries(spark, sf)
+    planted = queries.select(F.concat(F.lit("planted-"), "query_id").alias("id"), F.col("text").alias("content"))
+    docs = V.documents(spark, sf).select("id", "content").unionByName(planted)
+    index = _index(spark, sf, "planted", docs, "id", ["content"])
+    ranked = S.search_many(index, queries, 1).withColumnRenamed("doc_id", "id")
+    expects = F.when(F.col("query_id") == "q3", "q4").otherwise(F.col("query_id"))
+    return X.hit_at_1(ranked, queries.select("query_id", F.concat(F.lit("planted-"), expects).alias("expected_id")))
+
+
+# Hundreds of loose patterns: for every fortieth document a few words of it with something left out.
+_MANY_SQL = r"""asked AS (SELECT DISTINCT CASE n % 3 WHEN 0 THEN w[3] || '.*' || w[7] WHEN 1 THEN left(w[4], 2) || '.' || w[5]
+    ELSE w[5] || ' ' || w[6] END AS pattern
+  FROM (SELECT CAST(right(id, 8) AS BIGINT) // 40 AS n, string_split(replace(content, chr(10), ' '), ' ') AS w FROM docs
+    WHERE CAST(right(id, 8) AS BIGINT) % 40 = 0) WHERE len(w) > 8),
+  liked AS (SELECT pattern, regexp_matches(pattern, '[.?%_]') AS wild,
+    '%' || replace(replace(replace(lower(pattern), '.*', '%'), '.', '_'), '?', '_') || '%' AS body FROM asked WHERE pattern IS NOT NULL)"""
+
+
+@register(
+    "pattern_many",
+    DOCS
+    + f""", {_MANY_SQL} SELECT pattern, count(*) AS docs, min(id) AS first_id FROM liked
+    JOIN docs ON CASE WHEN wild THEN lower(content) LIKE body ELSE contains(lower(content), lower(pattern)) END GROUP BY pattern""",
+)
+def pattern_many(spark, sf):
+    docs = V.documents(spark, sf)
+    number = F.right("id", F.lit(8)).cast("bigint")
+    word = F.split(F.replace("content", F.lit("\n"), F.lit(" ")), " ")
+    some = docs.where(number % 40 == 0).select(F.floor(number / 40).alias("n"), word.alias("w")).where(F.size("w") > 8)
+    at = lambda i: F.element_at("w", F.lit(i))
+    pattern = (
+        F.when(F.col("n") % 3 == 0, F.concat(at(3), F.lit(".*"), at(7)))
+        .when(F.col("n") % 3 == 1, F.concat(F.left(at(4), F.lit(2)), F.lit("."), at(5)))
+        .otherwise(F.concat(at(5), F.lit(" "), at(6)))
+    )
+    found = P.pattern_hits(docs.select("id", "content"), some.select(pattern.alias("text")).distinct())
+    return found.groupBy(F.col("text").alias("pattern")).agg(F.count("*").alias("docs"), F.min("id").alias("first_id"))
+
+
+@register(
+    "search_after_changes",
+    DOCS
+    + f""", current AS (SELECT id, CASE WHEN CAST(right(id, 8) AS BIGINT) % 7 = 0 THEN content || ' of the' ELSE content END AS content
+      FROM docs WHERE source <> 'src3'),
+    {_bm25("current", "id", ["content"], [["of", "the"], ["that"]])}
+    SELECT s.doc_id AS id, round(score, 6) AS score FROM scored s ORDER BY s.score DESC, id LIMIT 50""",
+)
+def search_after_changes(spark, sf):
+    """An index that grew by two segments, one of which replaced documents, lost a source and was merged in part."""
+    docs = V.documents(spark, sf).select("id", "content", F.get_json_object("metadata", "$.source").alias("source"))
+    number = F.right("id", F.lit(8)).cast("bigint")
+    folder = run_folder(spark, "index-changes")
+    first = G.append(docs.where(number % 3 > 0), folder, "id", ["content"], PLAIN)
+    second = G.append(docs.where(number % 3 == 0), folder, "id", ["content"], PLAIN)
+    changed = docs.where(number % 7 == 0).withColumn("content", F.concat("content", F.lit(" of the")))
+    G.append(changed, folder, "id", ["content"], PLAIN)
+    G.delete(spark, folder, docs.where("source = 'src3'").select("id"))
+    G.merge(spark, folder, [first, second])
+    hits = S.matches(G.open_index(spark, folder, PLAIN), "of the|that", spark)
+    best = hits.orderBy(F.desc("score"), "doc_id").limit(50)
+    return best.select(F.col("doc_id").alias("id"), rounded("score"))
