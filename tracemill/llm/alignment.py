@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
-import types
 from itertools import chain
 
 import numpy as np
@@ -25,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORKER_STATE, drop_worker_state, partitions, written
+from tracemill.llm.common import drop_worker_state, partitions, worker_state, written
 
 #: Units whose alignment a worker keeps; beyond that it starts anew.
 KEPT_UNITS = 400_000
@@ -324,12 +322,9 @@ def decode_postings(n: np.ndarray, docs: pa.Array, planes: pa.Array) -> tuple[np
 
 def _worker(path_a: str, path_b: str) -> Aligned:
     """The tokenizers and units of this worker, kept between tasks."""
-    state = sys.modules.get(WORKER_STATE)
+    state = worker_state()
     if getattr(state, "alignment", None) != (path_a, path_b):
-        drop_worker_state()
-        state = types.ModuleType(WORKER_STATE)
         state.alignment, state.aligned = (path_a, path_b), Aligned(Tokenizers(path_a, path_b))
-        sys.modules[WORKER_STATE] = state
     return state.aligned
 
 
@@ -389,6 +384,7 @@ def _aligned(path_a: str, path_b: str):
         return hashlib.sha256(";".join(map(known.groups.__getitem__, ids)).encode()).hexdigest()
 
     def run(batches):
+        drop_worker_state(keeping="alignment")
         known = _worker(path_a, path_b)
         number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
         for batch in batches:
@@ -402,6 +398,7 @@ def _aligned(path_a: str, path_b: str):
                 if len(known.groups) > KEPT_UNITS:
                     chunk.close_part(known)
                     known.clear()
+                worker_state()  # in use
                 split = [units_of(t) if t else [] for t in texts[at:stop]]
                 flat = known.numbers(list(chain.from_iterable(split)))
                 each = np.fromiter(map(len, split), np.int64, len(split))

@@ -6,6 +6,9 @@ import contextlib
 import ctypes
 import gc
 import sys
+import threading
+import time
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +50,10 @@ def hash_pair(text: Column) -> tuple[Column, Column]:
 WORKER_STATE = "tracemill_worker_state"
 
 
-def drop_worker_state() -> None:
-    """Give back what an earlier operator's tasks kept in this worker."""
+def drop_worker_state(keeping: str | None = None) -> None:
+    """Give back what an earlier operator's tasks kept in this worker, unless it has something of that name."""
+    if keeping and hasattr(sys.modules.get(WORKER_STATE), keeping):
+        return
     if sys.modules.pop(WORKER_STATE, None) is not None:
         gc.collect()
         pa.default_memory_pool().release_unused()
@@ -56,6 +61,33 @@ def drop_worker_state() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Seconds after which a worker that has nothing to do gives back what it kept.
+IDLE_SECONDS = 8.0
+
+
+def worker_state():
+    """What this worker keeps from task to task; call it with every slice of work that uses it.
+
+    Workers outlive stages, and many stand idle: a thread gives the state back once nothing has used it for a while.
+    """
+    home = sys.modules.get(WORKER_STATE)
+    if home is None:
+        home = sys.modules[WORKER_STATE] = types.ModuleType(WORKER_STATE)
+
+        def watch() -> None:
+            while sys.modules.get(WORKER_STATE) is home:
+                time.sleep(1)
+                if time.monotonic() - home.used > IDLE_SECONDS and sys.modules.get(WORKER_STATE) is home:
+                    home.__dict__.clear()
+                    drop_worker_state()
+                    return
+
+        home.used = time.monotonic()
+        threading.Thread(target=watch, daemon=True).start()
+    home.used = time.monotonic()
+    return home
+
+
 def bit_filter(slots: DataFrame, bits: int) -> np.ndarray:
     """Bits, a multiple of 32,768 of them, that are set at the numbers in the column `slot`: the same size for any table."""
     words = slots.select((F.col("slot") + 1).alias("_s")).groupBy(F.call_function("bitmap_bucket_number", F.col("_s")).alias("word"))

@@ -15,8 +15,6 @@ hold it are read (columns shard and first prune row groups).
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 
 import numpy as np
@@ -25,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORKER_STATE, ordered_bucket, partitions
+from tracemill.llm.common import ordered_bucket, partitions, worker_state
 from tracemill.session import run_folder
 
 #: A block is closed by the document with which it reaches so many ids.
@@ -126,7 +124,7 @@ class _Encoder:
 
 def _encoder(path: str, specials: str) -> _Encoder:
     """The worker's own encoder: it outlives a task."""
-    home = sys.modules.setdefault(WORKER_STATE, types.ModuleType(WORKER_STATE))
+    home = worker_state()
     if getattr(home, "encoder_path", None) != path:
         home.encoder_path, home.encoder = path, _Encoder(path, specials)
     return home.encoder
@@ -147,7 +145,7 @@ def _writer(path: str, bits: int, end_id: int, specials: str):
     )
 
     def run(batches):
-        encoder, shard, block, first, ids, docs, offsets, held = None, None, 0, 0, [], [], [], 0
+        shard, block, first, ids, docs, offsets, held = None, 0, 0, [], [], [], 0
 
         def close():
             nonlocal block, first, ids, docs, offsets, held
@@ -158,7 +156,7 @@ def _writer(path: str, bits: int, end_id: int, specials: str):
 
         for batch in batches:
             for part in _slices(batch):
-                encoder = encoder or _encoder(path, specials)
+                encoder = _encoder(path, specials)
                 flat, counts = encoder.encode(part.column("_text"), end_id)
                 stop = np.cumsum(counts)
                 rows = zip(part.column("_shard").to_pylist(), part.column("_id").to_pylist(), stop - counts, stop, strict=True)
