@@ -75,13 +75,13 @@ def _run_twice(spark, sf, name: str) -> str:
 
 
 _TEXT = f"coalesce(text, '') || ' ' || [{_SECRET_LIST}][(conv_id + turn) % 33 + 1] || ' .'"
-_LINES_SQL = f"""WITH c AS (SELECT conv_id % {_FILES} AS file, conv_id * 1000 + turn AS at, role, {_TEXT} AS text,
+_LINES_SQL = f"""WITH c AS (SELECT conv_id % {_FILES} AS file, conv_id * 1000 + turn AS place, role, {_TEXT} AS text,
     conv_id > (SELECT max(conv_id) // 2 FROM conversations) AS late FROM conversations),
   l AS (SELECT *, strlen('{{"type":"' || CASE role WHEN 'system' THEN 'summary' ELSE role END || '{_HEAD}'
       || CAST(to_json(text) AS VARCHAR) || '{_FOOT}') + 1 AS bytes,
-    row_number() OVER (PARTITION BY file, late ORDER BY at) AS nth FROM c),
+    row_number() OVER (PARTITION BY file, late ORDER BY place) AS nth FROM c),
   r AS (SELECT *, late AND file = {_FILES - 1} AS anew FROM l WHERE NOT (late AND file = {_FILES - 1} AND nth > 1)),
-  s AS (SELECT *, CAST(CASE WHEN anew THEN 0 ELSE row_number() OVER (PARTITION BY file, anew ORDER BY at) - 1 END AS BIGINT)
+  s AS (SELECT *, CAST(CASE WHEN anew THEN 0 ELSE row_number() OVER (PARTITION BY file, anew ORDER BY place) - 1 END AS BIGINT)
     AS seq FROM r)"""
 
 
