@@ -50,19 +50,27 @@ def run_folder(spark: SparkSession, name: str) -> str:
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
+#: Rows that pass between Spark and a Python task at a time.
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(rows: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Rows as a table in the shared folder: computed once, and read again after an executor is lost.
 
-    What was shuffled for the write is of no use after it and is given back at once. `discard` removes the table.
+    What was shuffled for the write is of no use after it and is given back at once. Rows that carry whole texts may
+    pass to Python in smaller batches. `discard` removes the table.
     """
     spark = rows.sparkSession
     folder = run_folder(spark, name)
-    before = spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
+    own = {_FREE_SHUFFLES: "true"} | ({_BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         rows.write.parquet(folder)
     finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     table = spark.read.schema(rows.schema).parquet(folder)
     table.written_folder = folder
     return table
