@@ -71,20 +71,26 @@ def worker_state():
     Workers outlive stages, and many stand idle: a thread gives the state back once nothing has used it for a while.
     """
     home = sys.modules.get(WORKER_STATE)
-    if home is None:
-        home = sys.modules[WORKER_STATE] = types.ModuleType(WORKER_STATE)
+    lock = getattr(home, "lock", None)
+    if lock is not None:
+        with lock:
+            if sys.modules.get(WORKER_STATE) is home:
+                home.used = time.monotonic()
+                return home
+    home = types.ModuleType(WORKER_STATE)
+    home.lock = lock = threading.Lock()
+    home.used = time.monotonic()
+    sys.modules[WORKER_STATE] = home
 
-        def watch() -> None:
-            while sys.modules.get(WORKER_STATE) is home:
-                time.sleep(1)
-                if time.monotonic() - home.used > IDLE_SECONDS and sys.modules.get(WORKER_STATE) is home:
+    def watch() -> None:
+        while sys.modules.get(WORKER_STATE) is home:
+            time.sleep(1)
+            with lock:
+                if sys.modules.get(WORKER_STATE) is home and time.monotonic() - home.used > IDLE_SECONDS:
                     home.__dict__.clear()
                     drop_worker_state()
-                    return
 
-        home.used = time.monotonic()
-        threading.Thread(target=watch, daemon=True).start()
-    home.used = time.monotonic()
+    threading.Thread(target=watch, daemon=True).start()
     return home
 
 

@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import bit_filter, discard, drop_worker_state, in_filter, partitions, written
+from tracemill.llm.common import bit_filter, discard, drop_worker_state, in_filter, partitions, text_slices, written
 from tracemill.llm.graph import components
 
 #: Texts that are split at a time, in bytes.
 SLICE_BYTES = 4 << 20
+#: Texts, or their sets, that pass to a task at a time.
+TEXT_ROWS = 2000
 #: Nodes of a group that are compared in one task.
 BLOCK = 2048
 #: Partitions beyond half the difference, which make up for empty halves; other partitionings where they don't.
@@ -146,7 +148,7 @@ def signatures(s: np.ndarray, bands: Bands, rest: np.ndarray) -> np.ndarray:
 def _sets(width: int):
     def run(batches):
         drop_worker_state()
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             out = [(len(s), *(set_hash(s) if len(s) else (None, None))) for s in shingle_sets(batch.column("_text"), width)]
             n, hi, lo = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -159,7 +161,7 @@ def _sets(width: int):
 
 def _sampled(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             sets = list(shingle_sets(batch.column("_text"), width))
             h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), [])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
@@ -171,7 +173,7 @@ def _signed(width: int, share: int, frequent: np.ndarray):
     def run(batches):
         drop_worker_state()
         bands, seen = Bands(share), set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             sigs, los = [], []
             for s in shingle_sets(batch.column("_text"), width):
                 if len(s):
@@ -251,7 +253,7 @@ def _hashes(width: int, wanted: np.ndarray):
     """Whole sets of the texts whose id the filter lets pass."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             hit = _hit(wanted, batch.column("_slot").to_numpy(zero_copy_only=False))
             rows = list(shingle_sets(batch.filter(pa.array(hit)).column("_text"), width))
             hashes = pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))
@@ -356,10 +358,10 @@ def linked(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
-    sets = written(rows.mapInArrow(_sets(width), "id long, text_hash long, n long, hi long, lo long"), "join-sets")
+    sets = written(rows.mapInArrow(_sets(width), "id long, text_hash long, n long, hi long, lo long"), "join-sets", TEXT_ROWS)
     distinct = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     often = rows.select("_text").sample(SAMPLE, 11).mapInArrow(_sampled(width), "h long, n long")
-    often = written(often.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "join-frequent")
+    often = written(often.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "join-frequent", TEXT_ROWS)
     frequent = bit_filter(often.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")), FILTER_BITS)
     discard(often)
     shared = written(
@@ -370,6 +372,7 @@ def linked(
         .mapInArrow(_shared, "gid long, lo long")
         .distinct(),
         "join-shared",
+        2 * TEXT_ROWS,
     )
     nodes = written(
         distinct.join(shared.select("lo").distinct(), "lo", "left_semi").withColumn("node", F.monotonically_increasing_id()),
@@ -380,7 +383,7 @@ def linked(
     wanted = _id_filter(nodes.select(F.coalesce("rep", F.lit(0)).alias("_id")))
     slot = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(0))), F.lit(FILTER_BITS)).alias("_slot")
     whole = rows.select(slot, "_text").mapInArrow(_hashes(width, wanted), "hi long, lo long, hashes array<long>")
-    whole = written(whole.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "hashes"), "join-hashes")
+    whole = written(whole.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "hashes"), "join-hashes", TEXT_ROWS)
 
     # groups with the same first node are one: most of their nodes are the same
     members_of_signatures = members
@@ -390,7 +393,7 @@ def linked(
     discard(ungrouped)
     alone = members.withColumn("component", F.col("node"))
     near = written(_pairs_in_blocks(alone, whole, share, True), "join-near")
-    links = written(_verified(near, whole, share), "join-links")
+    links = written(_verified(near, whole, share), "join-links", TEXT_ROWS)
     discard(near)
     found = written(components(links, "join-components"), "join-found")
     group = Window.partitionBy("gid")
@@ -398,7 +401,7 @@ def linked(
     ends = placed.withColumn("_min", F.min("component").over(group)).withColumn("_max", F.max("component").over(group))
     mixed = ends.where("_min <> _max").select("gid", "node", "component")
     near = written(_pairs_in_blocks(mixed, whole, share, False), "join-near")
-    more = written(_verified(near, whole, share), "join-links")
+    more = written(_verified(near, whole, share), "join-links", TEXT_ROWS)
     discard(near, whole, members, found)
     found = written(components(links.unionAll(more), "join-components"), "join-found")
     discard(links, more)

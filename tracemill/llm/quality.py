@@ -163,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str =
     Null text counts as empty and is scored. Repeated rows are each scored. Without labels of both classes every
     score is that of the only class, or 0.5. An empty table gives no rows. Other columns are not looked at.
     """
-    stats = written(features(docs, id_col, text_col), "quality")
+    stats = written(features(docs, id_col, text_col), "quality", 2000)
     model = fit(stats, labels)
 
     def run(batches):
@@ -182,7 +182,7 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, as they are, whose score is at least `least`."""
-    model = fit(written(features(docs, id_col, text_col), "quality"), labels)
+    model = fit(written(features(docs, id_col, text_col), "quality", 2000), labels)
     at = docs.columns.index(text_col)
 
     def run(batches):
