@@ -532,15 +532,16 @@ _MANY_SQL = r"""asked AS (SELECT DISTINCT CASE n % 3 WHEN 0 THEN w[3] || '.*' ||
     ELSE w[5] || ' ' || w[6] END AS pattern
   FROM (SELECT CAST(right(id, 8) AS BIGINT) // 3 AS n, string_split(replace(content, chr(10), ' '), ' ') AS w FROM docs
     WHERE CAST(right(id, 8) AS BIGINT) % 3 = 0) WHERE len(w) > 8),
-  liked AS (SELECT pattern, regexp_matches(pattern, '[.?%_]') AS wild,
-    '%' || replace(replace(replace(lower(pattern), '.*', '%'), '.', '_'), '?', '_') || '%' AS body FROM asked WHERE pattern IS NOT NULL)"""
+  liked AS (SELECT pattern, regexp_matches(pattern, '[.?%_]') AS wild, '(?s)' || replace(replace(replace(replace(replace(
+    regexp_escape(lower(pattern)), '\.\*', '.*'), '\.', '.'), '\?', '.'), '_', '.'), '\%', '.*') AS body
+    FROM asked WHERE pattern IS NOT NULL)"""
 
 
 @register(
     "pattern_many",
     DOCS
     + f""", {_MANY_SQL} SELECT pattern, count(*) AS docs, min(id) AS first_id FROM liked
-    JOIN docs ON CASE WHEN wild THEN lower(content) LIKE body ELSE contains(lower(content), lower(pattern)) END GROUP BY pattern""",
+    JOIN docs ON CASE WHEN wild THEN regexp_matches(lower(content), body) ELSE contains(lower(content), lower(pattern)) END GROUP BY pattern""",
 )
 def pattern_many(spark, sf):
     docs = V.documents(spark, sf)
