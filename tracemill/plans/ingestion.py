@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tracemill.functions import identity as I
 from tracemill.functions import redaction as R
 from tracemill.operators import store as K
+from tracemill.operators import tables as T
 from tracemill.plans import views as V
 from tracemill.plans.activity import EV, PROJ
 from tracemill.plans.registry import register
 from tracemill.plans.retrieval import DOCS
 from tracemill.sources import calls as C
+from tracemill.session import run_folder
 from tracemill.sources import gitlog, jsonl, transcript, tree
 
 _FILL = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -610,12 +612,25 @@ def project_identity(spark, sf):
 
 @register(
     "append_new",
-    EV + "SELECT event_id, source_kind, event_ts FROM ev WHERE source_kind = 'claude_code_jsonl'",
+    EV + "SELECT event_id, source_kind, event_type, event_date FROM ev",
 )
 def append_new(spark, sf):
-    ev = V.agent_events(spark, sf, False).select("event_id", "source_kind", "event_ts")
-    stored = ev.where("source_kind = 'opencode_storage'")
-    return K.new_rows(ev.unionByName(ev), stored)
+    """A part of the events is stored; all of them come again, twice, the stored ones under a later day."""
+    columns = ("event_id", "source_kind", "event_type", "event_date")
+    ev = V.agent_events(spark, sf, False).select(*columns)
+    folder = run_folder(spark, "append")
+    stored = F.col("source_kind") == "opencode_storage"
+    K.append_new(ev.where(stored), folder)
+    later = ev.withColumn("event_date", F.when(stored, F.lit("2031-01-01")).otherwise(F.col("event_date").cast("string")))
+    K.append_new(later.unionByName(later), folder)
+    return spark.read.schema(later.schema).parquet(folder).select(*columns[:3], F.col("event_date").cast("string").alias("event_date"))
+
+
+def _stored_table(spark, name, rows, keys):
+    """A table on disk with these rows."""
+    table = T.Table(spark, run_folder(spark, f"table-{name}"), rows.schema, keys, buckets=8)
+    table.upsert(rows)
+    return table
 
 
 @register(
@@ -638,20 +653,36 @@ def upsert(spark, sf):
         F.col("text").alias("content"),
         F.lit("2025-01-01").alias("created_at"),
     )
-    return K.upsert(stored, labelled.unionByName(added), ["id"])
+    table = _stored_table(spark, "upsert", stored, ["id"])
+    table.upsert(labelled.unionByName(added))
+    return table.read()
 
 
-@register("purge", EV + "SELECT event_id, source_id FROM ev WHERE source_id <> 'src-7'")
+@register(
+    "purge",
+    EV
+    + """SELECT 'event' AS kind, event_id AS id, source_id FROM ev WHERE source_id <> 'src-7'
+    UNION ALL SELECT DISTINCT 'source', source_id, source_id FROM ev WHERE source_id <> 'src-7'
+    UNION ALL SELECT DISTINCT 'progress', source_id, source_id FROM ev WHERE source_id <> 'src-7'""",
+)
 def purge(spark, sf):
-    ev = V.agent_events(spark, sf, False).select("event_id", "source_id")
-    sources = ev.select("source_id").distinct()
-    return K.purge("src-7", sources, sources, ev, True)[2]
+    ev = V.agent_events(spark, sf, False)
+    known = ev.select("source_id", F.lit("x").alias("locator")).distinct()
+    sources, progress = (_stored_table(spark, n, known, ["source_id"]) for n in ("purge-sources", "purge-progress"))
+    events = _stored_table(spark, "purge-events", ev, ["event_id"])
+    T.purge_source("src-7", sources, progress, events)
+    left = events.read().select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "source_id")
+    for kind, table in (("source", sources), ("progress", progress)):
+        left = left.unionByName(table.read().select(F.lit(kind).alias("kind"), F.col("source_id").alias("id"), "source_id"))
+    return left
 
 
 @register("delete_documents", DOCS + "SELECT id FROM docs WHERE lang <> 'fr'")
 def delete_documents(spark, sf):
     docs = V.documents(spark, sf)
-    return K.delete(docs, F.get_json_object("metadata", "$.tags[0]") == "fr").select("id")
+    table = _stored_table(spark, "delete", docs, ["id"])
+    table.delete(F.get_json_object("metadata", "$.tags[0]") == "fr")
+    return table.read().select("id")
 
 
 @register(
@@ -664,8 +695,9 @@ def register_sources(spark, sf):
     ev = V.agent_events(spark, sf, False)
     found = ev.select(F.col("source_id").alias("locator"), F.col("source_kind").alias("kind")).distinct()
     first = K.source_rows(found.where("kind = 'opencode_storage'"), _DEVICE, "first")
-    both = K.register(first, K.source_rows(found, _DEVICE, "second"), ["locator", "device_id"])
-    return both.select("source_id", "kind", "locator", "created_at")
+    table = _stored_table(spark, "sources", first, ["locator", "device_id"])
+    table.register(K.source_rows(found, _DEVICE, "second"))
+    return table.read().select("source_id", "kind", "locator", "created_at")
 
 
 @register(
@@ -688,7 +720,9 @@ def source_status(spark, sf):
     updates = ev.where("source_kind = 'opencode_storage'").select(
         "source_id", F.lit("error").alias("status"), F.lit("lost").alias("error_message")
     )
-    return K.set_status(sources, updates, "late")
+    table = _stored_table(spark, "status", sources, ["source_id"])
+    table.change(updates, lambda rows: K.set_status(rows, updates, "late"))
+    return table.read()
 
 
 @register(
@@ -703,4 +737,6 @@ def register_projects(spark, sf):
         F.col("c_mktsegment").alias("display_name"),
         F.lit("/seg").alias("root_path"),
     )
-    return K.register(existing, wanted.unionByName(existing), ["project_id"])
+    table = _stored_table(spark, "projects", existing, ["project_id"])
+    table.register(wanted.unionByName(existing))
+    return table.read()
