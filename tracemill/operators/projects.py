@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import NO_ESCAPE, like
+from tracemill.operators.patterns import pattern_hits
 
 
 def resolve_project(projects: DataFrame, identifier: str) -> DataFrame:
@@ -42,19 +43,28 @@ def _literal_head(pattern: Column) -> Column:
     return F.lower(F.regexp_extract(pattern, r"^([^_%]*)", 1))
 
 
-def _prefixes(text: Column) -> Column:
+def _lengths(keys: DataFrame) -> list[int]:
+    """Lengths that the column `key` has: no more than a path has letters."""
+    rows = keys.where("key IS NOT NULL").select(F.length("key").alias("n")).distinct().collect()
+    return sorted(r.n for r in rows)
+
+
+def _prefixes(text: Column, lengths: list[int]) -> Column:
+    """Prefixes of the folded text, of the lengths at which something can meet them."""
     folded = F.lower(text)
-    return F.transform(F.sequence(F.lit(0), F.length(folded)), lambda n: F.left(folded, n))
+    each = [F.when(F.length(folded) >= n, F.left(folded, F.lit(n))) for n in lengths]
+    return F.array_compact(F.array(*each).cast("array<string>"))
 
 
 def project_by_path(paths: DataFrame, projects: DataFrame) -> DataFrame:
     """(path, project_id) with the project of the longest root each path starts with.
 
     Each distinct path meets only the roots whose literal head is one of its prefixes,
-    through an equi-join; the LIKE test then decides.
+    through an equi-join; the LIKE test then decides. Prefixes have the lengths that heads have.
     """
     roots = projects.select("project_id", "root_path", _literal_head(F.col("root_path")).alias("key"))
-    probes = paths.select("path").distinct().select("path", F.explode(_prefixes(F.col("path"))).alias("key"))
+    lengths = _lengths(roots)
+    probes = paths.select("path").distinct().select("path", F.explode(_prefixes(F.col("path"), lengths)).alias("key"))
     order = F.struct(
         F.col("path") == F.col("root_path"), F.length("root_path"), F.col("project_id")
     )
@@ -81,32 +91,24 @@ def resolve_projects(idents: DataFrame, projects: DataFrame) -> DataFrame:
     def equal(column: str, rank: int) -> DataFrame:
         return plain.join(known, F.col("ident") == F.col(column)).withColumn("rank", F.lit(rank))
 
-    by_id = plain.withColumn("key", head).join(
-        known.withColumn("key", F.explode(_prefixes(F.col("project_id")))), "key"
+    headed = plain.withColumn("key", head)
+    by_id = headed.join(
+        known.withColumn("key", F.explode(_prefixes(F.col("project_id"), _lengths(headed)))), "key"
     )
     by_id = by_id.where(
         F.ilike("project_id", F.concat("ident", F.lit("%")), F.lit(NO_ESCAPE))
     ).withColumn("rank", F.lit(4))
 
-    # A name contains an identifier when one of its suffixes starts with it: block on
-    # the first three characters of the suffix.
-    folded = F.lower("display_name")
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(folded), F.lit(1))),
-        lambda at: F.transform(
-            F.sequence(F.lit(0), F.lit(3)), lambda n: F.substring(folded, at, n)
-        ),
-    )
-    by_name = plain.withColumn("key", F.left(head, F.lit(3))).join(
-        known.withColumn("key", F.explode(F.array_distinct(F.flatten(grams)))), "key"
+    names = known.select(F.col("display_name").alias("id"), F.col("display_name").alias("content")).distinct()
+    named = pattern_hits(names, plain.select(F.col("ident").alias("text")), loose=False)
+    by_name = (
+        named.join(known, F.col("id") == F.col("display_name"))
+        .select(F.col("text").alias("ident"), *known.columns)
+        .withColumn("rank", F.lit(5))
     )
-    by_name = by_name.where(
-        F.ilike("display_name", F.concat(F.lit("%"), "ident", F.lit("%")), F.lit(NO_ESCAPE))
-    ).withColumn("rank", F.lit(5))
 
-    by_root = plain.withColumn("key", F.explode(_prefixes(F.col("ident")))).join(
-        known.withColumn("key", _literal_head(F.col("root_path"))), "key"
-    )
+    rooted = known.withColumn("key", _literal_head(F.col("root_path")))
+    by_root = plain.withColumn("key", F.explode(_prefixes(F.col("ident"), _lengths(rooted)))).join(rooted, "key")
     by_root = by_root.where(_under(F.col("ident"), F.col("root_path"))).withColumn("rank", F.lit(6))
 
     matches = [
@@ -114,7 +116,7 @@ def resolve_projects(idents: DataFrame, projects: DataFrame) -> DataFrame:
         equal("display_name", 2),
         equal("root_path", 3),
         by_id.drop("key"),
-        by_name.drop("key"),
+        by_name,
         by_root.drop("key"),
     ]
     found = matches[0]
@@ -233,10 +235,14 @@ def recent_sessions(events: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def find_session(events: DataFrame, projects: DataFrame, phrase: str) -> DataFrame:
-    """Latest event that holds the phrase, with the root of its project."""
+def find_session(
+    events: DataFrame, projects: DataFrame, phrase: str, preview_chars: int | None = None
+) -> DataFrame:
+    """Latest event that holds the phrase, with the root of its project and its text, or the beginning of it."""
     from tracemill.operators.filters import phrase_in_text
 
+    text = F.col("text_redacted")
+    preview = text if preview_chars is None else F.left(text, F.lit(preview_chars))
     match = (
         events.where(phrase_in_text(phrase))
         .orderBy(F.desc("event_ts"), F.desc("event_id"))
@@ -245,7 +251,7 @@ def find_session(events: DataFrame, projects: DataFrame, phrase: str) -> DataFra
             "session_id",
             "project_id",
             F.col("event_ts").alias("matched_at"),
-            F.left("text_redacted", F.lit(100)).alias("preview"),
+            preview.alias("preview"),
         )
     )
     roots = projects.select("project_id", F.col("root_path").alias("working_directory"))

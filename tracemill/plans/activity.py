@@ -385,7 +385,7 @@ def recent_sessions(spark, sf):
     "find_session",
     EV
     + f""", {PROJ} SELECT session_id, ev.project_id, root_path AS working_directory,
-      event_ts AS matched_at, left(text_redacted, 100) AS preview
+      event_ts AS matched_at, text_redacted AS preview
     FROM ev LEFT JOIN projects USING (project_id) WHERE text_redacted ILIKE '%of the%'
     ORDER BY event_ts DESC, event_id DESC LIMIT 1""",
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +21,14 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _in_pieces(rows: DataFrame, order: Column, folder: str, pieces: int = 4) -> DataFrame:
-    """Rows as a stream of several files out of order, one a batch; some rows come in two files."""
+def _in_pieces(rows: DataFrame, order: Column, folder: str, pieces: int = 4) -> Iterator[DataFrame]:
+    """Rows as a stream that gains a quarter of them, out of order, before each look; some rows come twice."""
     piece = F.pmod(F.xxhash64(order), F.lit(pieces))
     again = rows.where(F.pmod(F.xxhash64(order, F.lit(1)), F.lit(5)) == 0).withColumn("_piece", F.pmod(piece + 1, F.lit(pieces)))
     landed = rows.withColumn("_piece", piece).unionByName(again)
     for i in range(pieces):
-        landed.where(F.col("_piece") == i).drop("_piece").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+        landed.where(F.col("_piece") == i).drop("_piece").write.mode("append").parquet(f"{folder}/in")
+        yield rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
 
 @register(
@@ -52,8 +54,8 @@ def stream_append(spark, sf):
 )
 def stream_daily_tokens(spark, sf):
     folder = run_folder(spark, "stream-tokens")
-    events = _in_pieces(V.agent_events(spark, sf, False), F.col("event_id"), folder)
-    X.usage_by_day(events, folder, poll=None).awaitTermination()
+    for events in _in_pieces(V.agent_events(spark, sf, False), F.col("event_id"), folder):
+        X.usage_by_day(events, folder, poll=None).awaitTermination()
     return X.read_report(spark, folder)
 
 
@@ -69,8 +71,8 @@ def stream_daily_tokens(spark, sf):
 )
 def stream_session_activity(spark, sf):
     folder = run_folder(spark, "stream-sessions")
-    messages = _in_pieces(V.messages_of(spark, V.table(spark, sf, "conversations")), F.col("event_id"), folder)
-    X.session_activity(messages, folder, poll=None).awaitTermination()
+    for messages in _in_pieces(V.messages_of(spark, V.table(spark, sf, "conversations")), F.col("event_id"), folder):
+        X.session_activity(messages, folder, poll=None).awaitTermination()
     return X.read_report(spark, folder).select(
         "session_id", "count", F.col("start_ms").alias("first_ms"), F.col("end_ms").alias("last_ms")
     )
