@@ -9,6 +9,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.functions.analysis import Analyzer
 from tracemill.functions.stem import stem
 from tracemill.operators import files as H
 from tracemill.operators import projects as P
@@ -192,7 +193,7 @@ def test_stemmed_ranking_equals_brute_force(spark):
     words = ["connect", "connected", "connecting", "errors", "error", "failing", "café", "cafe", "files", "x"]
     docs = [(f"d{i:02}", " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(60)]
     frame = spark.createDataFrame(docs, "event_id string, text_redacted string").withColumn("tool_name", F.lit(None).cast("string"))
-    index = S.index_texts(frame, "event_id", ["text_redacted", "tool_name"])
+    index = S.index_texts(frame, "event_id", ["text_redacted", "tool_name"], Analyzer(stemming=True))
 
     def analyze(text):
         return [stem(w) for w in text.lower().replace("é", "e").split()]

@@ -13,7 +13,7 @@ def con(sf_dir):
 
 
 # Queries without SQL text, each with another test of its own.
-ROWS_ONLY = {"reconstruct_all", "search_stemmed"}
+ROWS_ONLY = {"search_stemmed"}
 
 
 def test_only_these_have_no_sql():

@@ -20,9 +20,9 @@ _ASCII_TOKEN = "[A-Za-z0-9]+"
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How text becomes terms; the default stems and folds accents."""
+    """How text becomes terms; the default folds accents."""
 
-    stemming: bool = True
+    stemming: bool = False
     fold_accents: bool = True
 
 

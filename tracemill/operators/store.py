@@ -63,8 +63,10 @@ def _bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def append_new(new: DataFrame, path: str, key: str = "event_id") -> None:
-    """Append the rows whose key is not stored yet, partitioned by day and source kind.
+def append_new(
+    new: DataFrame, path: str, key: str = "event_id", partitions: tuple[str, ...] = PARTITIONS
+) -> None:
+    """Append the rows whose key is not stored yet, partitioned by day and source kind unless told otherwise.
 
     The keys of a store are a narrow table of their own in buckets, of which those of the new keys are read. Rows are
     written before their keys. What a broken run left without keys is found when it is repeated, by a look at the
@@ -73,7 +75,7 @@ def append_new(new: DataFrame, path: str, key: str = "event_id") -> None:
     most of the rows.
     """
     spark = new.sparkSession
-    parts = [c for c in PARTITIONS if c in new.columns]
+    parts = [c for c in partitions if c in new.columns]
     batch = written(new, "append")
     stored = _stored(spark, path, new)
     ids = batch.select(key, *parts).distinct()

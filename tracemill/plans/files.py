@@ -135,17 +135,16 @@ def file_versions(spark, sf):
 @register(
     "file_events",
     EV
-    + f"""SELECT event_id, event_ts, tool_name, text_redacted AS content, session_id, project_id FROM ev
+    + f"""SELECT event_id || '-r' AS event_id, event_ts, tool_name, text_redacted AS content, session_id, project_id FROM ev
     WHERE event_type = 'tool_call' AND tool_name IN ('Read', 'Write') AND {_NAMES}
     ORDER BY event_ts DESC, event_id DESC LIMIT 10""",
 )
 def file_events(spark, sf):
-    # Results carry no arguments in the view, so calls stand in for results that do.
-    ev = V.agent_events(spark, sf).withColumn(
-        "event_type",
-        F.when(F.col("event_type") == "tool_call", "tool_result").otherwise(F.lit("other")),
-    )
-    return H.file_events(ev, _PATH, tools=("Read", "Write"))
+    # Results carry no arguments in the view, so every call gets a result that carries its own.
+    ev = V.agent_events(spark, sf)
+    calls = ev.where("event_type = 'tool_call'")
+    results = calls.withColumns({"event_id": F.concat("event_id", F.lit("-r")), "event_type": F.lit("tool_result")})
+    return H.file_events(ev.unionByName(results), _PATH, tools=("Read", "Write"))
 
 
 @register(
@@ -233,23 +232,47 @@ def replay_edits(spark, sf):
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("edits", "applied", "failed")})
 
 
+_REPLAYED_SQL = f"""d AS ({_EDIT_SQL.format(where="{where}", limit=1000000000)}),
+    g AS (SELECT file_path, count(*) AS edits, list({{{{'old': old_string, 'new': new_string}}}}
+      ORDER BY event_ts, event_id) AS e FROM d GROUP BY file_path),
+    r AS (SELECT file_path, edits, {_FOLD.replace("{", "{{").replace("}", "}}")} AS r FROM g)""".replace("FROM ev", "FROM al")
+
+
+def _counted(rows):
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("edits", "applied", "failed")})
+
+
 @register(
     "reconstruct",
     EV
-    + f""", d AS ({_EDIT_SQL.format(where=_AT_SQL + " AND " + _PATH_LIKE, limit=1000000000)}),
-    g AS (SELECT count(*) AS edits, list({{'old': old_string, 'new': new_string}}
-      ORDER BY event_ts, event_id) AS e FROM d HAVING count(*) > 0),
-    r AS (SELECT edits, {_FOLD} AS r FROM g)
-    SELECT 'edits' AS method, edits, CAST(r.a AS BIGINT) AS applied, CAST(r.f AS BIGINT) AS failed,
-      r.c AS content FROM r""",
+    + f""", {_aligned_sql('day')}, c AS (SELECT event_ts, epoch_ms(event_time) AS ms FROM al
+        WHERE event_type = 'tool_call' AND tool_name = 'Read' AND arg_filepath ILIKE '%{_PATH}%' AND {_AT_SQL}
+        ORDER BY event_ts DESC, event_id DESC LIMIT 1),
+      p AS (SELECT content FROM c JOIN ({_READ_RESULTS}) r ON abs(r.ms - c.ms) < 5000 ORDER BY r.ms, r.event_id LIMIT 1),
+      s AS (SELECT content FROM p WHERE {_WHOLE}),
+      {_REPLAYED_SQL.format(where=_AT_SQL + " AND " + _PATH_LIKE).replace("SELECT file_path, count(*)", "SELECT 'one' AS file_path, count(*)").replace("FROM d GROUP BY file_path", "FROM d HAVING count(*) > 0")}
+    SELECT 'read' AS method, NULL::BIGINT AS edits, NULL::BIGINT AS applied, NULL::BIGINT AS failed, content FROM s
+    UNION ALL SELECT 'edits', edits, CAST(r.a AS BIGINT), CAST(r.f AS BIGINT), r.c FROM r WHERE NOT EXISTS (SELECT 1 FROM s)""",
 )
 def reconstruct(spark, sf):
-    # Without Read events there is no snapshot to prefer, so the edits are replayed.
-    ev = V.agent_events(spark, sf).where("tool_name <> 'Read'")
-    rows = H.reconstruct(ev, _PATH, _AT)
-    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("edits", "applied", "failed")})
+    return _counted(H.reconstruct(_aligned(V.agent_events(spark, sf), "day"), _PATH, _AT))
 
 
-@register("reconstruct_all")
+@register(
+    "reconstruct_all",
+    EV
+    + f""", {_aligned_sql('hour')}, calls AS (SELECT arg_filepath AS path, epoch_ms(event_time) AS ms,
+        row_number() OVER (PARTITION BY arg_filepath ORDER BY event_ts DESC, event_id DESC) AS rn FROM al
+        WHERE event_type = 'tool_call' AND tool_name = 'Read' AND arg_filepath IS NOT NULL AND {_AT_SQL}),
+      pairs AS (SELECT path, content, row_number() OVER (PARTITION BY path ORDER BY r.ms, r.event_id) AS rn
+        FROM calls c JOIN ({_READ_RESULTS}) r ON abs(r.ms - c.ms) < 5000 WHERE c.rn = 1),
+      s AS (SELECT path, content FROM pairs WHERE rn = 1 AND {_WHOLE}),
+      {_REPLAYED_SQL.format(where=_AT_SQL)}
+    SELECT coalesce(s.path, r.file_path) AS path, CASE WHEN s.path IS NULL THEN 'edits' ELSE 'read' END AS method,
+      CASE WHEN s.path IS NULL THEN edits END AS edits, CASE WHEN s.path IS NULL THEN CAST(r.r.a AS BIGINT) END AS applied,
+      CASE WHEN s.path IS NULL THEN CAST(r.r.f AS BIGINT) END AS failed,
+      CASE WHEN s.path IS NULL THEN r.r.c ELSE s.content END AS content
+    FROM s FULL JOIN r ON s.path = r.file_path""",
+)
 def reconstruct_all(spark, sf):
-    return H.reconstruct_all(_aligned(V.agent_events(spark, sf)), _AT)
+    return _counted(H.reconstruct_all(_aligned(V.agent_events(spark, sf)), _AT))

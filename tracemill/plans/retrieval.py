@@ -180,7 +180,7 @@ def search_many(spark, sf):
 
 @register("search_stemmed")
 def search_stemmed(spark, sf):
-    msg, index = _message_index(spark, sf, Analyzer())
+    msg, index = _message_index(spark, sf, Analyzer(stemming=True))
     return _hits(S.search(msg, index, "things|tions"))
 
 

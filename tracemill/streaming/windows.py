@@ -28,18 +28,26 @@ def keep_current(
     key: str,
     report: Callable[[DataFrame, DataFrame], DataFrame],
     poll: str | None = POLL,
+    part: Column | None = None,
 ) -> StreamingQuery:
     """Keep `report(stored rows, batch)` current below folder.
 
     The report's rows have a column `part`; the parts a batch returns replace those stored. A batch that is run
-    again after a failure stores nothing twice and computes the same parts.
+    again after a failure stores nothing twice and computes the same parts. Where rows know their part (a small
+    number), they are stored by it, and a batch reads the parts of its rows and no others.
     """
 
     def work(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        append_new(batch, f"{folder}/store", key)
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/store")
+        if part is None:
+            append_new(batch, f"{folder}/store", key)
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/store")
+        else:
+            batch = batch.withColumn("part", part)
+            append_new(batch, f"{folder}/store", key, ("part",))
+            numbers = [r.part for r in batch.select("part").distinct().collect()]
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/store").where(F.col("part").isin(numbers))
         rows = report(stored, batch)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("part").parquet(f"{folder}/report")
@@ -76,7 +84,7 @@ def usage_by_day(events: DataFrame, folder: str, poll: str | None = POLL) -> Str
 
 
 def _part() -> Column:
-    return F.pmod(F.xxhash64("session_id"), F.lit(SESSION_PARTS)).cast("int").alias("part")
+    return F.pmod(F.xxhash64("session_id"), F.lit(SESSION_PARTS)).cast("int")
 
 
 def session_activity(
@@ -85,11 +93,9 @@ def session_activity(
     """Runs of messages of a session without a gap longer than two hours."""
 
     def report(stored: DataFrame, batch: DataFrame) -> DataFrame:
-        parts = batch.select(_part()).distinct()
-        rows = stored.withColumn("part", _part()).join(parts, "part", "left_semi").drop("part")
-        return session_topics(rows, gap_seconds).withColumn("part", _part())
+        return session_topics(stored.drop("part"), gap_seconds).withColumn("part", _part())
 
-    return keep_current(messages, folder, "event_id", report, poll)
+    return keep_current(messages, folder, "event_id", report, poll, _part())
 
 
 def read_report(spark: SparkSession, folder: str) -> DataFrame:
