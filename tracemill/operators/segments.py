@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.analysis import Analyzer
 from tracemill.operators.search import TextIndex, index_texts
 from tracemill.operators.store import read_table
-from tracemill.session import written
+from tracemill.session import discard, written
 
 _SCHEMAS = {
     "postings": "term string, doc_id string, n_terms int, col int, pos int, segment string",
@@ -81,6 +81,13 @@ def _marks_of(ids: DataFrame, spark: SparkSession, path: str, live: list[str], a
     return held.join(ids.distinct(), "doc_id", "left_semi").select("segment", "doc_id", "n_terms")
 
 
+def _mark(marks: DataFrame, path: str) -> None:
+    """Add delete marks; they are made from the table they go to, so they are a table of their own first."""
+    made = written(marks, "segment-marks")
+    made.write.mode("append").parquet(f"{path}/deletes")
+    discard(made)
+
+
 def append(docs: DataFrame, path: str, doc_id: str, columns: list[str], analyzer: Analyzer = Analyzer()) -> str:
     """Index documents as a new segment and return its name; documents of the same ids before it no longer count.
 
@@ -99,17 +106,16 @@ def append(docs: DataFrame, path: str, doc_id: str, columns: list[str], analyzer
     documents = written(silent.select("doc_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms")), "segment-documents")
     _write_segment(made, documents, path, segment)
     if live:
-        marks = _marks_of(documents.select("doc_id"), spark, path, live, added).withColumn("by", F.lit(segment))
-        written(marks, "segment-marks").write.mode("append").parquet(f"{path}/deletes")
+        _mark(_marks_of(documents.select("doc_id"), spark, path, live, added).withColumn("by", F.lit(segment)), path)
     _note(spark, path, [(segment, "add")])
+    discard(made, documents)
     return segment
 
 
 def delete(spark: SparkSession, path: str, ids: DataFrame) -> None:
     """Documents of these ids (one column) no longer count."""
     live, added = _manifest(spark, path)
-    marks = _marks_of(ids.toDF("doc_id"), spark, path, live, added).withColumn("by", F.lit(None).cast("string"))
-    written(marks, "segment-marks").write.mode("append").parquet(f"{path}/deletes")
+    _mark(_marks_of(ids.toDF("doc_id"), spark, path, live, added).withColumn("by", F.lit(None).cast("string")), path)
 
 
 def merge(spark: SparkSession, path: str, segments: list[str] | None = None) -> str:

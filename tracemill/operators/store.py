@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracemill.schema import EVENTS
-from tracemill.session import written
+from tracemill.session import discard, written
 
 PARTITIONS = ("event_date", "source_kind")
 #: Buckets of the key table; an append reads those that its keys fall into.
@@ -86,7 +86,7 @@ def append_new(
         buckets = [r.bucket for r in ids.select(_bucket(key)).distinct().collect()]  # at most BUCKETS numbers
         near = stored.select(key, *parts).join(ids, [key, *parts], "left_semi").select(key)
         known = kept.where(F.col("bucket").isin(buckets)).select(key).unionAll(near)
-    known = written(known.join(ids.select(key).distinct(), key, "left_semi").distinct(), "append-known") if kept is not None else known
+    known = written(known.join(ids.select(key).distinct(), key, "left_semi").distinct(), "append-known")
     fresh = new_rows(batch, known, key)
     if parts:
         fresh = fresh.hint("rebalance", *parts)
@@ -98,6 +98,7 @@ def append_new(
     unkeyed = written(unkeyed.select(key, _bucket(key)), "append-keys")
     fresh.write.mode("append").partitionBy(*parts).parquet(path)
     unkeyed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(key_folder(path))
+    discard(batch, known, unkeyed)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracemill.operators.store import append_new, read_table
-from tracemill.session import written
+from tracemill.session import discard, written
 from tracemill.sources import jsonl, tail, transcript
 
 # Fixed value: how often sources are looked at.
@@ -67,7 +67,9 @@ def take_sessions(
     append_new(jsonl.events_of(rows, device_id, ingest_ts, redact_secrets, first), store)
     taken = rows.groupBy("path").agg(F.sum("taken").alias("_n")).join(first, "path", "left")
     taken = taken.select("path", (F.col("_n") + F.coalesce("next_seq", F.lit(0))).alias("next_seq"))
-    return _record(lines, store, run or ingest_ts, taken)
+    done = _record(lines, store, run or ingest_ts, taken)
+    discard(lines, first, rows)
+    return done
 
 
 def take_transcripts(
@@ -76,7 +78,9 @@ def take_transcripts(
     """Events of whole transcripts into the store; those that it holds stay as they were first stored."""
     lines = written(lines, "transcript-lines")
     append_new(transcript.normalize(lines, device_id, ingest_ts, redact_secrets), store)
-    return _record(lines, store, run or ingest_ts)
+    done = _record(lines, store, run or ingest_ts)
+    discard(lines)
+    return done
 
 
 #: For every kind of source: the names of its files, whether changed files are read whole, and what takes them in.
@@ -95,7 +99,10 @@ def ingest_grown(
     """
     glob, whole, take = KINDS[kind]
     found = tail.grown(spark, path, glob, progress(spark, store), whole)
-    return take(tail.lines(written(found, "grown")), store, device_id, ingest_ts, None, redact_secrets)
+    found = written(found, "grown")
+    done = take(tail.lines(found), store, device_id, ingest_ts, None, redact_secrets)
+    discard(found)
+    return done
 
 
 def start(
