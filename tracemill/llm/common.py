@@ -61,8 +61,8 @@ def drop_worker_state(keeping: str | None = None) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Seconds after which a worker that has nothing to do gives back what it kept.
-IDLE_SECONDS = 8.0
+#: Seconds after which a worker that has nothing to do gives back what it kept: longer than the pauses between stages.
+IDLE_SECONDS = 20.0
 
 
 def worker_state():
