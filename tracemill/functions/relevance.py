@@ -33,13 +33,20 @@ def concreteness(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words of more than two ASCII letters and digits."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 2)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
 
 def token_overlap(query: Column, content: Column) -> Column:
-    """Share of the query words, repeats included, that occur in the content."""
-    asked, present = words(query), words(content)
-    hits = F.filter(asked, lambda w: F.array_contains(present, w))
-    share = F.size(hits) / F.size(asked)
-    return F.when((F.size(asked) > 0) & (F.size(present) > 0), share).otherwise(F.lit(0.0))
+    """Share of the query words, repeats included, that occur in the content.
+
+    Both are taken apart once: the words are elements of arrays of one, which lambdas refer to.
+    """
+
+    def share(asked: Column, present: Column) -> Column:
+        hits = F.filter(asked, lambda w: F.array_contains(present, w))
+        part = F.size(hits) / F.size(asked)
+        return F.when((F.size(asked) > 0) & (F.size(present) > 0), part).otherwise(F.lit(0.0))
+
+    of_query = F.array(words(query))
+    shares = F.transform(of_query, lambda asked: F.transform(F.array(words(content)), lambda present: share(asked, present))[0])
+    return shares[0]
