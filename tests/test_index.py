@@ -5,7 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill import session
 from tracemill.functions.analysis import PLAIN
+from tracemill.functions.relevance import token_overlap
 from tracemill.functions.text import regex_to_like
 from tracemill.operators import patterns, search, segments
 
@@ -85,6 +87,46 @@ def test_queries_read_no_lengths(spark, tmp_path):
     assert f"{path}/documents" not in plan and re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(term", plan)
 
 
+def test_postings_are_not_shuffled(spark, tmp_path):
+    """Neither marks that don't exist nor the few phrases of a table of queries make Spark shuffle postings."""
+    path = str(tmp_path / "index")
+    segments.append(frame(spark, DOCS), path, "id", ["text"], PLAIN)
+    index = segments.open_index(spark, path, PLAIN)
+    queries = spark.createDataFrame([("q1", "of the"), ("q2", "dog")], "query_id string, text string")
+    wanted = session.written(queries.select(F.explode(F.split("text", " ")).alias("term")).distinct(), "wanted")
+    for rows in (index.postings(None), index.postings(wanted)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    fresh = search.plain_index(frame(spark, DOCS), "id", ["text"])
+    found = [sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in search.search_many(i, queries).collect()) for i in (index, fresh)]
+    assert found[0] == found[1] and len(found[0]) == 4
+
+
+def test_vocabulary_counts_documents_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = segments.append(frame(spark, DOCS), path, "id", ["text"], PLAIN)
+    second = segments.append(frame(spark, {"b": "dog dog dog"}), path, "id", ["text"], PLAIN)
+    segments.merge(spark, path, [first, second])
+    terms = {r.term: r.docs for r in segments.frequencies(spark, path).collect()}
+    assert terms["dog"] == 2 and terms["quick"] == 2 and terms["of"] == 1 and "south" not in terms
+
+
+def test_few_grams_are_looked_for(spark, monkeypatch):
+    """Texts are not taken apart for the grams of a few patterns."""
+    monkeypatch.setattr(patterns, "text_grams", None)
+    docs = spark.createDataFrame([("a", "One two"), ("b", None), ("c", "")], "id string, content string")
+    asked = spark.createDataFrame([("ne.*tw",), (".*",), ("xyz",)], "text string")
+    assert sorted(map(tuple, patterns.pattern_hits(docs, asked).collect())) == [(".*", "a"), (".*", "c"), ("ne.*tw", "a")]
+
+
+def test_overlap_takes_a_text_apart_once(spark):
+    docs = spark.createDataFrame([("From here, THAT-one",), ("",), (None,), ("a b",)], "content string")
+    rows = docs.select(token_overlap(F.lit("From this, that thing!"), F.col("content")).alias("share"))
+    assert [r.share for r in rows.collect()] == [0.5, 0.0, 0.0, 0.0]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(content") == 1
+
+
 TEXTS = [
     "Abc def", "a_b 100% sure", "xx\\E yy\\Q", "line one\nline two", "ab", "b", "", None, "aXbXc " * 50 + "end", "the.dot?", "zzabczzdefzz", "d a c b",
 ]

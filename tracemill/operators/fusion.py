@@ -128,6 +128,7 @@ def _features(content: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataF
     """
     asked = queries.select("query_id", words(F.col("text")).alias("_asked"))
     each = asked.select("query_id", F.explode("_asked").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    each = written(each, "fused-words")  # its size is known then, and words of documents are not shuffled to meet it
     sizes = asked.select("query_id", F.size("_asked").alias("n_asked"))
     hit = content.join(pairs.select("id").distinct(), "id", "left_semi").repartition("id")
     present = words(F.col("content"))
@@ -172,7 +173,9 @@ def fused_search(
     weights = actions.select(
         "query_id", "action_id", (F.coalesce("weight", F.lit(1.0)) * factor).alias("w")
     )
+    weights = written(weights, "fused-weights")  # few rows for each query, like the best scores: hits stay where they are
     tops = hits.groupBy("query_id", "action_id").agg(F.greatest(F.max("score"), F.lit(1.0)).alias("top"))
+    tops = written(tops, "fused-tops")
     merged = (
         hits.join(tops, ["query_id", "action_id"])
         .withColumn("s", F.col("score") / F.col("top"))
