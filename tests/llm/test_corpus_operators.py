@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,46 @@ def test_class_probabilities_are_normalised():
     assert np.allclose(total, 1)
 
 
+def test_tokens_are_looked_up_in_tables():
+    """Codes and suffix classes of a whole dictionary at once, by code points."""
+    index, suffix = {"the": 0, "\n": 1, "é": 2}, {"ng": 2, "éa": 3, "x": 4}
+    v = neural_lm.Vocabulary(index, np.array([5, 4, 3]), suffix, np.array([0, 1, 5]), 12, 3, np.ones(6, np.int64), np.ones(6, np.int64))
+    words = ["thing", "the", "aéa", "x", "é", "yx", "g", "\n"]
+    want = [index.get(w, -1 - suffix.get(w[-2:], 5)) for w in words]
+    assert v.encode(pa.array(words)).tolist() == want
+    assert v.class_of(v.encode(pa.array(words))).tolist() == [2, 0, 3, 4, 5, 5, 5, 1]
+    none = neural_lm.Vocabulary({}, np.zeros(0), {}, np.zeros(0, np.int64), 0, 0, np.zeros(1, np.int64), np.zeros(1, np.int64))
+    assert none.encode(pa.array(words)).tolist() == [-1] * len(words)
+
+
+def test_a_step_takes_each_vector_once():
+    """Neighbours in a line are the contexts of each token, and a step is the one over all contexts."""
+    texts = pa.array(["a b c a b a", None, "", "c", "b a c c b a d e f g"])
+    (run,) = neural_lm.runs(texts)
+    target, none = run.codes % 4, 4
+    line, want = run.line(target, none), neural_lm.contexts(target, run.place(), none)
+    for a, b in ((0, len(target)), (3, 11), (12, 14), (len(target) - 2, len(target))):
+        classes, at = line.stretch(a, b)
+        assert [neural_lm._back(classes, i)[at].tolist() for i in range(neural_lm.CONTEXT)] == want[:, a:b].tolist()
+    v = neural_lm.Vocabulary({}, np.zeros(0), {}, np.zeros(0, np.int64), 10, 4, np.array([5, 3, 2, 4]), np.ones(4, np.int64))
+    trainer = neural_lm.Trainer(neural_lm.Model.start(v), neural_lm.noise(v), 1)
+    m, before = trainer.m, want[:, 2:20]
+    old, context, q = m.before.copy(), m.context.copy(), np.ones((18, neural_lm.SIZE + 1))
+    q[:, :-1] = sum(context[i] * old[before[i]] for i in range(neural_lm.CONTEXT))
+    other = np.minimum(np.searchsorted(trainer.upto, np.random.default_rng(1).random(neural_lm.NOISE)), 3)
+    goal, rest, scale = trainer.target[target[2:20]], trainer.target[other], 1 / np.sqrt(18)
+    good = scale / (1 + np.exp((q * goal).sum(axis=1) - trainer.log_noise[target[2:20]]))
+    bad = -scale / (1 + np.exp(trainer.log_noise[other] - q @ rest.T))
+    dq = (good[:, None] * goal + bad @ rest)[:, :-1]
+    sums = np.zeros_like(old, np.float64)
+    for i in range(neural_lm.CONTEXT):
+        np.add.at(sums, before[i], dq * context[i])
+    dc = np.stack([(dq * old[before[i]]).sum(axis=0) for i in range(neural_lm.CONTEXT)])
+    trainer.step(line, target, 2, 20)
+    near = lambda was, g: was + neural_lm.RATE * g / np.sqrt(1e-2 + g * g + 1e-6)
+    assert np.allclose(m.before, near(old, sums), atol=1e-5) and np.allclose(m.context, near(context, dc), atol=1e-5)
+
+
 def word_sets(rows, width=4):
     out = []
     for r in rows:

@@ -30,8 +30,8 @@ CARRIED = 100_000
 #: Tokens a task counts before it hands its counts on.
 COUNTED = 300_000
 BATCH, NOISE, RATE = 1024, 64, 0.1
-#: Positions that are scored at a time.
-SCORED = 1024
+#: Positions that are scored at a time: few enough that the scores of all classes stay in a core's cache.
+SCORED = 256
 #: Texts that are split at a time, in bytes.
 SLICE_BYTES = 4 << 20
 #: Share of the documents of the first round, which gives the tasks of the second a common direction.
@@ -47,7 +47,7 @@ def held_out(id_col: Column) -> Column:
 class Run:
     """Tokens of some whole texts: distinct words, the code of each token, and where each text starts and ends."""
 
-    words: list[str]
+    words: pa.StringArray
     codes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -56,6 +56,34 @@ class Run:
         """Each token's place in its text."""
         return np.arange(len(self.codes)) - np.repeat(self.starts, self.ends - self.starts)
 
+    def line(self, target: np.ndarray, none: int) -> Line:
+        """The texts' classes one after the other."""
+        at = np.arange(len(target)) + np.repeat(np.arange(1, len(self.starts) + 1) * CONTEXT, self.ends - self.starts)
+        classes = np.full(len(target) + CONTEXT * len(self.starts), none, np.int64)
+        classes[at] = target
+        return Line(classes, at)
+
+
+@dataclass
+class Line:
+    """Classes of texts one after the other, `none` CONTEXT times before each, and the places of the tokens.
+
+    What is before a token are its neighbours, so the vectors of a stretch are taken once and shifted.
+    """
+
+    classes: np.ndarray
+    at: np.ndarray
+
+    def stretch(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Classes from CONTEXT places before token a up to token b - 1, and the places of the tokens after the first ones."""
+        first = self.at[a]
+        return self.classes[first - CONTEXT : self.at[b - 1] + 1], self.at[a:b] - first
+
+
+def _back(rows: np.ndarray, i: int) -> np.ndarray:
+    """Of the rows of a stretch those i + 1 places before each of its places."""
+    return rows[CONTEXT - 1 - i : len(rows) - 1 - i]
+
 
 def runs(texts: pa.Array):
     """Words of each text, A-Z lower-cased, and one end after them; null is the end alone."""
@@ -67,12 +95,12 @@ def runs(texts: pa.Array):
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, b - a)))
         flat, stops = split.flatten(), np.asarray(split.offsets)
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)])
         filled = np.asarray(pc.binary_length(flat)) > 0  # splitting may leave empty words at the ends
         upto = np.concatenate(([0], np.cumsum(filled)))[stops - stops[0]]
-        codes = np.insert(np.asarray(coded.indices)[filled].astype(np.int64), upto[1:], len(words))
+        codes = np.insert(np.asarray(coded.indices)[filled].astype(np.int64), upto[1:], len(words) - 1)
         ends = upto[1:] + np.arange(1, len(upto))
-        yield Run([*words, END], codes, np.r_[0, ends[:-1]], ends)
+        yield Run(words, codes, np.r_[0, ends[:-1]], ends)
 
 
 def _count(batches):
@@ -84,7 +112,7 @@ def _count(batches):
     held: dict[str, int] = {}
     for batch in batches:
         for run in runs(batch.column("_text")):
-            for word, n in zip(run.words, np.bincount(run.codes, minlength=len(run.words)).tolist(), strict=True):
+            for word, n in zip(run.words.to_pylist(), np.bincount(run.codes, minlength=len(run.words)).tolist(), strict=True):
                 if n:
                     held[word] = held.get(word, 0) + n
             if len(held) > COUNTED:
@@ -110,13 +138,18 @@ class Vocabulary:
     def classes(self) -> int:
         return len(self.class_total)
 
-    def encode(self, words: list[str]) -> np.ndarray:
+    def encode(self, words: pa.StringArray) -> np.ndarray:
         """Index of each token, or -1 less its class where the token isn't carried."""
-        get, suffix, other = self.index.get, self.suffix.get, self.classes() - 1
-        return np.array([i if (i := get(w, -1)) >= 0 else -1 - suffix(w[-2:], other) for w in words], np.int64)
+        place = lambda of, table: np.asarray(pc.fill_null(pc.index_in(of, pa.array(list(table), of.type)), -1))
+        code = place(words, self.index).astype(np.int64)  # both tables are numbered in their order
+        rest = np.flatnonzero(code < 0)
+        shared = place(pc.utf8_slice_codeunits(words.take(pa.array(rest)), -2), self.suffix)
+        classes = np.array([*self.suffix.values(), self.classes() - 1], np.int64)  # the last one where a suffix has none
+        code[rest] = -1 - classes[shared]
+        return code
 
     def class_of(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes >= 0, self.of[codes], -1 - codes) if len(self.of) else -1 - codes
+        return np.where(codes >= 0, self.of[np.maximum(codes, 0)], -1 - codes) if len(self.of) else -1 - codes
 
 
 def vocabulary(counts: DataFrame, own: int = OWN, shared: int = SHARED, carried: int = CARRIED) -> Vocabulary:
@@ -169,20 +202,28 @@ class Model:
         return Model(*out)
 
     def query(self, before: np.ndarray) -> np.ndarray:
-        q = self.context[0] * self.before[before[0]]
+        q = self.before.take(before[0], axis=0)
+        q *= self.context[0]
         for i in range(1, CONTEXT):
-            q += self.context[i] * self.before[before[i]]
+            part = self.before.take(before[i], axis=0)
+            part *= self.context[i]
+            q += part
         return q
 
     def log_probability(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each class's probability after the classes before it, normalised over all classes."""
         out = np.empty(len(target))
-        columns, ones = np.ascontiguousarray(self.target.T), np.ones(len(self.target), np.float32)
+        columns, ones = np.ascontiguousarray(np.c_[self.target, self.bias].T), np.ones(len(self.target), np.float32)
+        longest = np.sqrt(np.square(self.target).sum(axis=1).max()) if len(self.target) else 0.0
+        q = np.ones((SCORED, SIZE + 1), np.float32)  # the bias is one more column
+        scores = np.empty((SCORED, len(self.target)), np.float32)
         for a in range(0, len(target), SCORED):
             t = target[a : a + SCORED]
-            s = self.query(before[:, a : a + SCORED]) @ columns
-            s += self.bias
-            np.minimum(s, 80.0, out=s)  # scores are near log-probabilities; exp can't overflow
+            n = len(t)
+            found = q[:n, :-1] = self.query(before[:, a : a + SCORED])
+            s = np.matmul(q[:n], columns, out=scores[:n])
+            if not np.sqrt(np.einsum("jk,jk->j", found, found).max()) * longest + self.bias.max() < 80:
+                np.minimum(s, 80.0, out=s)  # scores are near log-probabilities; exp can't overflow
             own = s[np.arange(len(t)), t].astype(np.float64)
             np.exp(s, out=s)
             out[a : a + SCORED] = own - np.log((s @ ones).astype(np.float64))
@@ -225,22 +266,43 @@ class Trainer:
         self.upto = np.cumsum(share)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
 
-    def step(self, before: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.m, len(target)
+    def step(self, line: Line, target: np.ndarray, a: int, b: int) -> None:
+        """One step over the tokens a to b of a line, whose classes are `target`."""
+        m, n, target = self.m, b - a, target[a:b]
         scale = np.float32(1 / np.sqrt(n))
         other = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.share) - 1)
-        parts = m.before.take(before, axis=0)  # CONTEXT x n x SIZE
+        classes, at = line.stretch(a, b)
+        vectors = m.before.take(classes, axis=0)
+        places = len(classes) - CONTEXT  # as many as tokens, or more where texts begin
+        sums, part = np.empty((places, SIZE), np.float32), np.empty((places, SIZE), np.float32)
+        np.multiply(_back(vectors, 0), m.context[0], out=sums)
+        for i in range(1, CONTEXT):
+            sums += np.multiply(_back(vectors, i), m.context[i], out=part)
         q = np.ones((n, SIZE + 1), np.float32)
-        np.einsum("ik,ijk->jk", m.context, parts, out=q[:, :-1])
+        q[:, :-1] = sums if places == n else sums.take(at, axis=0)
         goal, rest = self.target.take(target, axis=0), self.target.take(other, axis=0)
         good = scale / (1 + np.exp(np.einsum("jk,jk->j", q, goal) - self.log_noise[target]))
-        bad = -scale / (1 + np.exp(self.log_noise[other] - q @ rest.T))
-        dq = (good[:, None] * goal + bad @ rest)[:, :-1]
-        grads = np.concatenate([good[:, None] * q, bad.T @ q])
-        dc = np.einsum("jk,ijk->ik", dq, parts)
-        db = (dq[None] * m.context[:, None]).reshape(-1, SIZE)
+        bad = q @ rest.T
+        np.exp(np.subtract(self.log_noise[other], bad, out=bad), out=bad)
+        bad += 1
+        np.divide(-scale, bad, out=bad)
+        goal *= good[:, None]
+        goal += bad @ rest
+        dq = goal[:, :-1]
+        if places > n:
+            dq = np.zeros((places, SIZE), np.float32)
+            dq[at] = goal[:, :-1]
+        grads = np.empty((n + NOISE, SIZE + 1), np.float32)
+        np.multiply(q, good[:, None], out=grads[:n])
+        np.matmul(bad.T, q, out=grads[n:])
+        dc, db = np.empty((CONTEXT, SIZE), np.float32), np.zeros((len(classes), SIZE), np.float32)
+        ones = np.ones(places, np.float32)
+        for i in range(CONTEXT):
+            dc[i] = ones @ np.multiply(dq, _back(vectors, i), out=part)
+            into = _back(db, i)
+            into += np.multiply(dq, m.context[i], out=part)
         _add_rows(self.target, self.squares[2], np.concatenate([target, other]), grads)
-        _add_rows(m.before, self.squares[1], before.ravel(), db)
+        _add_rows(m.before, self.squares[1], classes, db)
         self.squares[0] += dc * dc
         m.context += RATE * dc / np.sqrt(self.squares[0] + 1e-6)
         self.seen += n
@@ -260,9 +322,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, start: Model, name: str) -> M
             for part in runs(batch.column("_text")):
                 trainer = trainer or Trainer(start, share, int(part.codes.sum() & 0xFFFF))
                 target = vocabulary.class_of(vocabulary.encode(part.words))[part.codes]
-                before = contexts(target, part.place(), vocabulary.classes())
+                line = part.line(target, vocabulary.classes())
                 for a in range(0, len(target), BATCH):
-                    trainer.step(before[:, a : a + BATCH], target[a : a + BATCH])
+                    trainer.step(line, target, a, min(a + BATCH, len(target)))
         if trainer:
             flat = trainer.model().flat() * trainer.seen
             yield pa.RecordBatch.from_arrays(
@@ -317,7 +379,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for part in runs(batch.column("_text")):
                 coded, n = known.encode(part.words), len(part.starts)
                 carried = coded >= 0
-                log_count = np.where(carried, logs[coded], 0.0) if len(logs) else np.zeros(len(coded))
+                log_count = np.where(carried, logs[np.maximum(coded, 0)], 0.0) if len(logs) else np.zeros(len(coded))
                 classes = known.class_of(coded)
                 inside = np.where(classes >= own, log_count - in_class[classes], 0.0)
                 target = classes[part.codes]
@@ -328,7 +390,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 doc = np.searchsorted(part.ends, rare_at, "right")
                 key, times = np.unique(doc * len(part.words) + part.codes[rare_at], return_counts=True)
                 stops = np.searchsorted(key, np.arange(n + 1) * len(part.words)).astype(np.int32)
-                word = pa.array(part.words, pa.string()).take(pa.array(key % len(part.words)))
+                word = part.words.cast(pa.string()).take(pa.array(key % len(part.words)))
                 rare = pa.StructArray.from_arrays([word, pa.array(times, pa.int64())], ["token", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
