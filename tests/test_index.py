@@ -164,3 +164,24 @@ def test_long_texts_are_passed_over_once(spark):
     docs = spark.createDataFrame([("d", "ab" * 100_000)], "id string, content string")
     asked = spark.createDataFrame([("a.*b.*a.*c",), ("a.*b.*ba",)], "text string")
     assert [r.text for r in patterns.pattern_hits(docs, asked).collect()] == ["a.*b.*ba"]
+
+
+def test_postings_are_sorted_in_small_pieces_by_a_number(spark, tmp_path, monkeypatch):
+    """A file is sorted by the hash of terms, which one caller's terms are looked up by, and a piece bounds what is sorted at once."""
+    path = str(tmp_path / "index")
+    hashes = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.sha2(F.concat_ws("-", F.col("id"), i), 256))
+    docs = spark.range(6000).select(F.col("id").cast("string").alias("id"), F.array_join(hashes, " the ").alias("text"))
+    for key in segments._PIECE:
+        monkeypatch.setitem(segments._PIECE, key, "16k")
+    changed = [*segments._PIECE, *segments._PARTS]
+    settings = [spark.conf.get(key, None) for key in changed]
+    segments.append(docs, path, "id", ["text"], PLAIN)
+    assert [spark.conf.get(key, None) for key in changed] == settings
+    stored = spark.read.parquet(f"{path}/postings")
+    parts = stored.groupBy(F.input_file_name()).agg(F.collect_list("key").alias("keys"), F.count("*").alias("n")).collect()
+    assert all(p["keys"] == sorted(p["keys"]) for p in parts) and sum(p["n"] for p in parts) == 6000 * 39
+    assert len(parts) > 4  # more than shuffle partitions
+    assert stored.where("key <> xxhash64(term)").isEmpty()
+    plan = search.matches(segments.open_index(spark, path, PLAIN), "the", spark)._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(key", plan)
+    assert len(scores(spark, segments.open_index(spark, path, PLAIN), "the")) == 6000
