@@ -9,7 +9,7 @@ from tracemill import session
 from tracemill.functions.analysis import PLAIN
 from tracemill.functions.relevance import token_overlap
 from tracemill.functions.text import regex_to_like
-from tracemill.operators import patterns, search, segments
+from tracemill.operators import fusion, patterns, search, segments
 
 DOCS = {
     "a": "the quick brown fox of the north",
@@ -185,3 +185,34 @@ def test_postings_are_sorted_in_small_pieces_by_a_number(spark, tmp_path, monkey
     plan = search.matches(segments.open_index(spark, path, PLAIN), "the", spark)._jdf.queryExecution().toString()
     assert re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(key", plan)
     assert len(scores(spark, segments.open_index(spark, path, PLAIN), "the")) == 6000
+
+
+def test_a_shared_phrase_is_counted_once(spark, monkeypatch):
+    """Queries that share a phrase, or repeat it, are scored as if alone."""
+    tables = {}
+
+    def noted(rows, name, *args, **kwargs):
+        tables[name] = session.written(rows, name, *args, **kwargs)
+        return tables[name]
+
+    monkeypatch.setattr(search, "written", noted)
+    index = search.plain_index(frame(spark, DOCS), "id", ["text"])
+    texts = {"q1": "dog", "q2": "dog OR quick", "q3": '"dog" "dog"', "q4": "of the OR of the", "q5": '"the" "south"', "q6": "absent"}
+    queries = spark.createDataFrame(list(texts.items()), "query_id string, text string")
+    rows = search.search_many(index, queries).collect()
+    assert tables["search-frequencies"].count() == 2 + 2 + 2 + 2 + 1  # dog, quick, of the, the, south
+    for q, text in texts.items():
+        assert {r.doc_id: round(r.score, 9) for r in rows if r.query_id == q} == scores(spark, index, text), q
+
+
+def test_pairs_carry_no_words(spark):
+    """Of the words of a document only those that are asked for meet its queries."""
+    docs = spark.createDataFrame([("a", "From here, THAT-one"), ("b", ""), ("c", None), ("d", "a b")], "id string, content string")
+    queries = spark.createDataFrame([("q1", "from this, that thing"), ("q2", "?")], "query_id string, text string")
+    pairs = queries.select("query_id").crossJoin(docs.select("id"))
+    rows = fusion._features(docs, pairs, queries)
+    got = {(r.query_id, r.id): r.overlap for r in rows.collect()}
+    assert got == {(q, i): 0.5 if (q, i) == ("q1", "a") else 0.0 for q in ("q1", "q2") for i in "abcd"}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    read = re.findall(r"Relation \[[^\]]*words#\d+[^\]]*\]", plan)
+    assert read and not re.search(r"Project \[[^\]]*\bwords#\d+[^\]]*marks|Project \[[^\]]*marks[^\]]*\bwords#", plan)

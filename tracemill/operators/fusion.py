@@ -138,14 +138,15 @@ def _features(content: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataF
             concreteness(F.col("content")).alias("marks"),
             F.length("content").alias("size"),
             F.array_distinct(present).alias("words"),
+            (F.size(present) > 0).alias("filled"),  # words themselves stay behind: pairs carry no arrays
         ),
         "fused-documents",
     )
     held = docs.select("id", F.explode("words").alias("word")).join(each.select("word").distinct(), "word", "left_semi")
     common = pairs.join(each, "query_id").join(held, ["id", "word"]).groupBy("query_id", "id").agg(F.sum("times").alias("common"))
     share = F.coalesce("common", F.lit(0)) / F.col("n_asked")
-    overlap = F.when((F.col("n_asked") > 0) & (F.size("words") > 0), share).otherwise(F.lit(0.0))
-    joined = pairs.join(docs, "id").join(sizes, "query_id").join(common, ["query_id", "id"], "left")
+    overlap = F.when((F.col("n_asked") > 0) & F.col("filled"), share).otherwise(F.lit(0.0))
+    joined = pairs.join(docs.drop("words"), "id").join(sizes, "query_id").join(common, ["query_id", "id"], "left")
     return joined.select("query_id", "id", "marks", "size", overlap.alias("overlap"))
 
 
