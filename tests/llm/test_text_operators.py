@@ -89,6 +89,50 @@ def test_words_encode_as_texts_do():
     assert got == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_letters_are_encoded_once():
+    import pyarrow as pa
+
+    encoder = token_store._Encoder(public_tokenizers.path("word_bpe_49k.json"), "<|")
+    whole, sent = encoder.tokenizer, []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Watched()
+    texts = ["Gräßlich, gräßlich!!! gräßlich", "it's it,s <| it", "e\u0301a ea\u0301 \u0301ea éa. $$ $é 3a a3 \u00aa \u00f7", "", None, "gräßlich. it** ***it"]
+    got = encoder.encode(pa.array(texts), 2)
+    assert np.split(got[0], np.cumsum(got[1])[:-1])[-1].tolist() == [*whole.encode(texts[-1], add_special_tokens=False).ids, 2]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert got[0].tolist() == [i for ids in want for i in ids] and got[1].tolist() == [len(ids) for ids in want]
+    assert not any("gr" in t for t in sent) and "***it" in sent  # words with signs after them aren't encoded anew for each sign
+    known = len(encoder.place)
+    encoder.encode(pa.array(["gräßlich** gräßlich. it!!!"]), 2)
+    assert len(encoder.place) == known
+    ends = encoder.ends.copy()
+    encoder.ends[:] = False  # as with a vocabulary that doesn't tell where words end
+    encoder._start_anew()
+    again = encoder.encode(pa.array(texts), 2)
+    assert again[0].tolist() == got[0].tolist() and ends.any()
+
+
+def test_words_are_dropped_and_encoded_anew(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_store, "KEPT_WORDS", 40)
+    encoder = token_store._Encoder(public_tokenizers.path("word_bpe_49k.json"), "<|")
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["ab", "ba.", "É", "x9", "c,"]) * rng.randint(1, 6) for _ in range(12)) for _ in range(4)]
+        ids, counts = encoder.encode(pa.array(texts), 2)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def shingles(text, width=5):
     words = (text or "").lower().split()
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())

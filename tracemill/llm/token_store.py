@@ -15,7 +15,10 @@ hold it are read (columns shard and first prune row groups).
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,30 @@ BLOCK_IDS = 1 << 16
 SLICE_BYTES = 4 << 20
 #: Words whose ids a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 800_000
+#: Steps of a tokenizer that leave words of LETTERS as they are and part them from SIGNS after them.
+NORMALIZED = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+END_OF_WORD = "</w>"
+#: Lower-case letters that stand for themselves in NFC, and the printable ASCII that is no letter, digit or apostrophe.
+LETTERS, SIGNS = "a-z\u00df-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 
 STORE = (
     "shard int, block int, first long, n long, bits int, doc_ids array<long>, offsets array<long>, payload binary"
@@ -68,31 +95,108 @@ def unpack(payload: bytes, n: int, bits: int, start: int = 0) -> np.ndarray:
     return ids.reshape(-1)[start - skip * 64 :][:n]
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of pieces of a flat array, one piece after the other."""
+    stops = np.cumsum(sizes)
+    return np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
+
+
 class _Encoder:
-    """Encodes texts word by word.
+    """Encodes texts by the pieces of their words.
 
     The tokenizer drops white space and lower-cases, so no token spans two words and the ids of a text are those of
-    its words; a worker encodes each distinct word once. A text with a special token's opening goes in whole.
+    its words; a worker encodes each distinct piece once. A piece is a word, or its letters and the signs after them
+    where the tokenizer is known to part them. A text with a special token's opening goes in whole.
     """
 
     def __init__(self, path: str, specials: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on every core already
         self.tokenizer, self.specials = Tokenizer.from_file(path), specials
-        self.ids: dict[str, bytes] = {}
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        known = self.ids
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = words
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        return [known[w] for w in words]
+        self.letters = self._of_letters(path)
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _of_letters(self, path: str):
+        """The tokenizer without the steps that leave words of LETTERS as they are, or None if it may have others."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
+
+        own = json.loads(self.tokenizer.to_str())
+        if (own["normalizer"], own["pre_tokenizer"]) != (NORMALIZED, SPLIT) or own["model"].get("end_of_word_suffix") != END_OF_WORD:
+            return None
+        out = Tokenizer.from_file(path)
+        out.normalizer = None
+        out.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = out.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with which a word ends
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+        return out
+
+    def _encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Their ids one after the other, and the number of each one's."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(texts), 20_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, sizes[-1].sum()))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode_each for words of LETTERS: many of them as one text, parted by the ids that end a word."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), 1_000):
+            part = words[at : at + 1_000]
+            got = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) != len(part):  # a vocabulary that lacks letters at the end of a word
+                got, each = self._encode_each(part)
+            else:
+                each = np.diff(stops, prepend=0)
+            sizes.append(each)
+            ids.append(got)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of distinct pieces is among those the worker has, the new ones encoded first."""
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new) and len(self.place) + len(new) > KEPT_WORDS:
+            self._start_anew()
+            new = np.arange(len(names))
+        if len(new):
+            plain = np.zeros(len(new), bool)
+            if self.letters:
+                plain = np.asarray(pc.match_substring_regex(pieces.take(pa.array(new)), f"^[{LETTERS}]+$"))
+            for part, encode in ((new[plain], self._encode_letters), (new[~plain], self._encode_each)):
+                if not len(part):
+                    continue
+                words, first = [names[i] for i in part], len(self.place)
+                ids, sizes = encode(words)
+                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+                self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+                self.place.update(zip(words, range(first, first + len(words)), strict=True))
+                found[part] = np.arange(first, first + len(words))
+        return found
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after the other, and the number of each one's."""
+        if self.letters:
+            cut = pc.extract_regex(words, f"^(?P<letters>[{LETTERS}]+)(?P<signs>[{SIGNS}]+)$")
+            letters = pc.coalesce(pc.struct_field(cut, [0]), words)
+            signs = pc.fill_null(pc.struct_field(cut, [1]), "")
+            pieces = pa.chunked_array([letters, signs]).combine_chunks().dictionary_encode()
+        else:
+            pieces = words.dictionary_encode()
+        place = self._places(pieces.dictionary)[np.asarray(pieces.indices)]
+        place = place.reshape(-1, len(words)).T  # letters and signs of a word side by side
+        sizes = self.sizes[place]
+        return self.ids[_spread(self.starts[place].ravel(), sizes.ravel())], sizes.sum(axis=1)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and their number for each text."""
@@ -100,19 +204,17 @@ class _Encoder:
         odd = pc.match_substring(texts, self.specials)
         plain = pc.if_else(odd, "", texts) if pc.any(odd).as_py() else texts
         words = pc.ascii_split_whitespace(pc.ascii_lower(plain))
-        ends = np.asarray(words.offsets)
+        stops = np.asarray(words.offsets)[1:]
         coded = words.flatten().dictionary_encode()
-        pieces = self._of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        store = np.frombuffer(b"".join(pieces), "<u4")
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        start = np.cumsum(length) - length
-        code = np.asarray(coded.indices)
-        each = length[code] if len(code) else np.zeros(0, np.int64)
+        store, sizes = np.array([end_id], np.uint32), np.ones(1, np.int64)  # the end is one more word
+        if len(coded.dictionary):
+            ids, own = self._of_words(coded.dictionary)
+            store, sizes = np.concatenate([ids, store]), np.concatenate([own, sizes])
+        code = np.insert(np.asarray(coded.indices), stops, len(sizes) - 1)
+        each = sizes[code]
+        ids = store[_spread((np.cumsum(sizes) - sizes)[code], each)]
         upto = np.concatenate(([0], np.cumsum(each)))
-        ids = store[np.repeat(start[code] - upto[:-1], each) + np.arange(upto[-1])] if len(code) else store
-        at = upto[ends]
-        counts = np.diff(at) + 1
-        ids = np.insert(ids, at[1:], end_id)
+        counts = np.diff(upto[stops + np.arange(1, len(stops) + 1)], prepend=0)
         if plain is not texts:
             cut = np.split(ids, np.cumsum(counts)[:-1])
             for i in np.flatnonzero(np.asarray(odd)):
