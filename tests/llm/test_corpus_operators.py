@@ -1,5 +1,6 @@
 """Quotations, mixing, quality, language model and Jaccard join, and the pipeline of five stages."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -243,6 +244,44 @@ def test_tokens_are_looked_up_in_tables():
     assert none.encode(pa.array(words)).tolist() == [-1] * len(words)
 
 
+def test_tokens_are_counted_by_slice(monkeypatch):
+    """Counts of slices are summed up and handed on in parts; the tables of a vocabulary are made once."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefghijkl") * rng.randint(1, 4) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", " É é\t"]
+    want = Counter(w for t in texts for w in [*(t or "").lower().replace("É", "é").split(), "\n"])
+    want["É"] = 1
+    want["é"] -= 1
+    monkeypatch.setattr(neural_lm, "SLICE_BYTES", 100)
+    for rows, size in ((300_000, 64 << 20), (10, 64 << 20), (300_000, 200)):
+        monkeypatch.setattr(neural_lm, "COUNTED", rows)
+        monkeypatch.setattr(neural_lm, "COUNTED_BYTES", size)
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 20], pa.string())], ["_text"]) for i in range(0, len(texts), 20)]
+        got, parts = Counter(), list(neural_lm._count(iter(batches)))
+        for part in parts:
+            assert part.schema.names == ["token", "n"] and len(set(part["token"].to_pylist())) == part.num_rows
+            got.update(dict(zip(part["token"].to_pylist(), part["n"].to_pylist(), strict=True)))
+        assert got == want and (len(parts) == 1) == (rows > 10 and size > 200)
+    assert list(neural_lm._count(iter([]))) == []
+    v = neural_lm.Vocabulary({"a": 0}, np.array([5]), {"b": 1}, np.array([0]), 5, 1, np.ones(3, np.int64), np.ones(3, np.int64))
+    v.encode(pa.array(["a", "b"]))
+    made = v.tables[pa.string()]
+    v.encode(pa.array(["b"]))
+    assert v.tables[pa.string()] is made
+
+
+def test_shares_of_a_query_are_made_once():
+    v = neural_lm.Vocabulary({}, np.zeros(0), {}, np.zeros(0, np.int64), 10, 3, np.array([5, 3, 2]), np.array([1, 1, 1]))
+    model = neural_lm.Model.start(v)
+    before = np.random.default_rng(4).integers(0, 4, (neural_lm.CONTEXT, 700))
+    target = np.random.default_rng(5).integers(0, 3, 700)
+    q = sum(model.context[i] * model.before[before[i]] for i in range(neural_lm.CONTEXT))
+    s = q @ model.target.T + model.bias
+    want = s[np.arange(700), target] - np.log(np.exp(s).sum(axis=1))
+    assert np.allclose(model.query(before), q) and np.allclose(model.log_probability(before, target), want, atol=1e-5)
+    model.bias += 200  # scores that exp can't take
+    assert np.isfinite(model.log_probability(before, target)).all()
+
+
 def test_a_step_takes_each_vector_once():
     """Neighbours in a line are the contexts of each token, and a step is the one over all contexts."""
     texts = pa.array(["a b c a b a", None, "", "c", "b a c c b a d e f g"])

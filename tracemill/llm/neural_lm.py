@@ -27,8 +27,8 @@ END = "\n"
 OWN, SHARED, SIZE, CONTEXT = 448, 64, 32, 5
 #: Most frequent tokens whose counts travel with the tasks: a bound on what is broadcast. Others are joined.
 CARRIED = 100_000
-#: Tokens a task counts before it hands its counts on.
-COUNTED = 300_000
+#: Tokens a task counts before it hands its counts on, and the bytes at which it sums up those of its slices.
+COUNTED, COUNTED_BYTES = 300_000, 64 << 20
 BATCH, NOISE, RATE = 1024, 64, 0.1
 #: Positions that are scored at a time: few enough that the scores of all classes stay in a core's cache.
 SCORED = 256
@@ -103,23 +103,27 @@ def runs(texts: pa.Array):
         yield Run(words, codes, np.r_[0, ends[:-1]], ends)
 
 
-def _count(batches):
-    def out(held):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "n"]
-        )
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """One row a token."""
+    sums = pa.concat_tables(tables).group_by("token", use_threads=False).aggregate([("n", "sum")])
+    return sums.select(["token", "n_sum"]).rename_columns(["token", "n"])
+
 
-    held: dict[str, int] = {}
+def _count(batches):
+    held: list[pa.Table] = []  # counts of slices
     for batch in batches:
         for run in runs(batch.column("_text")):
-            for word, n in zip(run.words.to_pylist(), np.bincount(run.codes, minlength=len(run.words)).tolist(), strict=True):
-                if n:
-                    held[word] = held.get(word, 0) + n
-            if len(held) > COUNTED:
-                yield out(held)
-                held = {}
+            times = np.bincount(run.codes, minlength=len(run.words))
+            there = np.flatnonzero(times)
+            words = run.words.take(pa.array(there)).cast(pa.string())
+            held.append(pa.table({"token": words, "n": pa.array(times[there], pa.int64())}))
+            if sum(t.num_rows for t in held) > 2 * COUNTED or sum(t.nbytes for t in held) > COUNTED_BYTES:
+                held = [_summed(held)]
+                if held[0].num_rows > COUNTED or held[0].nbytes > COUNTED_BYTES // 2:
+                    yield from held[0].to_batches()
+                    held = []
     if held:
-        yield out(held)
+        yield from _summed(held).to_batches()
 
 
 @dataclass
@@ -138,12 +142,18 @@ class Vocabulary:
     def classes(self) -> int:
         return len(self.class_total)
 
+    def __post_init__(self):
+        self.tables: dict = {}  # made once a task for the type of its words
+
     def encode(self, words: pa.StringArray) -> np.ndarray:
         """Index of each token, or -1 less its class where the token isn't carried."""
-        place = lambda of, table: np.asarray(pc.fill_null(pc.index_in(of, pa.array(list(table), of.type)), -1))
-        code = place(words, self.index).astype(np.int64)  # both tables are numbered in their order
+        if words.type not in self.tables:
+            self.tables[words.type] = pa.array(list(self.index), words.type), pa.array(list(self.suffix), words.type)
+        carried, suffixes = self.tables[words.type]
+        place = lambda of, table: np.asarray(pc.fill_null(pc.index_in(of, table), -1))
+        code = place(words, carried).astype(np.int64)  # both tables are numbered in their order
         rest = np.flatnonzero(code < 0)
-        shared = place(pc.utf8_slice_codeunits(words.take(pa.array(rest)), -2), self.suffix)
+        shared = place(pc.utf8_slice_codeunits(words.take(pa.array(rest)), -2), suffixes)
         classes = np.array([*self.suffix.values(), self.classes() - 1], np.int64)  # the last one where a suffix has none
         code[rest] = -1 - classes[shared]
         return code
@@ -201,30 +211,34 @@ class Model:
             at += x.size
         return Model(*out)
 
-    def query(self, before: np.ndarray) -> np.ndarray:
-        q = self.before.take(before[0], axis=0)
-        q *= self.context[0]
+    def shares(self) -> np.ndarray:
+        """What each class adds to a query from each place of the context: taken once, not for each position."""
+        return self.before * self.context[:, None]
+
+    def query(self, before: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
+        shares = self.shares() if shares is None else shares
+        q = shares[0].take(before[0], axis=0)
         for i in range(1, CONTEXT):
-            part = self.before.take(before[i], axis=0)
-            part *= self.context[i]
-            q += part
+            q += shares[i].take(before[i], axis=0)
         return q
 
     def log_probability(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each class's probability after the classes before it, normalised over all classes."""
-        out = np.empty(len(target))
+        out, shares = np.empty(len(target)), self.shares()
         columns, ones = np.ascontiguousarray(np.c_[self.target, self.bias].T), np.ones(len(self.target), np.float32)
-        longest = np.sqrt(np.square(self.target).sum(axis=1).max()) if len(self.target) else 0.0
+        longest = lambda rows: np.sqrt(np.square(rows).sum(axis=-1).max(axis=-1))
+        # no score is above it, whatever classes are before
+        highest = longest(shares).sum() * longest(self.target) + self.bias.max() if len(self.target) else 0.0
         q = np.ones((SCORED, SIZE + 1), np.float32)  # the bias is one more column
         scores = np.empty((SCORED, len(self.target)), np.float32)
         for a in range(0, len(target), SCORED):
             t = target[a : a + SCORED]
             n = len(t)
-            found = q[:n, :-1] = self.query(before[:, a : a + SCORED])
+            q[:n, :-1] = self.query(before[:, a : a + SCORED], shares)
             s = np.matmul(q[:n], columns, out=scores[:n])
-            if not np.sqrt(np.einsum("jk,jk->j", found, found).max()) * longest + self.bias.max() < 80:
+            if not highest < 80:
                 np.minimum(s, 80.0, out=s)  # scores are near log-probabilities; exp can't overflow
-            own = s[np.arange(len(t)), t].astype(np.float64)
+            own = s[np.arange(n), t].astype(np.float64)
             np.exp(s, out=s)
             out[a : a + SCORED] = own - np.log((s @ ones).astype(np.float64))
         return out
@@ -238,9 +252,10 @@ def noise(vocabulary: Vocabulary) -> np.ndarray:
 def contexts(target: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
     """The classes 1, 2, .. before each token, `none` where its text has none; first: each token's place in its text."""
     out = np.full((CONTEXT, len(target)), none, np.int64)
+    early = np.flatnonzero(first < CONTEXT)
     for i in range(CONTEXT):
         out[i, i + 1 :] = target[: -i - 1] if i + 1 <= len(target) else 0
-        out[i][first <= i] = none
+        out[i, early[first[early] <= i]] = none
     return out
 
 
@@ -249,10 +264,11 @@ def _add_rows(into: np.ndarray, squares: np.ndarray, rows: np.ndarray, grads: np
     rows = rows.astype(np.uint16)  # sorted by radix
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    starts = np.concatenate(([0], np.flatnonzero(rows[1:] != rows[:-1]) + 1))
     sums, rows = np.add.reduceat(grads.take(order, axis=0), starts, axis=0), rows[starts]
-    squares[rows] += sums * sums
-    into[rows] += RATE * sums / np.sqrt(squares[rows] + 1e-6)
+    squared = squares[rows] + sums * sums
+    squares[rows] = squared
+    into[rows] += RATE * sums / np.sqrt(squared + 1e-6)
 
 
 class Trainer:
