@@ -100,3 +100,12 @@ def test_clashing_columns(spark):
     docs = frame(spark).withColumn("fp", F.lit(1)).withColumn("rep", F.lit(2)).withColumn("_id", F.lit(3))
     assert simhash.near_duplicates(docs).count() == len(documents())
     assert SCHEMA.startswith("doc_id")
+
+
+def test_the_exploded_table_stays_off_the_driver(spark, tmp_path):
+    # 35 rows a node: by its file's size Spark would broadcast what is 30 times larger
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "nodes"))
+    pairs = simhash.near_pairs(spark.read.parquet(str(tmp_path / "nodes")), 4, 7)
+    plan = pairs._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in plan
+    assert "BroadcastExchange" not in plan

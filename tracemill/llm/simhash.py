@@ -146,7 +146,8 @@ def near_pairs(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
     tables = F.array(*(F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks(distance, blocks))))
     keyed = nodes.select("fp", F.explode(tables).alias("_t")).select("fp", "_t.tab", "_t.part")
     counts = keyed.groupBy("tab", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(counts, ["tab", "part"])
+    # Spark sizes an exploded table by the file it is made of, tens of times too low, and would gather it on the driver
+    members = keyed.hint("merge").join(counts, ["tab", "part"])
     parts = F.ceil(F.col("n") / PART).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
